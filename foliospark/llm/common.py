@@ -41,7 +41,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 def _split(text: Column, gaps: str) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), gaps), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gaps), "")
 
 
 def words_by_space(text: Column) -> Column:

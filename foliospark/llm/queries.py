@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lm_score, quality_rules
-from .common import documents
+from . import decontam, license_scan, lm_score, quality_rules
+from .common import documents, table
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "text_key")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_score": op1_lm_score, "op6_quality_rules": op6_quality_rules}
+    return {f.__name__: f for f in (op1_lm_score, op6_quality_rules, op8_decontamination, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.sql()}
+    return {"op6_quality_rules": quality_rules.sql(), "op8_decontamination": decontam.sql(), "op9_license_scan": license_scan.sql()}
