@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, lm_score, quality_rules
+from . import decontam, license_scan, lm_score, packing, quality_rules, token_codec
 from .common import documents, table
 
 
@@ -14,10 +14,24 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_codec.digest(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "text_key")
@@ -28,7 +42,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op6_quality_rules, op8_decontamination, op9_license_scan)}
+    return {f.__name__: f for f in (op1_lm_score, op4_token_codec, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,15 +6,16 @@ words meet with a chance of 2**-64 a pair.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG = 256
 #: A-Z as a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -80,17 +81,22 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    if not len(begins):
-        return np.empty(0, np.uint64)
+    """Eight bytes of every word at a time; words over LONG bytes one by one."""
     size = ends - begins
-    at = np.cumsum(size) - size
-    place = np.arange(int(size.sum()), dtype=np.int64)
-    within = place - np.repeat(at, size)
-    byte = data[within + np.repeat(begins, size)]
-    if lower:
-        byte = LOWER[byte]
-    power = np.full(int(size.max()), _BASE, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    total = np.add.reduceat(_BYTE[byte] * power[within], at)
-    return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    total = mix(size.astype(np.uint64) + _BASE)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    at_any_byte = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    todo, step = np.arange(len(begins)), 0
+    long_ = size > LONG
+    if long_.any():
+        for i in np.flatnonzero(long_):
+            total[i] ^= np.frombuffer(hashlib.blake2b(padded[begins[i] : ends[i]], digest_size=8).digest(), "<u8")[0]
+        todo = np.flatnonzero(~long_)
+    while len(todo):
+        left = size[todo] - step
+        part = at_any_byte[begins[todo] + step]
+        part = np.where(left < 8, part & _MASK[np.minimum(left, 8)], part)
+        total[todo] = mix((total[todo] ^ part) * _BASE + np.uint64(step + 1))
+        todo, step = todo[left > 8], step + 8
+    return total
