@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, lm_score, packing, quality_rules, token_codec
+from . import decontam, license_scan, lm_score, packing, quality_rules, repeats, token_codec
 from .common import documents, table
 
 
@@ -14,6 +14,10 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(documents(spark, sf_dir))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -42,7 +46,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op4_token_codec, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op4_token_codec, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
