@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, lm_score, packing, quality_rules, repeats, token_codec
+from . import decontam, jaccard_join, license_scan, lm_score, packing, quality_rules, repeats, token_codec
 from .common import documents, table
 
 
@@ -28,6 +28,10 @@ def op4_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codec.digest(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir))
 
@@ -46,8 +50,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op4_token_codec, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.sql(), "op8_decontamination": decontam.sql(), "op9_license_scan": license_scan.sql()}
+    return {"op5_jaccard_join": jaccard_join.sql(), "op6_quality_rules": quality_rules.sql(), "op8_decontamination": decontam.sql(), "op9_license_scan": license_scan.sql()}

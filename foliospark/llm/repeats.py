@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from . import keyed
 from .common import spill
-from .textbytes import column_bytes, mix
+from .shards import open_shard, text_shards
+from .textbytes import mix
 
 LENGTH, GRAM = 200, 40
 SPAN = LENGTH - GRAM + 1  # grams of a window
 STRETCH = 256  # windows of a stretch at most
 HOT = 256
-SHARD_BYTES, CHUNK = 8 << 20, 1 << 20
+CHUNK = 1 << 20
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _MARKS = "shard string, payload binary"
 _SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.string()), ("payload", pa.binary())])
@@ -220,37 +221,6 @@ class RunLengthIndex:
         return best
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, n, ids, sizes, texts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
-
-    def row() -> pa.RecordBatch:
-        payload = keyed.pack(np.array([i or 0 for i in ids], np.int64), np.array([i is not None for i in ids], np.uint8), np.concatenate(sizes), np.concatenate(texts))
-        return pa.RecordBatch.from_pydict({"shard": [f"{part}-{n}"], "payload": [payload]})
-
-    for batch in batches:
-        data, offsets = column_bytes(batch.column(1))
-        doc_ids, a = batch.column(0).to_pylist(), 0
-        while a < len(doc_ids):
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SHARD_BYTES - held, "right")) - 1)
-            ids += doc_ids[a:b]
-            sizes.append(np.diff(offsets[a : b + 1]))
-            texts.append(data[offsets[a] : offsets[b]])
-            held += int(offsets[b] - offsets[a])
-            if held >= SHARD_BYTES - 65536:
-                yield row()
-                n, ids, sizes, texts, held = n + 1, [], [], [], 0
-            a = b
-    if ids:
-        yield row()
-
-
-def _open(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    ids, known, sizes, data = keyed.unpack(payload)
-    return ids, known, data, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-
-
 def _entries(key: np.ndarray, content: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (key, content), sorted; how often each occurs; whether it may repeat in itself; and the entry of each stretch."""
     order = np.lexsort((content, key))
@@ -266,7 +236,7 @@ def _ask(n: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, data, offsets = _open(payload.as_py())
+                _, _, data, offsets = open_shard(payload.as_py())
                 rows = list(keyed.requests(name, n, *_entries(*stretches(data, offsets)[2:])[:4]))
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("shard", pa.string()), ("payload", pa.binary())]))
 
@@ -300,7 +270,7 @@ def _supply(n: int):
     def supply(left: pa.Table, right: pa.Table) -> pa.Table:
         """Marks that are decided (kind 0), stretches for the index (1) and windows to count (2)."""
         name = left.column("shard")[0].as_py()
-        _, _, data, offsets = _open(left.column("payload")[0].as_py())
+        _, _, data, offsets = open_shard(left.column("payload")[0].as_py())
         start, size, key, content, again = stretches(data, offsets)
         codes = [a[0] for a in keyed.in_order(right.to_pylist())]
         entry = _entries(key, content, again)[-1]
@@ -384,7 +354,7 @@ def _covered(data: np.ndarray, right: pa.Table) -> np.ndarray:
 
 
 def _digest(left: pa.Table, right: pa.Table) -> pa.Table:
-    ids, known, data, offsets = _open(left.column("payload")[0].as_py())
+    ids, known, data, offsets = open_shard(left.column("payload")[0].as_py())
     gone = _covered(data, right)
     upto = np.concatenate([[0], np.cumsum(gone)])
     begins = gone.copy()
@@ -398,7 +368,7 @@ def _digest(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
     """row (as the id) and what is left of its text; bytes of broken characters go too."""
-    ids, _, data, offsets = _open(left.column("payload")[0].as_py())
+    ids, _, data, offsets = open_shard(left.column("payload")[0].as_py())
     gone = _covered(data, right)
     kept = [data[a:b][~gone[a:b]].tobytes().decode(errors="ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     return pa.table({"row": pa.array(ids, pa.int64()), "text": pa.array(kept, pa.string())})
@@ -407,7 +377,7 @@ def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
 def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Shards of docs (id, text), and all marks."""
     n = keyed.buckets(docs, docs.columns[1])
-    shards = spill(docs.mapInArrow(_shards, "shard string, payload binary"), "none")
+    shards = spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none")
     asked = shards.mapInArrow(_ask(n), "bucket int, shard string, payload binary")
     codes = asked.groupBy("bucket").applyInArrow(_count, "shard string, bucket int, payload binary")
     sent = spill(shards.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(_supply(n), "kind int, bucket int, shard string, payload binary"), "none")
