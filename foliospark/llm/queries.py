@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, license_scan, lm_score, packing, quality_rules, repeats, token_codec
+from . import decontam, html_crf, jaccard_join, license_scan, lm_score, packing, quality_rules, repeats, token_codec
 from .common import documents, table
 
 
@@ -18,6 +18,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removed(documents(spark, sf_dir))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -50,7 +54,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_html_extraction, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
