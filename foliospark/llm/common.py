@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foliospark.tables import table
 
-__all__ = ["documents", "lower_ascii", "scratch", "spill", "table", "words_by_space", "words_alnum"]
+__all__ = ["discard", "documents", "lower_ascii", "scratch", "spill", "table", "words_by_space", "words_alnum"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -27,7 +28,19 @@ def spill(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
     path = scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*done: DataFrame) -> None:
+    """Deletes what spill wrote, once nothing reads it again, and lets Spark drop the shuffles behind it."""
+    for df in done:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PAGES, SEED, STEPS, RATE, DECAY = 1000, 7, 150, 0.1, 2e-4
+PAGES, SEED, STEPS, RATE, DECAY = 800, 7, 200, 0.15, 3e-5
 MAIN = "page_id long, url string, text string, n_chars long"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -122,8 +122,7 @@ def blocks(page: str) -> list[Block]:
 def features(row: list[Block]) -> list[list[str]]:
     """Names of each block's features."""
     out = []
-    last = len(row) - 1
-    for i, b in enumerate(row):
+    for b in row:
         names = [s[0] for s in b.path]
         f = {"bias", *("in:" + n for n in names if n in _BLOCK and n not in ("html", "body"))}
         f |= {"has:" + m.split(":", 1)[1] for s in b.path for m in s[1:]}
@@ -149,7 +148,6 @@ def features(row: list[Block]) -> list[list[str]]:
             f.add("sign")
         if n <= 12:
             f |= {"w:" + w for w in _WORD.findall(b.text.lower())}
-        f.add("first" if i == 0 else "last" if i == last else "inner")
         out.append(sorted(f))
     return out
 
@@ -253,7 +251,7 @@ def labelled_page(rng: np.random.Generator) -> str:
     def prose(a: int, b: int) -> str:
         n, out, odd = int(rng.integers(a, b)), [], pick([" |", "%%%", "!!", " ·", " ©"]) if maybe(0.12) else ""
         for i in range(n):
-            out.append(word() + odd + ("." if i == n - 1 or maybe(0.1) else "," if maybe(0.05) else ""))
+            out.append(word() + odd + ("." if i == n - 1 and maybe(0.75) or maybe(0.1) else "," if maybe(0.05) else ""))
         return " ".join(out).capitalize()
 
     def sign(kind: str | None) -> str:
@@ -275,7 +273,7 @@ def labelled_page(rng: np.random.Generator) -> str:
         tag = {"nav": ["nav", "div", "ul", "div"], "header": ["header", "div", "header"], "footer": ["footer", "footer", "div"], "aside": ["aside", "div", "section"], "ad": ["div", "aside", "div", "ins"], "notice": ["div", "section", "dialog", "p"], "comments": ["section", "div", "div"], "form": ["form", "form", "div"]}[kind]
         tag = pick(tag)
         mark = sign(kind) if tag not in ("div", "section", "p", "ins") else f' {pick(["class", "id"])}="{pick(_ASIDE[kind])}"'
-        inner = {"nav": lambda: links(), "header": lambda: no("div") + (links() if maybe(0.5) else "") if maybe(0.5) else no(), "footer": lambda: no(text=f"© {word()}.com · {prose(1, 9)}") if maybe(0.5) else no("p") + links(), "aside": lambda: no("h3") + (links() if maybe(0.6) else no("p") + no("p")), "ad": lambda: no() if maybe(0.6) else no("p"), "notice": lambda: no("p") if maybe(0.5) else no(text=prose(5, 30)), "form": lambda: f"<label>{no()}</label><input type=text>" + (no("p") if maybe(0.5) else ""), "comments": lambda: no("h3") + "".join(f'<{c}{sign("comments")}>' + (no("p", prose(4, 50)) if maybe(0.6) else no(text=prose(4, 50))) + f"</{c}>" for c in [pick(["div", "li", "div", "div", "li", "article"])] for _ in range(int(rng.integers(1, 5))))}[kind]()
+        inner = {"nav": lambda: links(), "header": lambda: no("div") + (links() if maybe(0.5) else "") if maybe(0.5) else no(), "footer": lambda: no(text=f"© {word()}.com · {prose(1, 9)}") if maybe(0.5) else no("p") + links(), "aside": lambda: no("h3") + (links() if maybe(0.6) else no("p") + no("p")), "ad": lambda: no() if maybe(0.6) else no("p"), "notice": lambda: no("p") if maybe(0.5) else no(text=prose(5, 30)), "form": lambda: f"<label>{no()}</label><input type=text>" + (no("p") if maybe(0.5) else ""), "comments": lambda: no("h3") + "".join(f'<{c}{sign("comments") or (" class=comment" if c == "article" else "")}>' + (no("p", prose(4, 50)) if maybe(0.6) else no(text=prose(4, 50))) + f"</{c}>" for c in [pick(["div", "li", "div", "div", "li", "article"])] for _ in range(int(rng.integers(1, 5))))}[kind]()
         return f"<{tag}{mark}>{inner}</{tag}>"
 
     def article() -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
-from .common import spill
+from .common import discard, spill
 from .shards import open_shard, text_shards
 from .textbytes import NOT_SPACE, chain, mix, row_runs, word_hashes, words
 
@@ -117,17 +117,29 @@ def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("common", pa.int64()), ("blob", pa.binary())]))
 
 
+_PREFIX = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("common", pa.int64()), ("token", pa.int64()), ("rank", pa.int32())])
+#: So many of a node's first prefix shingles tell apart the first list that a pair shares.
+HEAD = 32
+
+
+def _prefix(blob: bytes, n: int, common: int) -> np.ndarray:
+    order, _ = keyed.unpack(blob)
+    return order[: n - -(-PERCENT * n // 100) + 1 - (n - common)].view(np.int64)
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a node's prefix, with those before it."""
+    """A row for each shingle of a node's prefix, with its rank there."""
     for batch in batches:
-        nodes, tokens, before = [], [], []
         for node, n, common, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            order, _ = keyed.unpack(blob)
-            prefix = order[: n - -(-PERCENT * n // 100) + 1 - (n - common)].view(np.int64).tolist()
-            nodes += [node] * len(prefix)
-            tokens += prefix
-            before += [prefix[:i] for i in range(len(prefix))]
-        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "token": pa.array(tokens, pa.int64()), "earlier": pa.array(before, pa.list_(pa.int64()))})
+            prefix = _prefix(blob, n, common)
+            k = len(prefix)
+            yield pa.RecordBatch.from_arrays([pa.array([node] * k, pa.binary()), np.full(k, n), np.full(k, common), prefix, np.arange(k, dtype=np.int32)], schema=_PREFIX)
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [_prefix(blob, n, common)[:HEAD].tolist() for _, n, common, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "head": pa.array(rows, pa.list_(pa.int64()))})
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,19 +201,27 @@ def _joined(classes: DataFrame | None, nodes: DataFrame) -> DataFrame:
     return nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_shingles, component_id for each row."""
-    docs = docs.select("doc_id", "text")
+def _counted(docs: DataFrame) -> DataFrame:
+    """Rows as in _SETS."""
     n = keyed.buckets(docs)
     shards = spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none")
     asked = shards.mapInArrow(_ask(n), "bucket int, shard string, payload binary")
     counts = asked.groupBy("bucket").applyInArrow(_count, "shard string, bucket int, payload binary")
     rows = spill(shards.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(_kept, _SETS), "none")
+    del asked, counts
+    discard(shards)
+    return rows
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. doc_id, n_shingles, component_id for each row."""
+    rows = _counted(docs.select("doc_id", "text"))
     some = rows.where("node is not null")
     nodes = spill(some.select("node", F.col("n_shingles").alias("n"), "common", "blob").dropDuplicates(["node"]), "none")
     sizes = nodes.select("node", "n", "common")
-    prefixes = nodes.select("node", "n", "common", "blob").mapInArrow(_prefixes, "node binary, token long, earlier array<long>").join(sizes, "node")
-    prefixes = spill(prefixes)
+    wide = nodes.select("node", "n", "common", "blob")
+    prefixes = spill(wide.mapInArrow(_prefixes, "node binary, n long, common long, token long, rank int"))
+    heads = wide.mapInArrow(_heads, "node binary, head array<long>")
     fragments = spill(nodes.select("node", "blob").mapInArrow(_fragments, "node binary, fragment int, part binary"), "none")
 
     edges, found = None, None
@@ -215,7 +235,8 @@ def classes(docs: DataFrame) -> DataFrame:
             met = met.where((F.col("root") != F.col("rb")) & _fits("n", "nb", "common", "cb"))
             pairs = met.groupBy(F.col("node").alias("a"), "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         else:
-            left = lists.join(mixed.select("token"), "token", "left_semi")
+            left = lists.join(mixed.select("token"), "token", "left_semi").join(heads, "node").withColumn("earlier", F.expr("slice(head, 1, rank)")).drop("head")
+            left = spill(left)
             right = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("earlier").alias("eb"))
             # a pair of classes' nodes is met in the first list that both are in
             condition = (left["token"] == right["token"]) & (left["root"] < right["rb"]) & _fits("n", "nb", "common", "cb") & ~F.arrays_overlap(left["earlier"], right["eb"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_crf, jaccard_join, license_scan, lm_score, packing, quality_rules, repeats, token_codec
+from . import decontam, html_crf, jaccard_join, license_scan, lm_score, packing, quality_rules, repeats, token_codec, tool_chat
 from .common import documents, table
 
 
@@ -53,8 +53,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+def op10_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_chat.link(*tool_chat.turns_as_calls(table(spark, sf_dir, "conversations")), tool_chat.ANSWER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_html_extraction, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_html_extraction, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan, op10_tool_chat)}
 
 
 def oracle_sql() -> dict[str, str]:

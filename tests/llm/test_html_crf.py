@@ -49,7 +49,7 @@ def test_viterbi_is_the_best_path():
 HARD = '<html><body><div id="cookie-notice"><p>We use cookies.</p></div><header class="site-header"><a href="/">Site</a></header><ul class="menu"><li><a href="/a">A</a></li></ul><main><article><h1>Title &amp; more</h1><p>First  paragraph with\n a few words, and &lt;more&gt; of them.</p><div class="advert">Buy now.</div><p>Second one is here as well, with words.</p><form><input><p>Sign up for news</p></form></article><section class="comments"><h3>Comments</h3><div class="comment"><p>Nice article, I liked it a lot, really.</p></div></section></main><aside class="sidebar"><h3>Related</h3><ul><li><a href="/b">Other</a></li></ul></aside><footer><p>© 2024 Site</p></footer><script>x("<p>")</script></body></html>'
 
 
-@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p", ""), ("<script>a", ""), (HARD, "Title & more\nFirst paragraph with a few words, and <more> of them.\nSecond one is here as well, with words."), (HARD.replace("article>", "div>").replace("<main>", '<div class="post-content">').replace("<section", "</div><section").replace("</section></main>", "</section>"), "Title & more\nFirst paragraph with a few words, and <more> of them.\nSecond one is here as well, with words.")])
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("<p", ""), ("<script>a", ""), (HARD, "Title & more\nFirst paragraph with a few words, and <more> of them.\nSecond one is here as well, with words."), (HARD.replace("<main><article>", '<div class="post-content">').replace("</article>", "</div>").replace("</main>", ""), "Title & more\nFirst paragraph with a few words, and <more> of them.\nSecond one is here as well, with words.")])
 def test_pages(page, text):
     assert h.main_text(h.model(), page) == text
 
