@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PAGES, SEED, STEPS, RATE, DECAY = 800, 7, 200, 0.15, 3e-5
+PAGES, SEED, STEPS, RATE, DECAY = 1200, 7, 280, 0.15, 5e-6
 MAIN = "page_id long, url string, text string, n_chars long"
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -284,7 +284,7 @@ def labelled_page(rng: np.random.Generator) -> str:
         for _ in range(int(rng.integers(1, 12))):
             r = rng.random()
             if r < 0.60:
-                out.append(f"<p>{_YES}{prose(1, 4) if maybe(0.2) else prose(1, 90)}</p>" if maybe(0.85) else f"<p><b>{_YES}{prose(1, 12)}<br>")
+                out.append(f"<p>{_YES}{pick(_SHORT).capitalize() + pick(["", "."]) if maybe(0.12) else prose(1, 4) if maybe(0.2) else prose(1, 90)}</p>" if maybe(0.85) else f"<p><b>{_YES}{prose(1, 12)}<br>")
             elif r < 0.67:
                 out.append(f"<h2>{_YES}{prose(1, 7)}</h2>")
             elif r < 0.73:

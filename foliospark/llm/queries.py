@@ -22,14 +22,15 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_crf.extract(table(spark, sf_dir, "pages"))
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op4_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_codec.digest(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+    return token_codec.digest(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,14 @@ def op10_tool_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_chat.link(*tool_chat.turns_as_calls(table(spark, sf_dir, "conversations")), tool_chat.ANSWER)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_html_extraction, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan, op10_tool_chat)}
+    return {f.__name__: f for f in (op1_lm_score, op2_suffix_dedup, op3_html_extraction, op4_token_codec, op5_jaccard_join, op6_quality_rules, op7_packing, op8_decontamination, op9_license_scan, op10_tool_chat)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
