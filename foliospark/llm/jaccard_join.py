@@ -143,21 +143,33 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each node and fragment of the order."""
+    """A node's shingles, sorted, by fragment of the order."""
     for batch in batches:
         rows = []
-        for node, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            order, times = keyed.unpack(blob)
+        for blob in batch.column(1):
+            order, times = keyed.unpack(blob.as_py())
             at = [0, *np.searchsorted(times, CUTS).tolist(), len(order)]
-            rows += [{"node": node, "fragment": i, "part": np.sort(order[at[i] : at[i + 1]]).tobytes()} for i in range(len(at) - 1) if at[i] < at[i + 1]]
-        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("node", pa.binary()), ("fragment", pa.int32()), ("part", pa.binary())]))
+            rows.append([np.sort(order[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)])
+        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "parts": pa.array(rows, pa.list_(pa.binary()))})
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def overlap(x: list[bytes], y: list[bytes], need: int) -> int:
+    """Partial overlaps of the fragments, summed; less than need as soon as it can't be reached."""
+    most = sum(min(len(p), len(q)) for p, q in zip(x, y, strict=True)) // 8
+    for p, q in zip(x, y, strict=True):
+        if most < need:
+            break
+        both = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+        most -= min(len(p), len(q)) // 8 - both
+    return most
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, p, q = batch.columns
-        found = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(p, q, strict=True)]
-        yield pa.RecordBatch.from_pydict({"a": a, "b": b, "both": pa.array(found, pa.int64())})
+        a, b, n, m, x, y = batch.columns
+        need = [-(-PERCENT * (i + j) // (100 + PERCENT)) for i, j in zip(n.to_pylist(), m.to_pylist(), strict=True)]
+        keep = pa.array([overlap(p.as_py(), q.as_py(), k) >= k for p, q, k in zip(x, y, need, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_pydict({"a": a.filter(keep), "b": b.filter(keep)})
 
 
 def _fits(n: str, m: str, common_n: str, common_m: str) -> Column:
@@ -166,15 +178,11 @@ def _fits(n: str, m: str, common_n: str, common_m: str) -> Column:
     return (need <= (100 + PERCENT) * F.col(common_n)) & (need <= (100 + PERCENT) * F.col(common_m)) & (100 * F.col(n) >= PERCENT * F.col(m)) & (100 * F.col(m) >= PERCENT * F.col(n))
 
 
-def links(pairs: DataFrame, fragments: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a, b of the pairs that link: partial overlaps by fragment, summed."""
-    x = fragments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("p"))
-    y = fragments.select(F.col("node").alias("b"), "fragment", F.col("part").alias("q"))
-    parts = pairs.select("a", "b").join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "p", "q")
-    both = parts.mapInArrow(_overlaps, "a binary, b binary, both long").groupBy("a", "b").agg(F.sum("both").alias("both"))
-    n = sizes.select(F.col("node").alias("a"), F.col("n").alias("na"))
-    m = sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    return both.join(n, "a").join(m, "b").where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def links(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """a, b: the classes of those pairs (a, b, na, nb, ra, rb) that link."""
+    x = fragments.select(F.col("node").alias("a"), F.col("parts").alias("p"))
+    y = fragments.select(F.col("node").alias("b"), F.col("parts").alias("q"))
+    return pairs.join(x, "a").join(y, "b").select("ra", "rb", "na", "nb", "p", "q").mapInArrow(_linked, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,21 +192,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = spill(small)
+        before, edges = edges, spill(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(before)
         if now == state:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
-def _joined(classes: DataFrame | None, nodes: DataFrame) -> DataFrame:
-    if classes is None:
-        return nodes.withColumn("root", F.col("node"))
-    return nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -218,35 +220,42 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = _counted(docs.select("doc_id", "text"))
     some = rows.where("node is not null")
     nodes = spill(some.select("node", F.col("n_shingles").alias("n"), "common", "blob").dropDuplicates(["node"]), "none")
-    sizes = nodes.select("node", "n", "common")
     wide = nodes.select("node", "n", "common", "blob")
-    prefixes = spill(wide.mapInArrow(_prefixes, "node binary, n long, common long, token long, rank int"))
+    every = spill(wide.mapInArrow(_prefixes, "node binary, n long, common long, token long, rank int"))
+    lists = spill(every.join(every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token", "left_semi").withColumn("root", F.col("node")))
+    discard(every)
     heads = wide.mapInArrow(_heads, "node binary, head array<long>")
-    fragments = spill(nodes.select("node", "blob").mapInArrow(_fragments, "node binary, fragment int, part binary"), "none")
+    fragments = spill(nodes.select("node", "blob").mapInArrow(_fragments, "node binary, parts array<binary>"), "none")
+    member = spill(some.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("root", F.col("node")))
 
-    edges, found = None, None
     for turn in range(STARS + 1):
-        lists = _joined(found, prefixes)
-        # lists that hold different classes only
-        mixed = lists.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.struct((F.col("common") * 1000 / F.col("n")).cast("long").alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "common", "root")).alias("l")).where("lo != hi")
         if turn < STARS:
-            # each node goes to the leader with which it shares most lists
-            met = lists.join(mixed.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.common").alias("cb"), F.col("l.root").alias("rb")), "token")
+            # each node goes to the leader with which it shares most lists; leaders have most in common with others
+            leader = lists.groupBy("token").agg(F.max(F.struct((F.col("common") * 1000 / F.col("n")).cast("long").alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "common", "root")).alias("l"))
+            met = lists.join(leader.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.common").alias("cb"), F.col("l.root").alias("rb")), "token")
             met = met.where((F.col("root") != F.col("rb")) & _fits("n", "nb", "common", "cb"))
-            pairs = met.groupBy(F.col("node").alias("a"), "b").count().groupBy("a").agg(F.max(F.struct("count", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            best = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b", "nb", "rb").count().groupBy("a", "na", "ra").agg(F.max(F.struct("count", "b", "nb", "rb")).alias("x"))
+            pairs = best.select("a", "na", "ra", "x.b", "x.nb", "x.rb")
         else:
-            left = lists.join(mixed.select("token"), "token", "left_semi").join(heads, "node").withColumn("earlier", F.expr("slice(head, 1, rank)")).drop("head")
-            left = spill(left)
+            left = spill(lists.join(heads, "node").withColumn("earlier", F.expr("slice(head, 1, rank)")).drop("head"))
             right = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("earlier").alias("eb"))
-            # a pair of classes' nodes is met in the first list that both are in
+            # a pair of different classes' nodes is met in the first list that both are in
             condition = (left["token"] == right["token"]) & (left["root"] < right["rb"]) & _fits("n", "nb", "common", "cb") & ~F.arrays_overlap(left["earlier"], right["eb"])
-            pairs = left.join(right, condition).select(F.col("node").alias("a"), "b")
-        new = links(spill(pairs), fragments, sizes)
-        edges = spill(new if edges is None else edges.unionByName(new))
-        found = components(edges)
-        found = spill(found.unionByName(found.select(F.col("root").alias("node"), "root")).distinct())
+            pairs = left.join(right, condition).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b", "nb", "rb").distinct()
+        pairs = spill(pairs)
+        new = spill(links(pairs, fragments))
+        discard(pairs)
+        if new.isEmpty():
+            continue
+        moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+        was, member = member, spill(member.join(moved, "root", "left").select("node", "first", F.coalesce("_to", "root").alias("root")))
+        discard(was)
+        if turn < STARS:  # only lists that still hold different classes go on
+            renamed = spill(lists.join(moved, "root", "left").select("token", "node", "n", "common", "rank", F.coalesce("_to", "root").alias("root")))
+            mixed = renamed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
+            was, lists = lists, spill(renamed.join(mixed, "token", "left_semi"))
+            discard(was, renamed)
 
-    member = _joined(found, some.groupBy("node").agg(F.min("doc_id").alias("first")))
     root = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = member.select("node", "root").join(root, "root").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
