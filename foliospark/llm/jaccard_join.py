@@ -4,12 +4,13 @@ A document's set has its distinct shingles of WORDS words. Sets are ordered by h
 (rarest first), that global order is cut into fragments, each candidate pair's partial overlaps are counted by fragment
 and summed, and a pair links when 100 * overlap >= 80 * union.
 
-Candidates share a shingle of their prefixes, the rarest ones, of which a linked pair must share one. Three things
+Candidates share a shingle of their prefixes, the rarest ones, of which a linked pair must share one. Some things
 keep their number linear in groups of copies without losing a link between classes:
 
 * equal sets are one node;
 * a node whose shingles mostly occur nowhere else has no partner and goes at once; what occurs elsewhere (`common`)
   bounds the size of any partner: 0.8 / 1.8 * (n + m) <= common, for both sides;
+* bitmaps of the shingles bound how many two nodes can share, before their sets meet;
 * links only matter between classes: nodes of one prefix list are first compared with one leader a node, the classes
   so found join, and only pairs of different classes go on to the last, complete round.
 
@@ -136,10 +137,23 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([node] * k, pa.binary()), np.full(k, n), np.full(k, common), prefix, np.arange(k, dtype=np.int32)], schema=_PREFIX)
 
 
+#: 64-bit words of a node's bitmap.
+BITS = 8
+
+
+def _bitmap(shingles: np.ndarray) -> list[int]:
+    """Shingles by the low bits of their hash; bits that differ show shingles that aren't shared."""
+    bits = np.zeros(64 * BITS, np.uint8)
+    np.bitwise_xor.at(bits, (mix(shingles) % np.uint64(64 * BITS)).astype(np.int64), 1)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_prefix(blob, n, common)[:HEAD].tolist() for _, n, common, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "head": pa.array(rows, pa.list_(pa.int64()))})
+        wide = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        heads = [_prefix(blob, n, common)[:HEAD].tolist() for _, n, common, blob in wide]
+        bits = [_bitmap(keyed.unpack(blob)[0]) for *_, blob in wide]
+        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "head": pa.array(heads, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +238,7 @@ def classes(docs: DataFrame) -> DataFrame:
     every = spill(wide.mapInArrow(_prefixes, "node binary, n long, common long, token long, rank int"))
     lists = spill(every.join(every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token", "left_semi").withColumn("root", F.col("node")))
     discard(every)
-    heads = wide.mapInArrow(_heads, "node binary, head array<long>")
+    heads = wide.mapInArrow(_heads, "node binary, head array<long>, bits array<long>")
     fragments = spill(nodes.select("node", "blob").mapInArrow(_fragments, "node binary, parts array<binary>"), "none")
     member = spill(some.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("root", F.col("node")))
 
@@ -238,9 +252,12 @@ def classes(docs: DataFrame) -> DataFrame:
             pairs = best.select("a", "na", "ra", "x.b", "x.nb", "x.rb")
         else:
             left = spill(lists.join(heads, "node").withColumn("earlier", F.expr("slice(head, 1, rank)")).drop("head"))
-            right = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("earlier").alias("eb"))
+            right = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("earlier").alias("eb"), F.col("bits").alias("bb"))
+            # shingles in one of the two only: at least those that occur nowhere else, and the bits that differ
+            apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITS)), F.col("n") - F.col("common") + F.col("nb") - F.col("cb"))
+            near = apart * (100 + PERCENT) <= (F.col("n") + F.col("nb")) * (100 - PERCENT)
             # a pair of different classes' nodes is met in the first list that both are in
-            condition = (left["token"] == right["token"]) & (left["root"] < right["rb"]) & _fits("n", "nb", "common", "cb") & ~F.arrays_overlap(left["earlier"], right["eb"])
+            condition = (left["token"] == right["token"]) & (left["root"] < right["rb"]) & _fits("n", "nb", "common", "cb") & near & ~F.arrays_overlap(left["earlier"], right["eb"])
             pairs = left.join(right, condition).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b", "nb", "rb").distinct()
         pairs = spill(pairs)
         new = spill(links(pairs, fragments))
