@@ -1,4 +1,8 @@
-"""The registered queries of the reference's operators, and their SQL."""
+"""The registered queries of the document operators and the ledger, and their SQL.
+
+Most are declarative: one description gives Spark's SQL and DuckDB's (``plans``). Those with sequential logic run the
+kernels of ``operators`` over Arrow batches and are held against brute force and golden cases in tests.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,482 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.tables import table
+from foliospark.functions import legal, text
+from foliospark.operators import kernels
+from foliospark.plans.dialect import DUCK, SPARK, Dialect, S
+from foliospark.plans.views import compiled
+
+Select = Callable[[Dialect], str]
+DECLARED: dict[str, tuple[tuple[str, ...], Select]] = {}
+
+
+def declared(name: str, *views: str) -> Callable[[Select], Select]:
+    def add(f: Select) -> Select:
+        DECLARED[name] = (views, f)
+        return f
+
+    return add
+
+
+def _simple(name: str, view: str, keys: str, **columns: Callable[[Dialect], str]) -> None:
+    """A query of expressions over the rows of a view."""
+    DECLARED[name] = ((view,), lambda d: f"SELECT {keys}, " + ", ".join(f"{e(d)} AS {c}" for c, e in columns.items()) + f" FROM {view}")
+
+
+# text normalisation
+for _name, _f in {"TXT-01": text.newlines, "TXT-02": text.dehyphenated, "TXT-03": text.bullets, "TXT-04": text.quotes, "TXT-05": text.controls, "TXT-06": text.charset, "TXT-07": text.spaces, "TXT-10": text.headings, "TXT-11": text.sentences, "TXT-12": text.blank_lines}.items():
+    _simple(_name, "rough", "doc_id", text=lambda d, f=_f: f(d, "text"))
+_simple("TXT-13", "noisy", "doc_id, line_no", garbage=lambda d: text.garbage_line(d, "text"))
+_simple("TXT-16", "rough", "doc_id", text=lambda d: d.trim("text"))
+
+
+@declared("TXT-09", "noisy")
+def _(d: Dialect) -> str:
+    key = f"lower({d.trim('text')})"
+    keep = f"(NOT {text.chrome_line(d, d.trim('text'))} AND (NOT {d.match(d.trim('text'), text.PREAMBLE)} OR n = 1))"
+    return f"SELECT doc_id, {d.listed('text', 'line_no')} AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {key} ORDER BY line_no) AS n FROM noisy) t WHERE {keep} GROUP BY doc_id"
+
+
+@declared("TXT-14", "noisy")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, line_no, text FROM (SELECT *, max(CASE WHEN g THEN line_no END) OVER (PARTITION BY doc_id) AS last FROM (SELECT doc_id, line_no, text, {text.garbage_line(d, 'text')} AS g FROM noisy) a) b WHERE last IS NULL OR (line_no < last AND NOT g)"
+
+
+# token rules
+_simple("TOK-01", "words", "doc_id, line_no, tok_no, word", garbage=lambda d: text.output_garbage(d, "word"))
+_simple("TOK-02", "words", "doc_id, line_no, tok_no", core=lambda d: text.core(d, "word"))
+_simple("TOK-03", "words", "doc_id, line_no, tok_no", marker=lambda d: text.list_marker(d, "word"))
+_simple("TOK-04", "words", "doc_id, line_no, tok_no", run=lambda d: text.run_token(d, "word"))
+_simple("TOK-07", "noisy", "doc_id, line_no", text=lambda d: text.glued_number(d, "text"))
+_simple("TOK-08", "noisy", "doc_id, line_no", text=lambda d: text.glued_bab(d, "text"))
+_simple("TOK-09", "noisy", "doc_id, line_no", text=lambda d: text.inner_dots(d, "text"))
+_simple("TOK-10", "words", "doc_id, line_no, tok_no", ratio=lambda d: text.consonants(d, "word"))
+_simple("TOK-15", "noisy", "doc_id, line_no", n=lambda d: d.size(d.keep(d.words("text"), "u", text.output_garbage(d, "u"))))
+_simple("TOK-16", "noisy", "doc_id, line_no", page_number=lambda d: d.match(d.trim("text"), text.PAGE_NUMBER), salinan=lambda d: d.match(d.trim("text"), text.SALINAN), stamp=lambda d: d.match(d.trim("text"), text.STAMP), nip=lambda d: d.match(d.trim("text"), text.NIP), preamble=lambda d: d.match(d.trim("text"), text.PREAMBLE))
+
+
+@declared("TOK-05", "words")
+def _(d: Dialect) -> str:
+    part = "PARTITION BY doc_id, line_no"
+    runs = f"SELECT *, tok_no - row_number() OVER ({part}, run ORDER BY tok_no) AS island FROM (SELECT *, {text.run_token(d, 'word')} AS run, {d.match(text.core(d, 'word'), '^[A-Za-z]$')} AS letter FROM words) a"
+    return f"SELECT doc_id, line_no, tok_no, word FROM (SELECT *, count(*) OVER ({part}, run, island) AS n, max(CASE WHEN letter THEN 1 ELSE 0 END) OVER ({part}, run, island) AS any_letter FROM ({runs}) b) c WHERE NOT (run AND n >= 2 AND any_letter = 1)"
+
+
+@declared("TOK-06", "words")
+def _(d: Dialect) -> str:
+    marker = text.list_marker(d, "word")
+    return f"SELECT doc_id, line_no, tok_no, word FROM (SELECT *, {marker} AS m, coalesce(lag({marker}) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no), false) AS after FROM words) a WHERE NOT (after AND NOT m AND {d.match(text.core(d, 'word'), '^[A-Za-z]$')})"
+
+
+@declared("TOK-11", "words")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, line_no, count(r) >= 5 AND sum(CASE WHEN r >= 0.7 THEN 1 ELSE 0 END) >= 0.7 * count(r) AS mirror FROM (SELECT doc_id, line_no, {text.consonants(d, 'word')} AS r FROM words) a GROUP BY doc_id, line_no"
+
+
+@declared("TOK-17", "noisy")
+def _(d: Dialect) -> str:
+    edge = f"(top < 2 OR bottom < 2) AND ({' OR '.join(d.match('t', p) for p in text.EDGE_CHROME)})"
+    foot = f"bottom < 4 AND ({' OR '.join(d.match('t', p) for p in text.FOOTER)})"
+    seen = f"SELECT *, lower({d.trim('text')}) AS k, {d.trim('text')} AS t, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) - 1 AS top, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no DESC) - 1 AS bottom FROM noisy"
+    pages = "SELECT doc_id AS d, count(DISTINCT page) AS pages FROM noisy GROUP BY doc_id"
+    counted = f"SELECT s.*, p.pages, count(CASE WHEN top < 2 THEN 1 END) OVER (PARTITION BY doc_id, k) AS heads, count(CASE WHEN bottom < 2 THEN 1 END) OVER (PARTITION BY doc_id, k) AS feet, row_number() OVER (PARTITION BY doc_id, k ORDER BY line_no) AS nth FROM ({seen}) s JOIN ({pages}) p ON s.doc_id = p.d"
+    need = "greatest(2, CAST(ceil(pages * 0.5) AS BIGINT))"
+    return f"SELECT doc_id, line_no, page, text FROM ({counted}) c WHERE NOT ({edge}) AND NOT (t <> '' AND ((top < 2 AND heads >= {need}) OR (bottom < 2 AND feet >= {need}))) AND NOT ({foot}) AND NOT ({d.match('t', text.PREAMBLE)} AND nth > 1)"
+
+
+# layout
+@declared("LAY-01", "blocks")
+def _(d: Dialect) -> str:
+    return "SELECT doc_id, ord, text, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place FROM blocks"
+
+
+@declared("LAY-03", "rough")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, CAST(k AS BIGINT) AS k, {d.trim('line')} AS text, CAST(10 + 24 * k AS DOUBLE) AS y FROM ({d.exploded('(SELECT doc_id, text AS body FROM rough) _r', 'doc_id', d.lines('body'), 'line', 'k')}) a"
+
+
+@declared("LAY-04", "blocks")
+def _(d: Dialect) -> str:
+    part = "PARTITION BY doc_id, page ORDER BY y + h / 2, x, ord"
+    flag = f"SELECT *, CASE WHEN abs(y + h / 2 - lag(y + h / 2) OVER ({part})) < 12 THEN 0 ELSE 1 END AS opens FROM blocks"
+    line = f"SELECT *, sum(opens) OVER ({part} ROWS UNBOUNDED PRECEDING) AS line FROM ({flag}) a"
+    return f"SELECT doc_id, page, CAST(line AS BIGINT) AS line, {d.listed('text', 'y + h / 2, x, ord', ' ')} AS text, min(x) AS x, min(y) AS y, max(x + w) AS x2 FROM ({line}) b GROUP BY doc_id, page, line"
+
+
+@declared("LAY-05", "blocks")
+def _(d: Dialect) -> str:
+    # the second box moved by 45, so that neighbours overlap
+    both = "greatest(0, least(a.x + a.w, b.x - 45 + b.w) - greatest(a.x, b.x - 45)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+    union = f"(a.w * a.h + b.w * b.h - {both})"
+    return f"SELECT a.doc_id, a.ord, b.ord AS other, round({both} / {union}, 6) AS iou FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.page = b.page AND a.ord < b.ord WHERE {both} > 0.3 * {union}"
+
+
+@declared("LAY-07", "blocks")
+def _(d: Dialect) -> str:
+    regions = "SELECT doc_id, page, min(x) + 30 AS rx, min(y) + 30 AS ry, 150.0 AS rw, 60.0 AS rh FROM blocks GROUP BY doc_id, page"
+    return f"SELECT b.doc_id, b.page, b.ord FROM blocks b JOIN ({regions}) r ON b.doc_id = r.doc_id AND b.page = r.page AND b.x + b.w / 2 > rx - 12 AND b.x + b.w / 2 < rx + rw + 12 AND b.y + b.h / 2 > ry - 12 AND b.y + b.h / 2 < ry + rh + 12"
+
+
+@declared("LAY-12", "blocks")
+def _(d: Dialect) -> str:
+    return "SELECT doc_id, page, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h, (min(x) + max(x + w)) / 2 AS cx, (min(y) + max(y + h)) / 2 AS cy FROM blocks GROUP BY doc_id, page"
+
+
+# tables
+def _cell(d: Dialect, x: str) -> str:
+    """TBL-01."""
+    nl = "\n"
+    return d.trim(d.subs(x, (r"<[^>]*>", ""), (r"\\n|&#10;|&#13;", nl), (r"(^|[^A-Za-z0-9_])None($|[^A-Za-z0-9_])", "$1$2"), (rf"(?m)^[= \t-]+$", ""), (rf"^[= \t\r\n-]+", ""), (r"\n{2,}", nl)))
+
+
+def _grid(d: Dialect) -> str:
+    rows = d.extract_all("html", r"(?is)<tr[^>]*>.*?</tr>")
+    return f"SELECT table_id, CAST(r AS BIGINT) AS r, {d.match('row', '(?i)<th')} AS header, {d.map(d.extract_all('row', r'(?is)<t[dh][^>]*>.*?</t[dh]>'), 'c', _cell(d, 'c'))} AS cells FROM ({d.exploded('html_tables', 'table_id', rows, 'row', 'r')}) a"
+
+
+def _index_row(d: Dialect) -> str:
+    """TBL-03."""
+    full = d.keep("cells", "c", "c <> ''")
+    odd = d.keep("cells", "c", f"c <> '' AND NOT {d.match('c', '(?i)^([0-9]{1,3}|col[0-9]+)$')}")
+    return f"({d.size(full)} > 0 AND {d.size(odd)} = 0)"
+
+
+@declared("TBL-02", "html_tables")
+def _(d: Dialect) -> str:
+    return f"SELECT table_id, r, header, {d.join('cells', '|')} AS cells FROM ({_grid(d)}) g WHERE {d.size(d.keep('cells', 'c', chr(99) + chr(32) + '<> ' + chr(39) * 2))} > 0 AND NOT (header AND r = 0 AND {_index_row(d)})"
+
+
+@declared("TBL-03", "html_tables")
+def _(d: Dialect) -> str:
+    return f"SELECT table_id, r, {_index_row(d)} AS index_row FROM ({_grid(d)}) g"
+
+
+@declared("TBL-04", "html_tables")
+def _(d: Dialect) -> str:
+    full = d.size(d.keep("cells", "c", "c <> ''"))
+    bad = d.size(d.keep("cells", "c", d.match("c", r"[|]{2,}|[+]{2,}|[=-]{4,}")))
+    width = d.size("cells")
+    return f"SELECT table_id, max(w) <= 20 AND sum(f) > 0 AND sum(b) < 0.1 * sum(w) AND count(DISTINCT w) < 3 AND max(jump) = 0 AS usable FROM (SELECT table_id, {width} AS w, {full} AS f, {bad} AS b, CASE WHEN ({width} = 1 AND coalesce(lag({width}) OVER (PARTITION BY table_id ORDER BY r), 0) >= 4) OR (coalesce(lag({width}) OVER (PARTITION BY table_id ORDER BY r), 0) = 1 AND {width} >= 4) THEN 1 ELSE 0 END AS jump FROM ({_grid(d)}) g) a GROUP BY table_id"
+
+
+@declared("TBL-05", "html_tables")
+def _(d: Dialect) -> str:
+    line = d.join("cells", " | ")
+    return f"SELECT table_id, {d.listed('line', 'r')} AS text FROM (SELECT table_id, r, {line} AS line FROM ({_grid(d)}) g WHERE {d.size(d.keep('cells', 'c', 'c <> ' + chr(39) * 2))} > 0) a GROUP BY table_id"
+
+
+_simple("TBL-10", "noisy", "doc_id, line_no", cells=lambda d: d.join(d.map(d.split(d.sub("replace(text, '. ', ' | ')", r"^[|+]+|[|+]+$"), rf"{S}*[|+]{S}*"), "c", d.trim("c")), "¦"))
+_simple("TBL-08", "words", "doc_id, line_no, tok_no", cell=lambda d: "CASE WHEN length(word) > 3 THEN word WHEN lower(word) = 'v' THEN '✓' WHEN word IN ('o', 'O', '0') THEN '☐' WHEN lower(word) IN ('[v]', '[x]', 'ov', 'ox') THEN '☑' WHEN word = '->' THEN '→' WHEN word = '=>' THEN '⇒' WHEN word = '*' THEN '•' WHEN lower(word) = 'x' THEN '×' WHEN lower(word) = '(v)' THEN '✓' ELSE word END")
+
+
+@declared("TBL-12", "html_tables")
+def _(d: Dialect) -> str:
+    nl = d.newline()
+    return f"SELECT table_id, 'page' || {nl} || {nl} || '[TABEL]' || {nl} || {d.listed('line', 'r')} || {nl} || '[/TABEL]' AS text FROM (SELECT table_id, r, {d.join('cells', ' | ')} AS line FROM ({_grid(d)}) g) a GROUP BY table_id"
+
+
+@declared("TBL-11", "html_tables")
+def _(d: Dialect) -> str:
+    rule = d.join(d.map("cells", "c", "'---'"), " | ")
+    nl = d.newline()
+    line = f"'| ' || {d.join('cells', ' | ')} || ' |' || CASE WHEN r = 0 THEN {nl} || '| ' || {rule} || ' |' ELSE '' END"
+    return f"SELECT table_id, {d.listed('line', 'r')} AS markdown FROM (SELECT table_id, r, {line} AS line FROM ({_grid(d)}) g) a GROUP BY table_id"
+
+
+# tree and legal structure
+_simple("TRE-01", "noisy", "doc_id, line_no", heading=lambda d: legal.heading(d, "text"))
+_simple("TRE-05", "noisy", "doc_id, line_no", kind=lambda d: legal.node_type(d, d.trim("text")))
+_simple("LEG-02", "noisy", "doc_id, line_no", component=lambda d: legal.component(d, "text"))
+_simple("STR-01", "noisy", "doc_id, line_no", kind=lambda d: legal.kind(d, "text"))
+_simple("STR-02", "noisy", "doc_id, line_no", level=lambda d: legal.kind_level(legal.kind(d, "text")))
+
+
+def _nodes(d: Dialect) -> str:
+    return f"SELECT *, {legal.level('kind')} AS level, {legal.number(d, 'kind', 't')} AS number FROM (SELECT doc_id, line_no, page, t, {legal.node_type(d, 't')} AS kind FROM (SELECT doc_id, line_no, page, {d.trim('text')} AS t FROM noisy) a WHERE t <> '') b"
+
+
+@declared("TRE-02", "rough")
+def _(d: Dialect) -> str:
+    nl, words = "\n", "Menimbang|Mengingat|Memutuskan|Menetapkan"
+    split = d.subs("text", (rf"(?i):{S}+((?:{words}){S}*:)", ":" + nl + "$1"), (rf"(?i);{S}+((?:{words}){S}*:)", nl + "$1"), (rf"(?im)^(Menimbang|Mengingat){S}*:{S}*", "$1 :" + nl), (rf"(?i);{S}+((?:[a-z][.)]|[0-9]{{1,2}}[.)]){S})", nl + "$1"))
+    pieces = d.keep(d.map(d.lines(split), "p", d.trim("p")), "p", "p <> ''")
+    return d.exploded("(SELECT doc_id, text FROM rough) _r", "doc_id", pieces, "piece", "place").replace("SELECT doc_id, place,", "SELECT doc_id, CAST(place AS BIGINT) AS place,", 1)
+
+
+@declared("TRE-03", "noisy")
+def _(d: Dialect) -> str:
+    t = d.trim("text")
+    alone = f"({legal.heading(d, t)} OR {d.match(t, r'^\([0-9]+\) ')} OR {d.match(t, '^[a-z][.)] ')} OR {d.match(t, legal.TABLE_ROW)})"
+    a = f"SELECT doc_id, line_no, page, {t} AS t, {alone} AS alone FROM noisy"
+    b = f"SELECT *, CASE WHEN alone OR t = '' OR coalesce(lag(alone OR t = '') OVER w, true) OR page <> coalesce(lag(page) OVER w, page) THEN 1 ELSE 0 END AS opens FROM ({a}) a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
+    c = f"SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM ({b}) b"
+    return f"SELECT doc_id, min(line_no) AS line_no, {d.listed('t', 'line_no', ' ')} AS text FROM ({c}) c WHERE t <> '' GROUP BY doc_id, island"
+
+
+@declared("TRE-06", "noisy")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, line_no, {d.sub(d.trim(legal.body(d, 'kind', 't')), f'{S}+', ' ')} AS body FROM ({_nodes(d)}) n"
+
+
+@declared("TRE-08", "noisy")
+def _(d: Dialect) -> str:
+    """Parents by the nearest earlier line of a higher rank, without a stack."""
+    part = "PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    last = lambda ranks: f"max(CASE WHEN level IN ({ranks}) THEN line_no END) OVER ({part})"
+    return f"SELECT doc_id, line_no, kind, CASE level WHEN 1 THEN CAST(NULL AS BIGINT) WHEN 0 THEN CAST(NULL AS BIGINT) WHEN 2 THEN {last('1')} WHEN 3 THEN {last('1, 2')} WHEN 4 THEN {last('1, 2, 3')} ELSE {last('1, 2, 3, 4')} END AS parent FROM ({_nodes(d)}) n"
+
+
+@declared("LEG-01", "noisy")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, {legal.document_type(d, 'text')} AS types FROM noisy WHERE line_no IN (0, 3)"
+
+
+@declared("LEG-03", "noisy")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, sum(CASE WHEN kind = 'pasal' AND number <> '' THEN 1 ELSE 0 END) AS pasal, sum(CASE WHEN kind = 'bab' THEN 1 ELSE 0 END) AS bab FROM ({_nodes(d)}) n GROUP BY doc_id"
+
+
+@declared("STR-03", "noisy")
+def _(d: Dialect) -> str:
+    a = f"SELECT doc_id, line_no, {d.trim('text')} AS t, {legal.kind(d, d.trim('text'))} AS kind FROM noisy"
+    b = f"SELECT *, CASE WHEN kind <> 'BODY' OR t = '' OR coalesce(lag(kind <> 'BODY' OR t = '') OVER w, true) THEN 1 ELSE 0 END AS opens FROM ({a}) a WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)"
+    c = f"SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS island FROM ({b}) b"
+    return f"SELECT doc_id, min(line_no) AS line_no, max(kind) AS kind, {d.listed('t', 'line_no', ' ')} AS text FROM ({c}) c WHERE t <> '' GROUP BY doc_id, island"
+
+
+# review
+def _roman(x: str) -> str:
+    """REV-09 for the numbers that the views hold."""
+    return f"CASE {x} WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'V' THEN 5 END"
+
+
+@declared("REV-01", "noisy")
+def _(d: Dialect) -> str:
+    n = f"SELECT *, CASE WHEN kind = 'bab' THEN {_roman('number')} ELSE CAST(nullif({d.extract('number', '^[0-9]+$')}, '') AS INT) END AS num FROM ({_nodes(d)}) n WHERE kind IN ('bab', 'pasal')"
+    g = f"SELECT *, sum(CASE WHEN kind = 'bab' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS chapter FROM ({n}) m"
+    p = f"SELECT *, CASE WHEN kind = 'bab' THEN lag(num) OVER (PARTITION BY doc_id, kind ORDER BY line_no) ELSE lag(num) OVER (PARTITION BY doc_id, kind, chapter ORDER BY line_no) END AS prev FROM ({g}) g"
+    return f"SELECT doc_id, line_no, CASE WHEN num = prev THEN kind || '-duplicate' ELSE kind || '-order' END AS type, CASE WHEN kind = 'pasal' AND num < prev THEN 'error' ELSE 'warning' END AS severity FROM ({p}) p WHERE num <= prev"
+
+
+@declared("REV-02", "noisy")
+def _(d: Dialect) -> str:
+    n = f"SELECT *, sum(CASE WHEN kind = 'pasal' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS article FROM ({_nodes(d)}) n"
+    a = f"SELECT *, CAST(number AS INT) AS num, lag(CAST(number AS INT)) OVER (PARTITION BY doc_id, article ORDER BY line_no) AS prev, count(*) OVER (PARTITION BY doc_id, article) AS times FROM ({n}) m WHERE kind = 'ayat' AND article > 0"
+    return f"SELECT doc_id, line_no, CASE WHEN prev IS NULL THEN 'ayat-start' ELSE 'ayat-order' END AS type, times FROM ({a}) a WHERE (prev IS NULL AND num <> 1) OR num <= prev"
+
+
+@declared("REV-03", "noisy")
+def _(d: Dialect) -> str:
+    part = "OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
+    s = f"SELECT *, max(CASE WHEN kind = 'bab' THEN 1 ELSE 0 END) {part} AS has_bab, max(CASE WHEN kind = 'pasal' THEN 1 ELSE 0 END) {part} AS has_pasal FROM ({_nodes(d)}) n"
+    return f"SELECT doc_id, line_no, CASE WHEN kind = 'ayat' THEN 'orphan-ayat' WHEN kind IN ('huruf', 'angka') THEN 'orphan-item' ELSE 'heading-parent' END AS type FROM ({s}) s WHERE (kind IN ('ayat', 'huruf', 'angka') AND has_pasal = 0) OR (kind IN ('pasal', 'bagian', 'paragraf') AND has_bab = 0)"
+
+
+@declared("REV-05", "noisy")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, max(CASE WHEN kind = 'title' THEN 0 ELSE 1 END) = 1 AND max(CASE WHEN kind = 'title' THEN 1 ELSE 0 END) = 0 AS title_missing, max(CASE WHEN {legal.component(d, 't')} IS NOT NULL THEN 1 ELSE 0 END) = 0 AS preamble_missing FROM ({_nodes(d)}) n GROUP BY doc_id HAVING max(CASE WHEN kind = 'bab' THEN 1 ELSE 0 END) = 1"
+
+
+@declared("REV-06", "noisy")
+def _(d: Dialect) -> str:
+    return "SELECT doc_id, line_no FROM (SELECT doc_id, line_no, p, lag(p) OVER (PARTITION BY doc_id ORDER BY line_no) AS prev FROM (SELECT doc_id, line_no, CASE WHEN line_no % 37 = 36 THEN page - 1 ELSE page END AS p FROM noisy) a) b WHERE p < prev"
+
+
+@declared("REV-07", "words")
+def _(d: Dialect) -> str:
+    return "SELECT doc_id, page, sum(CASE WHEN confidence < 0.3 THEN 1 ELSE 0 END) AS low FROM words GROUP BY doc_id, page HAVING avg(confidence) < 0.3"
+
+
+@declared("REV-08", "noisy")
+def _(d: Dialect) -> str:
+    one = DECLARED["REV-01"][1](d)
+    three = DECLARED["REV-03"][1](d)
+    every = f"SELECT doc_id, line_no, type, CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END AS weight FROM ({one}) a UNION ALL SELECT doc_id, line_no, type, CASE WHEN type = 'orphan-item' THEN 1 ELSE 2 END FROM ({three}) b"
+    top = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, line_no, type) AS n FROM ({every}) e"
+    return f"SELECT doc_id, count(*) AS issues, round(greatest(0, 1 - sum(CASE weight WHEN 3 THEN 0.25 WHEN 2 THEN 0.1 ELSE 0.03 END)), 3) + CAST(0 AS DOUBLE) AS score FROM ({top}) t WHERE n <= 50 GROUP BY doc_id"
+
+
+# quality
+_simple("QM-01", "words", "doc_id, line_no, tok_no, word", garbage=lambda d: text.garbage_word(d, "word"))
+_simple("QM-09", "documents_", "doc_id", ratio=lambda d: text.common_ratio(d, "replace(text, ' the ', ' dan ')"))
+_simple("QM-10", "documents_", "doc_id", trustworthy=lambda d: text.trustworthy(d, "replace(text, ' the ', ' dan ')"))
+_simple("QM-11", "noisy", "doc_id, line_no", mirror=lambda d: f"({d.match('text', text.CJK)} OR {d.match('text', text.SYMBOL)} OR coalesce({text.common_ratio(d, 'text')} = 0, false))")
+_simple("QM-08", "documents_", "doc_id", dpi=lambda d: "CASE least(doc_id % 5, 2) WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 2.5 END + CAST(0 AS DOUBLE)", steps=lambda d: "CASE least(doc_id % 5, 2) WHEN 0 THEN 'enhanced' WHEN 1 THEN 'light' ELSE 'aggressive' END")
+_simple("SRC-14", "documents_", "doc_id", scale=lambda d: "2.0 * CASE WHEN doc_id % 2 = 0 THEN CASE least(doc_id % 7, 2) WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 2.5 END ELSE CASE least(doc_id % 7, 2) WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 2.0 END END + CAST(0 AS DOUBLE)")
+_simple("SRC-17", "documents_", "doc_id", file_hash=lambda d: d.sha("text"))
+_simple("QM-15", "documents_", "doc_id", chars=lambda d: "CAST(length(text) AS BIGINT)", cjk=lambda d: d.count("text", text.CJK), symbols=lambda d: d.count("text", text.SYMBOL), glued=lambda d: d.count("text", "[A-Za-z]{3,}[0-9]{2,4}"), dots=lambda d: d.count("text", r"[A-Za-z]{2,}\.[A-Za-z]{2,}"))
+
+
+def _pages(d: Dialect) -> str:
+    """QM-02."""
+    return f"SELECT doc_id, page, avg(confidence) AS confidence, count(*) AS word_count, sum(g) / CAST(count(*) AS DOUBLE) AS garbage_ratio, avg(CAST(length(word) AS DOUBLE)) AS avg_word_length, sum(c) AS cjk_words FROM (SELECT *, CASE WHEN {text.garbage_word(d, 'word')} THEN 1 ELSE 0 END AS g, CASE WHEN {d.match('word', text.CJK)} AND NOT {d.match('word', text.ALPHA)} THEN 1 ELSE 0 END AS c FROM words) w GROUP BY doc_id, page"
+
+
+def _scored(d: Dialect) -> str:
+    """QM-05 as written: a garbage ratio of nought counts as one."""
+    g = "CASE WHEN garbage_ratio = 0 THEN 1 ELSE garbage_ratio END"
+    return f"SELECT *, round(0.5 * confidence + 0.35 * (1 - {g}) + 0.15 * least(word_count / CAST(20 AS DOUBLE), 1), 4) AS score, {g} AS strict_ratio FROM ({_pages(d)}) p"
+
+
+DECLARED["QM-02"] = (("words",), lambda d: f"SELECT doc_id, page, round(confidence, 6) AS confidence, word_count, round(garbage_ratio, 6) AS garbage_ratio, round(avg_word_length, 6) AS avg_word_length, cjk_words FROM ({_pages(d)}) q")
+DECLARED["QM-05"] = (("words",), lambda d: f"SELECT doc_id, page, round(score, 3) AS score FROM ({_scored(d)}) q")
+DECLARED["QM-06"] = (("words",), lambda d: f"SELECT doc_id, page, word_count >= 5 AND confidence >= 0.3 AND strict_ratio <= 0.4 AND score >= 0.3 AS accepted FROM ({_scored(d)}) q")
+DECLARED["QM-07"] = (("words",), lambda d: f"SELECT doc_id, page, word_count < 5 OR (confidence < 0.3 AND word_count > 0) OR (garbage_ratio > 0.4 AND word_count >= 5) AS retry FROM ({_pages(d)}) q")
+
+
+@declared("QM-03", "noisy")
+def _(d: Dialect) -> str:
+    t, w = "t", "ws"
+    bad = f"({d.size(d.keep(w, 'u', d.match('u', '^[0-9]{1,2}$')))} > 0.6 * {d.size(w)} AND {d.size(d.keep(w, 'u', 'length(u) <= 2'))} > 0.6 * {d.size(w)} AND NOT {d.match(t, text.LATIN)} AND length(t) > 3)"
+    return f"SELECT doc_id, count(*) AS line_count, round(avg(CAST(length(t) AS DOUBLE)), 6) AS avg_line_length, round(1 - 0.8 * avg(CASE WHEN {bad} THEN 1.0 ELSE 0.0 END) + CAST(0 AS DOUBLE), 6) AS score FROM (SELECT doc_id, {d.trim('text')} AS t, {d.words('text')} AS ws FROM noisy) a WHERE t <> '' GROUP BY doc_id"
+
+
+@declared("QM-04", "blocks")
+def _(d: Dialect) -> str:
+    return f"SELECT doc_id, page, count(*) >= 3 AND avg(CASE WHEN {d.match('text', '^[0-9.,%]+$')} THEN 1.0 ELSE 0.0 END) > 0.3 AS has_table, round(avg(confidence), 6) AS quality FROM blocks GROUP BY doc_id, page"
+
+
+_LINE_SCORE = lambda d: f"(10 * coalesce({text.common_ratio(d, 'text')}, 0) + {d.count('text', '[A-Za-z]{3,}')} / CAST(60 AS DOUBLE) - 1.5 * {d.count('text', text.CJK)} - 2 * {d.size(d.keep(d.words('text'), 'u', text.garbage_word(d, 'u')))} / greatest(CAST({d.size(d.words('text'))} AS DOUBLE), 1))"
+_simple("QM-12", "noisy", "doc_id, line_no", readability=lambda d: f"round({_LINE_SCORE(d)}, 6)")
+_simple("QM-13", "noisy", "doc_id, line_no", readability=lambda d: f"round(10 * coalesce({text.common_ratio(d, 'text')}, 0) + 0.5 * least({d.count('text', '[A-Za-z]')} / CAST(80 AS DOUBLE), 1) + 0.3 * least({d.count('text', '[0-9]')} / CAST(150 AS DOUBLE), 1) - 1.5 * least({d.count('text', text.CJK)} / CAST(300 AS DOUBLE), 1), 6)")
+DECLARED["QM-14"] = (("noisy",), lambda d: f"SELECT doc_id, line_no, text FROM noisy WHERE NOT {d.match('text', text.CJK)} AND {_LINE_SCORE(d)} >= -0.5")
+_simple("MET-07", "documents_", "doc_id", score=lambda d: f"CASE WHEN {d.count('text', r'\+[-+]+\+')} = 0 THEN 0.0 ELSE 0.1 END + CAST(0 AS DOUBLE)")
+_simple("MET-08", "rough", "doc_id", score=lambda d: f"round(CASE WHEN {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])BAB{S}+([IVXLCDM]+($|[^A-Za-z0-9_])|[0-9]+)')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])Pasal{S}+[0-9]+')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.match('text', r'\([0-9]+[a-z]?\)')} OR {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])Ayat{S}+')} THEN 0.2 ELSE 0.0 END + CASE WHEN {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])Bagian{S}+(Kesatu|Kedua|Ketiga)')} THEN 0.2 ELSE 0.0 END + CAST(0 AS DOUBLE), 3)")
+
+
+# benchmark metrics
+_CER = "CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) > 0 THEN 1.0 ELSE 0.0 END WHEN length(hyp) = 0 THEN 1.0 ELSE levenshtein(lower(trim(hyp)), lower(trim(ref))) / CAST(greatest(length(trim(ref)), 1) AS DOUBLE) END"
+DECLARED["MET-01"] = (("hyp_ref",), lambda d: f"SELECT doc_id, engine, round({_CER}, 6) AS cer FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')}")
+DECLARED["MET-04"] = (("words",), lambda d: "SELECT doc_id, round(coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0), 6) AS confidence FROM words GROUP BY doc_id")
+DECLARED["MET-05"] = (("hyp_ref",), lambda d: "SELECT doc_id, engine, round(CASE WHEN duration_ms > 0 THEN pages * 1000 / CAST(duration_ms AS DOUBLE) ELSE 0 END, 6) AS speed FROM hyp_ref")
+DECLARED["MET-09"] = (("hyp_ref",), lambda d: f"SELECT engine, count(*) AS n, round(avg({_CER}), 5) AS avg_cer, sum(pages) AS pages, sum(duration_ms) AS duration_ms FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')} GROUP BY engine")
+DECLARED["SNK-11"] = (("hyp_ref",), lambda d: f"SELECT engine AS best, round(c, 5) AS avg_cer FROM (SELECT engine, c, row_number() OVER (ORDER BY c, engine) AS n FROM (SELECT engine, avg({_CER}) AS c FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')} GROUP BY engine) a) b WHERE n = 1")
+
+
+@declared("MET-06", "lines")
+def _(d: Dialect) -> str:
+    def breaks(cut: str) -> str:
+        kept = f"SELECT doc_id, line_no, {d.trim('text')} AS t FROM lines WHERE {cut}"
+        prev = f"SELECT doc_id, t, lag(t) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM ({kept}) a"
+        return f"SELECT doc_id, sum(CASE WHEN t <> '' AND {d.match('p', r'[.:\x22]$')} THEN 1 ELSE 0 END) AS n FROM ({prev}) b GROUP BY doc_id"
+
+    return f"SELECT r.doc_id, round(CASE WHEN r.n = 0 AND coalesce(h.n, 0) = 0 THEN 1 WHEN r.n = 0 OR coalesce(h.n, 0) = 0 THEN 0 ELSE least(h.n / CAST(r.n AS DOUBLE), r.n / CAST(h.n AS DOUBLE)) END, 6) AS layout FROM ({breaks('true')}) r LEFT JOIN ({breaks('line_no % 3 <> 1')}) h ON r.doc_id = h.doc_id"
+
+
+# outputs
+DECLARED["OUT-01"] = (("noisy",), lambda d: f"SELECT doc_id, {d.listed(d.sub('text', f'{S}+$'), 'line_no')} AS text FROM noisy GROUP BY doc_id")
+
+
+@declared("OUT-02", "noisy")
+def _(d: Dialect) -> str:
+    nl = d.newline()
+    line = f"CASE kind WHEN 'bab' THEN '## ' || t WHEN 'title' THEN '**' || t || '**' WHEN 'bagian' THEN '### ' || t WHEN 'paragraf' THEN '#### ' || t WHEN 'pasal' THEN '**Pasal ' || number || '**' || {nl} || {legal.body(d, 'kind', 't')} WHEN 'ayat' THEN '(' || number || ') ' || {legal.body(d, 'kind', 't')} WHEN 'huruf' THEN '  ' || number || '. ' || {legal.body(d, 'kind', 't')} WHEN 'angka' THEN '  ' || number || '. ' || {legal.body(d, 'kind', 't')} ELSE CASE WHEN {legal.component(d, 't')} IS NOT NULL THEN '**' || {d.extract('t', '^[A-Za-z]+')} || ':**' || {d.sub('t', f'^[A-Za-z]+{S}*:')} ELSE t END END"
+    return f"SELECT doc_id, {d.listed('line', 'line_no')} AS markdown FROM (SELECT doc_id, line_no, {line} AS line FROM ({_nodes(d)}) n) m GROUP BY doc_id"
+
+
+@declared("OUT-03", "noisy")
+def _(d: Dialect) -> str:
+    esc = "replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    line = f"CASE kind WHEN 'pasal' THEN '<div class=\"pasal\"><strong>' || {esc} || '</strong></div>' WHEN 'title' THEN '<h1>' || {esc} || '</h1>' WHEN 'bab' THEN '<h2>' || {esc} || '</h2>' ELSE '<p>' || {esc} || '</p>' END"
+    return f"SELECT doc_id, '<!DOCTYPE html><html><body>' || {d.listed('line', 'line_no', '')} || '</body></html>' AS html FROM (SELECT doc_id, line_no, {line} AS line FROM ({_nodes(d)}) n) m GROUP BY doc_id"
+
+
+@declared("OUT-05")
+def _(d: Dialect) -> str:
+    last = d.div("greatest(length(text) - 1, 0)", "800")
+    seq = f"sequence(0, CAST({last} AS INT))" if d.spark else f"range(0, CAST({last} AS BIGINT) + 1)"
+    return f"SELECT doc_id, CAST(k AS BIGINT) AS chunk, substr(text, CAST(k * 800 + 1 AS INT), 1000) AS text FROM (SELECT doc_id, text, {'explode' if d.spark else 'unnest'}({seq}) AS k FROM documents WHERE text <> '') a"
+
+
+DECLARED["OUT-06"] = ((), lambda d: f"SELECT doc_id || ':' || chunk AS id, text FROM ({DECLARED['OUT-05'][1](d)}) c")
+# sources
+_simple("SRC-05", "queue", "seq", url=lambda d: "CASE WHEN substr(coalesce(nullif(trim(url), ''), nullif(trim(file_url), '')), 1, 1) = '/' THEN 'https://api.example.com' || coalesce(nullif(trim(url), ''), nullif(trim(file_url), '')) ELSE coalesce(nullif(trim(url), ''), nullif(trim(file_url), '')) END")
+_simple("SRC-02", "queue", "seq", url=lambda d: d.sub("trim(file_url)", r"\s", "%20"))
+_simple("JQ-08", "queue", "seq", same_host=lambda d: f"coalesce({d.extract('trim(file_url)', '^https?://([^/]+)', 1)} = 'h.example.com', false)")
+_simple("JQ-09", "queue", "seq", file_name=lambda d: f"substr({d.subs(d.extract('trim(file_url)', '([^/]*)$', 1), (r'(?i)\.pdf$', ''), ('[^a-zA-Z0-9 _-]', '_'))}, 1, 200)")
+_simple("SRC-09", "documents_", "doc_id", score=lambda d: f"greatest({d.count('text', '/XObject')}, {d.count('text', '/Subtype /Image')}) - ({d.count('text', r'\([^)]{4,}\)')} + 5 * {d.count('text', 'TJ')})")
+_simple("SRC-11", "documents_", "doc_id", digital=lambda d: f"length(text) >= 100 AND ({d.count('text', r'\([^)]{3,}\)')} + 5 * {d.count('text', 'TJ')} > 20)")
+_simple("SRC-10", "documents_", "doc_id", pages=lambda d: f"greatest({d.count('text', '/Type /Page[^s]')}, 1)")
+_simple("SRC-08", "documents_", "doc_id", kind=lambda d: f"CASE WHEN length({d.trim('text')}) >= 200 AND length({d.trim('text')}) >= 15 * (1 + doc_id % 40) AND {text.trustworthy(d, 'text')} THEN 'TEXT' ELSE 'SCAN' END")
+DECLARED["SRC-12"] = (("words",), lambda d: f"SELECT doc_id, count(*) AS words, count(DISTINCT page) AS pages, max(CASE WHEN {d.match('word', '^[0-9]+$')} THEN 1 ELSE 0 END) AS numeric FROM words GROUP BY doc_id")
+DECLARED["SRC-07"] = ((), lambda d: d.exploded("(SELECT doc_id, text FROM documents) _d", "doc_id", d.split("replace(text, '. ', chr(12))", r"\f"), "part", "page").replace("SELECT doc_id, page,", "SELECT doc_id, CAST(page AS BIGINT) AS page,", 1))
+DECLARED["SRC-15"] = (("hyp_ref",), lambda d: "SELECT a.doc_id, a.hyp, b.ref FROM (SELECT doc_id, hyp FROM hyp_ref WHERE engine = 'paddle' AND doc_id % 3 <> 0) a JOIN (SELECT doc_id, ref FROM hyp_ref WHERE engine = 'surya' AND doc_id % 5 <> 0) b ON a.doc_id = b.doc_id")
+
+# the ledger
+_OK = "status = 'BERHASIL'"
+_SUMS = f"count(*) AS total, sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS berhasil, sum(CASE WHEN status = 'GAGAL' THEN 1 ELSE 0 END) AS gagal, sum(CASE WHEN status = 'RUSAK' THEN 1 ELSE 0 END) AS rusak, sum(CASE WHEN status = 'KOSONG' THEN 1 ELSE 0 END) AS kosong, sum(CASE WHEN text_uploaded = 1 THEN 1 ELSE 0 END) AS uploaded, round(avg(CAST(duration_seconds AS DOUBLE)), 1) AS avg_duration"
+_LEDGER = {
+    "ACT-01": lambda d: "SELECT id, file_name, status, created_at FROM activities WHERE output_text IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 200",
+    "ACT-02": lambda d: "SELECT id, file_name, status, file_hash FROM activities WHERE id = 17",
+    "ACT-03": lambda d: "SELECT id, file_name, status FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY id DESC) AS n FROM activities) a WHERE n = 1",
+    "ACT-04": lambda d: f"SELECT {_SUMS} FROM activities WHERE output_text IS NOT NULL",
+    "ACT-05": lambda d: f"SELECT {d.date_text('created_at')} AS date, count(*) AS total FROM activities WHERE output_text IS NOT NULL AND created_at >= {d.day(chr(39) + '2024-01-23' + chr(39))} GROUP BY {d.date_text('created_at')}",
+    "ACT-06": lambda d: f"SELECT DISTINCT q.source_url FROM activities q WHERE q.id % 2 = 1 AND EXISTS (SELECT 1 FROM activities a WHERE a.source_url = q.source_url AND a.{_OK})",
+    "ACT-07": lambda d: f"SELECT q.id FROM activities q WHERE EXISTS (SELECT 1 FROM activities a WHERE a.file_hash = q.file_hash AND a.{_OK} AND a.output_text IS NOT NULL AND a.id < 100)",
+    "ACT-08": lambda d: f"SELECT {_SUMS}, sum(CASE WHEN text_uploaded = 0 AND {_OK} THEN 1 ELSE 0 END) AS belum_uploaded FROM activities WHERE {d.day('created_at')} BETWEEN {d.day(chr(39) + '2024-01-05' + chr(39))} AND {d.day(chr(39) + '2024-01-20' + chr(39))}",
+    "ACT-09": lambda d: f"SELECT {d.date_text('created_at')} AS date, count(*) AS total, sum(text_uploaded) AS uploaded FROM activities GROUP BY {d.date_text('created_at')}",
+    "ACT-10": lambda d: "SELECT id, file_name, source_type, source_url, file_hash, status, error_message, page_count, file_size_bytes, CAST(duration_seconds AS DOUBLE) AS duration_seconds, text_uploaded, created_at FROM activities",
+    "ACT-12": lambda d: f"SELECT q.id, q.file_hash FROM activities q WHERE q.id >= 100 AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.file_hash = q.file_hash AND a.{_OK} AND a.output_text IS NOT NULL AND a.id < 100)",
+    "ACT-14": lambda d: "SELECT status, source_type, count(*) AS n, max(id) AS last_id FROM activities GROUP BY status, source_type",
+    "RPT-01": lambda d: "SELECT id, CASE status WHEN 'BERHASIL' THEN 'File berhasil dikonversi menjadi teks' WHEN 'GAGAL' THEN coalesce('Gagal: ' || error_message, 'Terjadi kesalahan saat pemrosesan') WHEN 'RUSAK' THEN coalesce('File rusak: ' || error_message, 'File PDF corrupt atau tidak bisa dibaca') WHEN 'KOSONG' THEN 'File 0 byte atau hasil konversi tidak menghasilkan teks' ELSE '-' END AS description FROM activities",
+    "RPT-02": lambda d: f"SELECT id, CASE {'dayofweek(created_at) - 1' if d.spark else 'dayofweek(created_at)'} WHEN 0 THEN 'Minggu' WHEN 1 THEN 'Senin' WHEN 2 THEN 'Selasa' WHEN 3 THEN 'Rabu' WHEN 4 THEN 'Kamis' WHEN 5 THEN 'Jumat' ELSE 'Sabtu' END AS day FROM activities",
+    "RPT-03": lambda d: "SELECT status, round(100.0 * n / CAST(sum(n) OVER () AS DOUBLE), 1) AS share FROM (SELECT status, count(*) AS n FROM activities GROUP BY status) a",
+    "RPT-04": lambda d: f"SELECT date, total, uploaded, greatest(total, uploaded) AS top FROM (SELECT {d.date_text('created_at')} AS date, count(*) AS total, sum(text_uploaded) AS uploaded FROM activities GROUP BY {d.date_text('created_at')}) a ORDER BY date LIMIT 14",
+    "SRC-06": lambda d: "SELECT id, file_name, status FROM activities WHERE output_text IS NOT NULL",
+    "SNK-04": lambda d: f"SELECT count(*) AS total, sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS berhasil, sum(CASE WHEN {_OK} THEN 0 ELSE 1 END) AS gagal FROM activities",
+    "SNK-05": lambda d: f"SELECT id, concat_ws(';', CAST(id AS {'STRING' if d.spark else 'VARCHAR'}), file_name, status, replace(CAST(duration_seconds AS {'STRING' if d.spark else 'VARCHAR'}), '.', ','), {'date_format(created_at, ' + chr(39) + 'dd-MM-yyyy' + chr(39) + ')' if d.spark else 'strftime(created_at, ' + chr(39) + '%d-%m-%Y' + chr(39) + ')'}) AS line FROM activities",
+    "SNK-09": lambda d: "SELECT q.id, coalesce(CASE WHEN q.id % 3 = 0 THEN 'file ' || q.file_name END, a.output_text) AS text FROM activities q LEFT JOIN (SELECT file_name, max(output_text) AS output_text FROM activities WHERE id % 2 = 0 GROUP BY file_name) a ON q.file_name = a.file_name",
+    "SNK-10": lambda d: "SELECT f.file_name, f.age_days > 30 OR l.file_name IS NOT NULL AS removed FROM (SELECT file_name, min(id) % 60 AS age_days FROM activities GROUP BY file_name) f LEFT JOIN (SELECT DISTINCT file_name FROM activities WHERE id < 50) l ON f.file_name = l.file_name",
+    "SNK-02": lambda d: "SELECT id, file_name, coalesce(page_count, 0) AS page_count, nullif(error_message, '') AS error_message, 1 AS text_uploaded FROM activities WHERE output_text IS NOT NULL",
+    "SNK-03": lambda d: "SELECT a.id, a.status FROM activities a WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM activities WHERE id % 10 = 3) d WHERE d.id = a.id)",
+}
+for _name, _f in _LEDGER.items():
+    DECLARED[_name] = (("activities",), _f)
+
+
+@declared("JQ-04", "queue")
+def _(d: Dialect) -> str:
+    u = "coalesce(nullif(trim(url), ''), nullif(trim(file_url), ''))"
+    return f"SELECT seq, id, CASE WHEN op <> 'new' THEN op WHEN {u} IS NULL THEN 'SKIPPED' WHEN outcome = 'BERHASIL' THEN 'PENDING' ELSE 'ACKED' END AS action FROM queue"
+
+
+@declared("JQ-03", "queue")
+def _(d: Dialect) -> str:
+    """State of each id after its last event, the machine's transitions folded by what came last."""
+    a = DECLARED["JQ-04"][1](d)
+    marks = f"SELECT id, coalesce(max(CASE WHEN action = 'reset' THEN seq END), -1) AS r FROM ({a}) a GROUP BY id"
+    live = f"SELECT a.id, a.seq, a.action, m.r FROM ({a}) a JOIN ({marks}) m ON a.id = m.id WHERE a.seq > m.r"
+    firsts = f"SELECT id, min(CASE WHEN action IN ('PENDING', 'ACKED') THEN seq END) AS f, max(CASE WHEN action = 'SKIPPED' THEN 1 ELSE 0 END) AS skipped FROM ({live}) l GROUP BY id"
+    saved = f"SELECT l.id, min(CASE WHEN l.seq = f.f THEN l.action END) AS first_action, max(CASE WHEN l.action = 'save' AND l.seq > f.f THEN 1 ELSE 0 END) AS saved FROM ({live}) l JOIN ({firsts}) f ON l.id = f.id GROUP BY l.id"
+    return f"SELECT m.id, CASE WHEN s.first_action = 'PENDING' AND s.saved = 1 THEN 'ACKED' WHEN s.first_action IS NOT NULL THEN s.first_action WHEN f.skipped = 1 THEN 'SKIPPED' ELSE 'NEW' END AS state FROM ({marks}) m LEFT JOIN ({firsts}) f ON m.id = f.id LEFT JOIN ({saved}) s ON m.id = s.id"
+
+
+DECLARED["JQ-06"] = (("queue",), lambda d: f"SELECT count(*) AS fetched, sum(CASE WHEN action = 'SKIPPED' THEN 1 ELSE 0 END) AS skipped, sum(CASE WHEN action = 'PENDING' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN action = 'ACKED' THEN 1 ELSE 0 END) AS acked FROM ({DECLARED['JQ-04'][1](d)}) a")
+DECLARED["JQ-10"] = (("queue",), lambda d: "SELECT seq, round(10 + 20 * (0.15 + 0.85 * (seq % 101) / CAST(100 AS DOUBLE)), 6) AS pct FROM queue")
+
+
+def _spark(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    views, select = DECLARED[name]
+    views = tuple(v for v in views if v != "documents_")
+    return lambda spark, sf_dir: spark.sql(compiled(SPARK, select(SPARK).replace("documents_", "documents"), views, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"flagship": flagship} | {n: _spark(n) for n in sorted(DECLARED)} | kernels.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: compiled(DUCK, f(DUCK).replace("documents_", "documents"), tuple(v for v in views if v != "documents_")) for n, (views, f) in DECLARED.items()} | {"flagship": _flagship_sql(DUCK)}
+
+
+def _flagship_sql(d: Dialect, sf_dir: str = "") -> str:
+    """Page furniture and garbage tokens out of the lines, the rest as one text with its pages' mean score."""
+    cleaned = d.join(d.keep(d.words("text"), "u", f"NOT {text.output_garbage(d, 'u')}"), " ")
+    kept = DECLARED["TOK-17"][1](d)
+    body = f"SELECT doc_id, {d.listed('t', 'line_no')} AS text FROM (SELECT doc_id, line_no, {text.inner_dots(d, text.glued_bab(d, text.glued_number(d, cleaned)))} AS t FROM ({kept}) k) c GROUP BY doc_id"
+    score = f"SELECT doc_id, round(avg(score), 3) AS score, count(*) AS pages FROM ({_scored(d)}) s GROUP BY doc_id"
+    return compiled(d, f"SELECT b.doc_id, b.text, s.score, s.pages FROM ({body}) b JOIN ({score}) s ON b.doc_id = s.doc_id", ("noisy", "words"), sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spark.sql(_flagship_sql(SPARK, sf_dir))
