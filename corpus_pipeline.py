@@ -29,7 +29,8 @@ def _only(docs: DataFrame) -> DataFrame:
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     rows = _numbered(docs)
-    kept = quality_rules.apply_rules(rows, keep=tuple(f"`{c}`" for c in rows.columns if c == ROW)).where("kept").select(ROW)
+    # written before it filters: else the optimizer puts the whole projection into the filter, once for each use
+    kept = spill(quality_rules.apply_rules(rows.select(ROW, "text"), keep=(ROW,)).select(ROW, "kept")).where("kept")
     return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
