@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cmp_to_key
 from typing import Any
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.lexicon import DICTIONARY, STOP
 from foliospark.functions.text import TYPOS
+from foliospark.operators import images
 from foliospark.plans.dialect import SPARK
 from foliospark.plans.views import compiled
+from foliospark.streaming import queue
 
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
 _SYMBOL = re.compile(r"[Ͱ-Ͽ∀-⋿⌀-⏿─-╿⁰-₟²³¹¼-¾]")
@@ -466,17 +469,52 @@ def _wer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(_view(spark, sf_dir, "hyp_ref"), "doc_id long, engine string, wer double", wer, ["doc_id", "engine"], ["hyp", "ref"], "wer")
 
 
-def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grids(spark: SparkSession, sf_dir: str, low: int = 3) -> DataFrame:
     from foliospark import queries as q
 
     rows = spark.sql(compiled(SPARK, q._grid(SPARK), ("html_tables",), sf_dir))
     each = F.sort_array(F.collect_list(F.struct("r", "cells")))
     tables = rows.groupBy("table_id").agg(F.transform(each, lambda x: x["cells"]).alias("rows"))
-    return _mapped(tables, "table_id long, value string", ascii_grid, ["table_id"], ["rows"], "value")
+    return _mapped(tables, "table_id long, value string", lambda rows: ascii_grid(rows, low), ["table_id"], ["rows"], "value")
+
+
+def _pages(f: Callable[[np.ndarray], Any], kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A pixel kernel over a drawn page a document."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spark.sql(compiled(SPARK, "SELECT doc_id FROM documents", (), sf_dir))
+        return _mapped(docs, f"doc_id long, value {kind}", lambda i: f(images.drawn(i % 5, (160 + i % 3 * 10, 200))), ["doc_id"], ["doc_id"], "value")
+
+    return run
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JQ-01: the queue's table as a drained stream."""
+    events = _view(spark, sf_dir, "queue").select("id", "seq", "op", "outcome", F.coalesce(F.when(F.trim("url") != "", F.trim("url")), F.trim("file_url")).alias("url"))
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    root = f"{root.rstrip('/')}/queue-{uuid.uuid4().hex}"
+    events.write.parquet(f"{root}/in")
+    queue.drain(spark, f"{root}/in", f"{root}/out", f"{root}/check", 1000)
+    return spark.read.schema(queue.ACTIONS + ", batch int").parquet(f"{root}/out").select("id", "seq", "action", "state")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "IMG-02": _pages(images.otsu, "long"),
+        "IMG-03": _pages(lambda p: int(images.median(p).sum()), "long"),
+        "IMG-06": _pages(images.projection_skew, "double"),
+        "IMG-07": _pages(images.hough_skew, "double"),
+        "IMG-09": _pages(lambda p: int(images.rotated(images.mirrored(p), 2).sum()), "long"),
+        "IMG-11": _pages(lambda p: images.lines(p, 1), "array<long>"),
+        "IMG-12": _pages(lambda p: [list(map(int, r)) for r in images.regions(p)], "array<array<long>>"),
+        "IMG-13": _pages(lambda p: [list(map(int, r)) for r in images.regions(p, True)], "array<array<long>>"),
+        "JQ-01": _queue,
+        "LAY-06": _by_page(lambda b: [list(box({k: x[k] for k in "xywh"}, 150, 200)) for x in b], "array<array<long>>"),
+        "LAY-09": _by_page(lambda b: [columns_match(p, q) for p, q in zip(grid_rows(b), grid_rows(b)[1:], strict=False)], "array<boolean>"),
+        "REV-09": _tree(lambda n: [roman(x) if x else None for x in n], "array<long>", "number"),
+        "TBL-07": lambda spark, sf_dir: _grids(spark, sf_dir, 5),
+        "TRE-09": _tree(lambda kinds: [[i, -1 if p is None else p] for i, p in enumerate(parents(kinds))], "array<array<long>>", "kind"),
+        "WRD-01": _line(lambda x: [w for a, b in zip(x.split(), x.split()[1:], strict=False) if (w := merged_word(a, b))], "array<string>"),
         "TOK-12": _line(clean_line),
         "TOK-13": _document(lambda lines: clean_text("\n".join(lines))),
         "TOK-14": _document(_with_document_words),

@@ -464,6 +464,42 @@ DECLARED["JQ-06"] = (("queue",), lambda d: f"SELECT count(*) AS fetched, sum(CAS
 DECLARED["JQ-10"] = (("queue",), lambda d: "SELECT seq, round(10 + 20 * (0.15 + 0.85 * (seq % 101) / CAST(100 AS DOUBLE)), 6) AS pct FROM queue")
 
 
+DECLARED["TBL-01"] = (("html_tables",), lambda d: f"SELECT table_id, r, {d.join('cells', '¦')} AS cells FROM ({_grid(d)}) g")
+DECLARED["TBL-15"] = (("html_tables",), lambda d: f"SELECT table_id, sum({d.size(d.keep('cells', 'c', 'c <> ' + chr(39) * 2))}) >= 4 AND max(CASE WHEN {d.match(d.join('cells', ' '), '[0-9]')} THEN 1 ELSE 0 END) = 1 AS usable FROM ({_grid(d)}) g GROUP BY table_id")
+DECLARED["REV-04"] = (("html_tables",), lambda d: f"SELECT table_id FROM ({_grid(d)}) g GROUP BY table_id HAVING sum(CASE WHEN NOT header AND {d.size(d.keep('cells', 'c', 'c <> ' + chr(39) * 2))} >= 2 THEN 1 ELSE 0 END) < 2")
+DECLARED["TRE-04"] = (("noisy",), lambda d: f"SELECT doc_id, line_no FROM noisy WHERE {d.match('text', legal.TABLE_ROW)} OR {d.match('text', legal.TABLE_SEPARATOR)} OR (length(text) > 20 AND {d.match('text', '[|+]')})")
+DECLARED["TRE-11"] = (("noisy",), lambda d: f"SELECT doc_id, line_no, kind, number, level, page, t AS title, {d.sub(d.trim(legal.body(d, 'kind', 't')), f'{S}+', ' ')} AS text FROM ({_nodes(d)}) n")
+DECLARED["SRC-18"] = ((), lambda d: f"SELECT doc_id, CASE WHEN n_chars = 0 THEN 'KOSONG' WHEN {d.trim('text')} = '' THEN 'KOSONG' WHEN doc_id % 11 = 3 THEN 'RUSAK' WHEN doc_id % 13 = 5 THEN 'GAGAL' ELSE 'BERHASIL' END AS status FROM documents")
+DECLARED["ACT-11"] = (("activities",), lambda d: "SELECT id, coalesce(nullif(file_name, ''), 'doc') AS file_name, CASE WHEN id % 7 = 2 THEN 1 ELSE text_uploaded END AS text_uploaded FROM activities WHERE id % 10 <> 3")
+DECLARED["ACT-13"] = (("activities",), lambda d: "SELECT id, file_name, source_type IN ('url', 'upload') AS source_ok, status IN ('BERHASIL', 'GAGAL', 'RUSAK', 'KOSONG') AS status_ok FROM activities")
+DECLARED["SNK-12"] = (("blocks",), lambda d: "SELECT doc_id, ord, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM blocks) b WHERE n <= 500")
+DECLARED["JQ-05"] = (("queue",), lambda d: "SELECT id, max(seq) AS last_reset FROM queue WHERE op = 'reset' GROUP BY id")
+DECLARED["JQ-02"] = (("queue",), lambda d: "SELECT q.id, min(q.seq) AS first_seen FROM queue q LEFT JOIN (SELECT id, max(seq) AS r FROM queue WHERE op = 'reset' GROUP BY id) m ON q.id = m.id WHERE q.op = 'new' AND q.seq > coalesce(m.r, -1) GROUP BY q.id")
+
+
+@declared("WRD-04", "words")
+def _(d: Dialect) -> str:
+    """Words of each document that the dictionary has, the dictionary as a table."""
+    from foliospark.functions.lexicon import DICTIONARY
+
+    rows = ", ".join(f"('{w}')" for w in sorted(DICTIONARY))
+    return f"SELECT w.doc_id, count(*) AS n FROM words w JOIN (SELECT * FROM (VALUES {rows}) AS v(word)) x ON lower(w.word) = x.word GROUP BY w.doc_id"
+
+
+@declared("TYP-02", "words")
+def _(d: Dialect) -> str:
+    rows = ", ".join(f"('{a}', '{b}')" for a, b in text.TYPOS.items())
+    return f"SELECT w.doc_id, w.line_no, w.tok_no, CASE WHEN upper(w.word) = w.word THEN upper(x.fix) WHEN upper(substr(w.word, 1, 1)) = substr(w.word, 1, 1) THEN upper(substr(x.fix, 1, 1)) || substr(x.fix, 2) ELSE x.fix END AS word FROM words w JOIN (SELECT * FROM (VALUES {rows}) AS v(bad, fix)) x ON lower(w.word) = x.bad"
+
+
+@declared("TBL-14", "blocks")
+def _(d: Dialect) -> str:
+    """Blocks outside a page's table region, then the table's own."""
+    table = "SELECT doc_id, page, min(x) AS tx, min(y) AS ty, 100.0 AS tw, 60.0 AS th, count(*) AS n FROM blocks WHERE page % 2 = 0 GROUP BY doc_id, page"
+    kept = f"SELECT b.doc_id, b.page, b.ord FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM ({table}) t WHERE t.doc_id = b.doc_id AND t.page = b.page AND b.x + b.w / 2 BETWEEN tx AND tx + tw AND b.y + b.h / 2 BETWEEN ty AND ty + th)"
+    return f"{kept} UNION ALL SELECT doc_id, page, -1 AS ord FROM ({table}) u"
+
+
 def _spark(name: str) -> Callable[[SparkSession, str], DataFrame]:
     views, select = DECLARED[name]
     views = tuple(v for v in views if v != "documents_")
