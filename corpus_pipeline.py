@@ -1,7 +1,7 @@
 """The corpus pipeline: STAGES applied to `documents`, each written as Parquet and read again as the next one's docs.
 
-Stages return the columns of documents, the last one its pieces. Rows are told apart by a number that each stage gives
-them when it starts, so repeated ids and rows, nulls and further columns are as good as any. Empty tables pass through.
+Stages return the columns of documents, the last one its pieces. Repeated ids and rows, nulls and further columns, whatever
+their names, are as good as any. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -16,48 +16,36 @@ from foliospark.llm.queries import tokenizer
 ROW = "_folio_row"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number that stays: written, so that no task run anew can number them otherwise."""
-    return spill(docs.withColumn(ROW, F.monotonically_increasing_id()))
-
-
-def _only(docs: DataFrame) -> DataFrame:
-    """What the operators read, with the row's number as its id."""
-    return docs.select(F.col(ROW).alias("doc_id"), "text")
-
-
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    rows = _numbered(docs)
-    # written before it filters: else the optimizer puts the whole projection into the filter, once for each use
-    kept = spill(quality_rules.apply_rules(rows.select(ROW, "text"), keep=(ROW,)).select(ROW, "kept")).where("kept")
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    judged = quality_rules.apply_rules(docs.select(F.struct("*").alias("_doc"), "text"), keep=("_doc",))
+    # an id in the verdict keeps the optimizer from putting the whole projection into the filter, once for each use
+    kept = judged.select("_doc", F.when(F.monotonically_increasing_id() >= 0, F.col("kept")).alias("_kept"))
+    return kept.where("_kept").select("_doc.*")
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents, the one with the least doc_id stays, of ties the first row; texts without words stay."""
-    rows = _numbered(docs)
-    classes = jaccard_join.classes(_only(rows)).select(F.col("doc_id").alias(ROW), "component_id")
+    # written with their numbers, so that no later scan can number them otherwise
+    rows = spill(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    classes = jaccard_join.classes(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     first = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("_f"))
     return rows.join(first.select(F.col("_f")[ROW].alias(ROW)), ROW, "left_semi").select(*docs.columns)
 
 
 def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that occur again anywhere go; documents stay, with n_chars of what is left."""
-    rows = _numbered(docs)
-    left = repeats.cleaned(rows.select(ROW, "text"), ROW).select(ROW, F.col("text").alias("_folio_text"))
-    text = F.when(F.col("text").isNotNull(), F.col("_folio_text"))
-    out = rows.join(left, ROW)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("_folio_text").cast("long")).otherwise(F.col("n_chars")))
-    return out.withColumn("text", text).select(*docs.columns)
+    out = repeats.cleaned(docs)
+    if dict(docs.dtypes).get("n_chars") == "bigint":
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go."""
-    rows = _numbered(docs)
-    bad = decontam.contamination(_only(rows), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(ROW))
-    return rows.join(bad, ROW, "left_anti").select(*docs.columns)
+    """Documents with windows of two or more benchmark items go; a verdict belongs to an id and a text, so to all rows that repeat them."""
+    bad = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_folio_id"), F.col("text_key").alias("_folio_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("_folio_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_folio_key"))
+    return docs.join(spill(bad), same, "left_anti")
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

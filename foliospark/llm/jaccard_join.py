@@ -277,7 +277,9 @@ def classes(docs: DataFrame) -> DataFrame:
     named = member.select("node", "root").join(root, "root").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     null = lambda c: F.when(c != _NONE, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = spill(out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component_id", "doc_id")).alias("component_id")))
+    discard(rows, nodes, lists, fragments, member)
+    return out
 
 
 def sql() -> str:

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
-from .common import spill
-from .shards import open_shard, text_shards
+from .common import discard, spill
+from .shards import open_rest, open_shard, row_shards, text_shards
 from .textbytes import mix
 
 LENGTH, GRAM = 200, 40
@@ -366,34 +366,44 @@ def _digest(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=known == 0), "n_bytes": np.diff(offsets), "n_removed": np.diff(upto[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": pa.array(kept, pa.string())})
 
 
-def _texts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """row (as the id) and what is left of its text; bytes of broken characters go too."""
-    ids, _, data, offsets = open_shard(left.column("payload")[0].as_py())
-    gone = _covered(data, right)
-    kept = [data[a:b][~gone[a:b]].tobytes().decode(errors="ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return pa.table({"row": pa.array(ids, pa.int64()), "text": pa.array(kept, pa.string())})
+def _rows(place: int):
+    def rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        """A shard's rows with what is left of their texts; bytes of broken characters go too, null stays null."""
+        _, known, data, offsets = open_shard(left.column("payload")[0].as_py())
+        gone = _covered(data, right)
+        kept = [data[a:b][~gone[a:b]].tobytes().decode(errors="ignore") if k else None for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), known.tolist(), strict=True)]
+        rest = open_rest(left.column("rest")[0].as_py())
+        return rest.add_column(place, "text", pa.array(kept, pa.string()))
 
+    return rows
 
-def _marked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shards of docs (id, text), and all marks."""
-    n = keyed.buckets(docs, docs.columns[1])
-    shards = spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none")
+
+def _marked(shards: DataFrame, n: int) -> DataFrame:
+    """All marks of shards (shard, payload)."""
+    shards = shards.select("shard", "payload")
     asked = shards.mapInArrow(_ask(n), "bucket int, shard string, payload binary")
     codes = asked.groupBy("bucket").applyInArrow(_count, "shard string, bucket int, payload binary")
     sent = spill(shards.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(_supply(n), "kind int, bucket int, shard string, payload binary"), "none")
     marks = sent.where("kind = 0").select("shard", "payload")
     for kind, fn in ((1, _index), (2, _windows)):
         marks = marks.unionByName(sent.where(F.col("kind") == kind).select("bucket", "shard", "payload").groupBy("bucket").applyInArrow(fn, _MARKS))
-    return shards, marks
+    marks = spill(marks, "none")
+    del asked, codes
+    discard(sent)
+    return marks
 
 
 def removed(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. A row for each document, as in REMOVED."""
-    shards, marks = _marked(docs.select("doc_id", "text"))
+    docs = docs.select("doc_id", "text")
+    shards = spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none")
+    marks = _marked(shards, keyed.buckets(docs))
     return shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_digest, REMOVED)
 
 
-def cleaned(docs: DataFrame, row: str = "row") -> DataFrame:
-    """docs: a long row number and text. row, text: what is left of each text."""
-    shards, marks = _marked(docs.select(row, "text"))
-    return shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_texts, "row long, text string").withColumnRenamed("row", row)
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs: any columns, text among them. The same rows with what is left of their texts."""
+    place = docs.columns.index("text")
+    shards = spill(docs.mapInArrow(row_shards(place), "shard string, payload binary, rest binary"), "none")
+    marks = _marked(shards, keyed.buckets(docs))
+    return shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_rows(place), docs.schema)

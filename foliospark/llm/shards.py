@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 from . import keyed
-from .textbytes import column_bytes
+from .textbytes import column_bytes, row_runs
 
 SHARD_BYTES = 8 << 20
 
@@ -40,6 +41,33 @@ def text_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def row_shards(place: int):
+    """Shards of whole rows: the text is the column at that place, all others travel packed beside it, as `rest`."""
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            _, offsets = column_bytes(batch.column(place))
+            others = batch.select([i for i in range(batch.num_columns) if i != place])
+            for a, b in row_runs(offsets, SHARD_BYTES):
+                text, known = batch.column(place)[a:b], batch.column(place)[a:b].is_valid()
+                data, at = column_bytes(text)
+                payload = keyed.pack(np.arange(b - a), np.array(known.to_pylist(), np.uint8), np.diff(at), data)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, others.schema) as out:
+                    out.write_batch(others.slice(a, b - a))
+                yield pa.RecordBatch.from_pydict({"shard": [f"{part}-{n}"], "payload": [payload], "rest": [zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())]})
+                n += 1
+
+    return shards
+
+
+def open_rest(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed)).read_all()
+
+
 def open_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, whether each isn't null, all bytes, and the offsets of the texts."""
     ids, known, sizes, data = keyed.unpack(payload)

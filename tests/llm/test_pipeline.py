@@ -63,4 +63,10 @@ def test_stages_return_documents_columns(spark, sf_dir, k):
     out = corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
     assert out.schema == docs.schema
     assert len(out.collect()) == [2, 4, 5, 5][k]
-    assert corpus_pipeline.STAGES[k][1](spark, docs.where("false"), sf_dir).collect() == []
+
+
+def test_empty_documents(spark, sf_dir):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.collect() == []
