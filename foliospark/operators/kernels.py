@@ -23,6 +23,7 @@ from foliospark.functions.text import TYPOS
 from foliospark.operators import images
 from foliospark.plans.dialect import SPARK
 from foliospark.plans.views import compiled
+from foliospark.sources import ocr, readers, writers
 from foliospark.streaming import queue
 
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
@@ -498,9 +499,72 @@ def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(queue.ACTIONS + ", batch int").parquet(f"{root}/out").select("id", "seq", "action", "state")
 
 
+def _folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    return f"{root.rstrip('/')}/folio-{uuid.uuid4().hex}"
+
+
+def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _view(spark, sf_dir, "hyp_ref").where(r"(hyp || ref) rlike r'^[\x00-\x7F]*$'")
+    return _mapped(rows, "doc_id long, engine string, distance long", lambda h, r: edits(list(h), list(r)), ["doc_id", "engine"], ["hyp", "ref"], "distance")
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written by file name and read back."""
+    path = _folder(spark)
+    docs = spark.sql(compiled(SPARK, "SELECT 'doc_' || doc_id % 20 AS file_name, replace(text, '\n', ' ') AS text FROM documents", (), sf_dir))
+    writers.text_cache(docs, path)
+    return spark.read.text(path).select("file_name", "value")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    rows = _view(spark, sf_dir, "queue").select(F.col("seq").cast("string").alias("id"), F.coalesce(F.trim("file_url"), F.lit("")).alias("url"), F.concat(F.lit("nama "), F.col("id").cast("string")).alias("nama"))
+    rows.write.json(path)
+    return spark.read.schema("id string, url string, nama string").json(path)
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queue rows wrapped in the three shapes of a payload, and taken out again."""
+    item = F.to_json(F.struct(F.col("seq").alias("id"), "url", "file_url"))
+    shape = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("["), item, F.lit("]"))).when(F.col("seq") % 3 == 1, F.concat(F.lit('{"data":['), item, F.lit("]}"))).otherwise(F.concat(F.lit('{"result":['), item, F.lit("]}")))
+    rows = _view(spark, sf_dir, "queue").select(shape.alias("payload"))
+    return rows.select(F.explode(readers.items(F.col("payload"))).alias("i")).select("i.*").select("id", readers.address("https://api.example.com").alias("url"))
+
+
+class _Ruler:
+    """An engine that reads a drawn page's lines, for want of a model."""
+
+    def recognise(self, image: bytes, width: int, height: int) -> list[dict]:
+        page = np.frombuffer(image, np.uint8).reshape(height, width)
+        return [{"text": f"line {y}", "confidence": 0.9, "x": 0.0, "y": float(y), "w": float(width), "h": 1.0} for y in images.lines(page, 1)]
+
+
+def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.sql(compiled(SPARK, "SELECT doc_id FROM documents", (), sf_dir))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "page": pa.array([0] * len(ids), pa.int32()), "image": [images.drawn(i % 5, (160, 200)).tobytes() for i in ids], "width": pa.array([200] * len(ids), pa.int32()), "height": pa.array([160] * len(ids), pa.int32())})
+
+    pages = docs.mapInArrow(draw, "doc_id long, page int, image binary, width int, height int")
+    return ocr.blocks(pages, [_Ruler], bool)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "IMG-01": _pages(lambda p: int(images.gray(np.repeat(p[..., None], 3, 2)).sum()), "long"),
         "IMG-02": _pages(images.otsu, "long"),
+        "IMG-04": _pages(lambda p: int(images.upscaled(p, 2).sum()), "long"),
+        "IMG-05": _pages(lambda p: int(images.prepared(p).sum()), "long"),
+        "IMG-10": _pages(images.upright, "string"),
+        "MET-03": _edits,
+        "SNK-01": _cached,
+        "SRC-01": _links,
+        "SRC-04": _payloads,
+        "SRC-16": _pages(lambda p: 3.0 if images.regions(p) else 2.0, "double"),
+        "UDF-01": _recognised,
         "IMG-03": _pages(lambda p: int(images.median(p).sum()), "long"),
         "IMG-06": _pages(images.projection_skew, "double"),
         "IMG-07": _pages(images.hough_skew, "double"),

@@ -500,6 +500,11 @@ def _(d: Dialect) -> str:
     return f"{kept} UNION ALL SELECT doc_id, page, -1 AS ord FROM ({table}) u"
 
 
+DECLARED["SNK-07"] = (("queue",), lambda d: f"SELECT seq, id, CASE action WHEN 'reset' THEN 0 ELSE 1 END AS converted FROM ({DECLARED['JQ-04'][1](d)}) a WHERE action IN ('reset', 'ACKED', 'save')")
+DECLARED["SNK-08"] = (("queue",), lambda d: f"SELECT seq, CASE action WHEN 'SKIPPED' THEN 'skip' WHEN 'ACKED' THEN 'error' ELSE 'result' END AS event, id FROM ({DECLARED['JQ-04'][1](d)}) a WHERE action IN ('SKIPPED', 'ACKED', 'PENDING')")
+DECLARED["JQ-11"] = ((), lambda d: "SELECT count(*) > 0 AS configured, 3 AS sample FROM events")
+
+
 def _spark(name: str) -> Callable[[SparkSession, str], DataFrame]:
     views, select = DECLARED[name]
     views = tuple(v for v in views if v != "documents_")
@@ -511,7 +516,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: compiled(DUCK, f(DUCK).replace("documents_", "documents"), tuple(v for v in views if v != "documents_")) for n, (views, f) in DECLARED.items()} | {"flagship": _flagship_sql(DUCK)}
+    return {n: compiled(DUCK, f(DUCK).replace("documents_", "documents"), tuple(v for v in views if v != "documents_")) for n, (views, f) in DECLARED.items()} | {"flagship": _flagship_sql(DUCK)} | _kernels_sql()
+
+
+def _kernels_sql() -> dict[str, str]:
+    """Kernels that SQL can express in another way."""
+    d = DUCK
+    address = "coalesce(nullif(trim(url), ''), nullif(trim(file_url), ''))"
+    return {
+        "MET-03": compiled(d, f"SELECT doc_id, engine, CAST(levenshtein(hyp, ref) AS BIGINT) AS distance FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')}", ("hyp_ref",)),
+        "SNK-01": "SELECT 'doc_' || CAST(doc_id % 20 AS VARCHAR) AS file_name, replace(text, chr(10), ' ') AS value FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''",
+        "SRC-01": compiled(d, "SELECT CAST(seq AS VARCHAR) AS id, coalesce(trim(file_url), '') AS url, 'nama ' || CAST(id AS VARCHAR) AS nama FROM queue", ("queue",)),
+        "SRC-04": compiled(d, f"SELECT seq AS id, CASE WHEN substr({address}, 1, 1) = '/' THEN 'https://api.example.com' || {address} ELSE {address} END AS url FROM queue", ("queue",)),
+    }
 
 
 def _flagship_sql(d: Dialect, sf_dir: str = "") -> str:
