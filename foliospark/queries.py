@@ -318,17 +318,17 @@ _simple("QM-15", "documents_", "doc_id", chars=lambda d: "CAST(length(text) AS B
 
 def _pages(d: Dialect) -> str:
     """QM-02."""
-    return f"SELECT doc_id, page, avg(confidence) AS confidence, count(*) AS word_count, sum(g) / CAST(count(*) AS DOUBLE) AS garbage_ratio, avg(CAST(length(word) AS DOUBLE)) AS avg_word_length, sum(c) AS cjk_words FROM (SELECT *, CASE WHEN {text.garbage_word(d, 'word')} THEN 1 ELSE 0 END AS g, CASE WHEN {d.match('word', text.CJK)} AND NOT {d.match('word', text.ALPHA)} THEN 1 ELSE 0 END AS c FROM words) w GROUP BY doc_id, page"
+    return f"SELECT doc_id, page, sum(CAST(round(confidence * 1000000) AS BIGINT)) / CAST(count(*) * 1000000 AS DOUBLE) AS confidence, count(*) AS word_count, sum(g) / CAST(count(*) AS DOUBLE) AS garbage_ratio, avg(CAST(length(word) AS DOUBLE)) AS avg_word_length, sum(c) AS cjk_words FROM (SELECT *, CASE WHEN {text.garbage_word(d, 'word')} THEN 1 ELSE 0 END AS g, CASE WHEN {d.match('word', text.CJK)} AND NOT {d.match('word', text.ALPHA)} THEN 1 ELSE 0 END AS c FROM words) w GROUP BY doc_id, page"
 
 
 def _scored(d: Dialect) -> str:
     """QM-05 as written: a garbage ratio of nought counts as one."""
     g = "CASE WHEN garbage_ratio = 0 THEN 1 ELSE garbage_ratio END"
-    return f"SELECT *, round(0.5 * confidence + 0.35 * (1 - {g}) + 0.15 * least(word_count / CAST(20 AS DOUBLE), 1), 4) AS score, {g} AS strict_ratio FROM ({_pages(d)}) p"
+    return f"SELECT *, floor((0.5 * confidence + 0.35 * (1 - {g}) + 0.15 * least(word_count / CAST(20 AS DOUBLE), 1)) * 10000 + 0.5) / CAST(10000 AS DOUBLE) AS score, {g} AS strict_ratio FROM ({_pages(d)}) p"
 
 
 DECLARED["QM-02"] = (("words",), lambda d: f"SELECT doc_id, page, round(confidence, 6) AS confidence, word_count, round(garbage_ratio, 6) AS garbage_ratio, round(avg_word_length, 6) AS avg_word_length, cjk_words FROM ({_pages(d)}) q")
-DECLARED["QM-05"] = (("words",), lambda d: f"SELECT doc_id, page, round(score, 3) AS score FROM ({_scored(d)}) q")
+DECLARED["QM-05"] = (("words",), lambda d: f"SELECT doc_id, page, score FROM ({_scored(d)}) q")
 DECLARED["QM-06"] = (("words",), lambda d: f"SELECT doc_id, page, word_count >= 5 AND confidence >= 0.3 AND strict_ratio <= 0.4 AND score >= 0.3 AS accepted FROM ({_scored(d)}) q")
 DECLARED["QM-07"] = (("words",), lambda d: f"SELECT doc_id, page, word_count < 5 OR (confidence < 0.3 AND word_count > 0) OR (garbage_ratio > 0.4 AND word_count >= 5) AS retry FROM ({_pages(d)}) q")
 
@@ -536,7 +536,7 @@ def _flagship_sql(d: Dialect, sf_dir: str = "") -> str:
     cleaned = d.join(d.keep(d.words("text"), "u", f"NOT {text.output_garbage(d, 'u')}"), " ")
     kept = DECLARED["TOK-17"][1](d)
     body = f"SELECT doc_id, {d.listed('t', 'line_no')} AS text FROM (SELECT doc_id, line_no, {text.inner_dots(d, text.glued_bab(d, text.glued_number(d, cleaned)))} AS t FROM ({kept}) k) c GROUP BY doc_id"
-    score = f"SELECT doc_id, round(avg(score), 3) AS score, count(*) AS pages FROM ({_scored(d)}) s GROUP BY doc_id"
+    score = f"SELECT doc_id, sum(CAST(round(score * 10000) AS BIGINT)) / CAST(count(*) * 10000 AS DOUBLE) AS score, count(*) AS pages FROM ({_scored(d)}) s GROUP BY doc_id"
     return compiled(d, f"SELECT b.doc_id, b.text, s.score, s.pages FROM ({body}) b JOIN ({score}) s ON b.doc_id = s.doc_id", ("noisy", "words"), sf_dir)
 
 
