@@ -15,14 +15,18 @@ def _lines(d: Dialect) -> str:
 
 
 def _noisy(d: Dialect) -> str:
+    """Furniture as lines of its own beside the text's: line n of a document is 2n, or 2n and 2n + 1 with a furniture line."""
     n = "line_no"
     cast = lambda x: f"CAST({x} AS STRING)" if d.spark else f"CAST({x} AS VARCHAR)"
-    return f"""SELECT doc_id, line_no, page, CASE
-  WHEN {n} % 20 = 0 THEN 'PEMERINTAH KABUPATEN' WHEN {n} % 20 = 19 THEN '- ' || {cast('page + 1')} || ' -'
+    furniture = f"""CASE WHEN {n} % 20 = 0 THEN 'PEMERINTAH KABUPATEN' WHEN {n} % 20 = 19 THEN '- ' || {cast('page + 1')} || ' -'
   WHEN {n} % 20 = 18 THEN 'NIP. 19701022 1998031006' WHEN {n} % 23 = 5 THEN 'Menimbang :' WHEN {n} % 29 = 9 THEN 'SALINAN E3' WHEN {n} % 31 = 3 THEN 'PERATURAN BUPATI DAIRI NOMOR 20 TAHUN 2020'
-  WHEN {n} % 15 = 12 THEN 'BAB ' || CASE ({d.div(n, '15')}) % 5 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'IV' WHEN 3 THEN 'III' ELSE 'III' END || ' KETENTUAN'
-  WHEN {n} % 7 = 1 THEN 'Pasal ' || {cast(f'{n} * 5 % 17 + 1')} || ' ' || text WHEN {n} % 7 = 2 THEN '(' || {cast(f'{n} % 9 + 1')} || ') ' || text WHEN {n} % 7 = 3 THEN chr(CAST(97 + {n} % 26 AS INT)) || '. ' || text
-  WHEN {n} % 11 = 4 THEN 'TAHUN2020 ' || text WHEN {n} % 11 = 5 THEN 'T E ' || text WHEN {n} % 11 = 6 THEN '国 ' || text || ' ν1' WHEN {n} % 11 = 7 THEN 'Dala m SAL.INAN ' || text WHEN {n} % 11 = 8 THEN 'BABIII Fasal 5 ' || text ELSE text END AS text FROM lines"""
+  WHEN {n} % 15 = 12 THEN 'BAB ' || CASE ({d.div(n, '15')}) % 5 WHEN 0 THEN 'I' WHEN 1 THEN 'II' WHEN 2 THEN 'IV' WHEN 3 THEN 'III' ELSE 'III' END || ' KETENTUAN' END"""
+    body = f"""CASE WHEN {n} % 7 = 1 THEN 'Pasal ' || {cast(f'{n} * 5 % 17 + 1')} || ' ' || text WHEN {n} % 7 = 2 THEN '(' || {cast(f'{n} % 9 + 1')} || ') ' || text WHEN {n} % 7 = 3 THEN chr(CAST(97 + {n} % 26 AS INT)) || '. ' || text
+  WHEN {n} % 11 = 4 THEN 'TAHUN2020 ' || text WHEN {n} % 11 = 5 THEN 'T E ' || text WHEN {n} % 11 = 6 THEN '国 ' || text || ' ν1' WHEN {n} % 11 = 7 THEN 'Dala m SAL.INAN ' || text WHEN {n} % 11 = 8 THEN 'BABIII Fasal 5 ' || text ELSE text END"""
+    array = lambda *x: f"array({', '.join(x)})" if d.spark else f"[{', '.join(x)}]"
+    both = f"CASE WHEN furniture IS NULL THEN {array('body')} WHEN n % 20 IN (18, 19) THEN {array('body', 'furniture')} ELSE {array('furniture', 'body')} END"
+    source = f"(SELECT doc_id, {n} AS n, page, {furniture} AS furniture, {body} AS body FROM lines) _f"
+    return f"SELECT doc_id, CAST(2 * n + place AS BIGINT) AS line_no, page, text FROM ({d.exploded(source, 'doc_id, n, page', both, 'text', 'place')}) _n"
 
 
 def _rough(d: Dialect) -> str:
@@ -37,7 +41,7 @@ def _words(d: Dialect) -> str:
 
 def _blocks(d: Dialect) -> str:
     """Two or three blocks a line, by position."""
-    return "SELECT doc_id, page, line_no * 1000 + tok_no AS ord, word AS text, confidence, CAST(tok_no * 60 AS DOUBLE) AS x, CAST(line_no % 20 * 20 + (tok_no * 7) % 5 AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS w, CAST(12 AS DOUBLE) AS h FROM words WHERE tok_no < 4"
+    return "SELECT doc_id, page, line_no * 1000 + tok_no AS ord, word AS text, confidence, CAST(tok_no * 60 AS DOUBLE) AS x, CAST(line_no % 40 * 20 + (tok_no * 7) % 5 AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS w, CAST(12 AS DOUBLE) AS h FROM words WHERE tok_no < 4"
 
 
 def _activities(d: Dialect) -> str:

@@ -237,7 +237,7 @@ def _(d: Dialect) -> str:
 
 @declared("LEG-01", "noisy")
 def _(d: Dialect) -> str:
-    return f"SELECT doc_id, {legal.document_type(d, 'text')} AS types FROM noisy WHERE line_no IN (0, 3)"
+    return f"SELECT doc_id, {legal.document_type(d, 'text')} AS types FROM noisy WHERE line_no IN (0, 6)"
 
 
 @declared("LEG-03", "noisy")
