@@ -354,12 +354,8 @@ _simple("MET-08", "rough", "doc_id", score=lambda d: f"round(CASE WHEN {d.match(
 
 
 # benchmark metrics
-_CER = "CASE WHEN length(ref) = 0 THEN CASE WHEN length(hyp) > 0 THEN 1.0 ELSE 0.0 END WHEN length(hyp) = 0 THEN 1.0 ELSE levenshtein(lower(trim(hyp)), lower(trim(ref))) / CAST(greatest(length(trim(ref)), 1) AS DOUBLE) END"
-DECLARED["MET-01"] = (("hyp_ref",), lambda d: f"SELECT doc_id, engine, round({_CER}, 6) AS cer FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')}")
 DECLARED["MET-04"] = (("words",), lambda d: "SELECT doc_id, round(coalesce(avg(CASE WHEN confidence > 0 THEN confidence END), 0), 6) AS confidence FROM words GROUP BY doc_id")
 DECLARED["MET-05"] = (("hyp_ref",), lambda d: "SELECT doc_id, engine, round(CASE WHEN duration_ms > 0 THEN pages * 1000 / CAST(duration_ms AS DOUBLE) ELSE 0 END, 6) AS speed FROM hyp_ref")
-DECLARED["MET-09"] = (("hyp_ref",), lambda d: f"SELECT engine, count(*) AS n, round(avg({_CER}), 5) AS avg_cer, sum(pages) AS pages, sum(duration_ms) AS duration_ms FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')} GROUP BY engine")
-DECLARED["SNK-11"] = (("hyp_ref",), lambda d: f"SELECT engine AS best, round(c, 5) AS avg_cer FROM (SELECT engine, c, row_number() OVER (ORDER BY c, engine) AS n FROM (SELECT engine, avg({_CER}) AS c FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')} GROUP BY engine) a) b WHERE n = 1")
 
 
 @declared("MET-06", "lines")
@@ -524,7 +520,6 @@ def _kernels_sql() -> dict[str, str]:
     d = DUCK
     address = "coalesce(nullif(trim(url), ''), nullif(trim(file_url), ''))"
     return {
-        "MET-03": compiled(d, f"SELECT doc_id, engine, CAST(levenshtein(hyp, ref) AS BIGINT) AS distance FROM hyp_ref WHERE {d.match('hyp || ref', r'^[\x00-\x7F]*$')}", ("hyp_ref",)),
         "SNK-01": "SELECT 'doc_' || CAST(doc_id % 20 AS VARCHAR) AS file_name, replace(text, chr(10), ' ') AS value FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''",
         "SRC-01": compiled(d, "SELECT CAST(seq AS VARCHAR) AS id, coalesce(trim(file_url), '') AS url, 'nama ' || CAST(id AS VARCHAR) AS nama FROM queue", ("queue",)),
         "SRC-04": compiled(d, f"SELECT seq AS id, CASE WHEN substr({address}, 1, 1) = '/' THEN 'https://api.example.com' || {address} ELSE {address} END AS url FROM queue", ("queue",)),

@@ -1,8 +1,12 @@
 """What reaches the queries: whole texts, whole tables, every rule."""
 
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 
+from foliospark.operators import kernels as k
 from foliospark.plans.dialect import DUCK, SPARK
 from foliospark.plans.views import compiled
 
@@ -33,3 +37,64 @@ def test_noisy_keeps_every_line(spark, duck, sf_dir):
             for n, line in enumerate(text.split("\n")):
                 assert line in lines[i, 2 * n] or line in lines.get((i, 2 * n + 1), ""), (i, n)
         assert {"PEMERINTAH KABUPATEN", "- 1 -", "Menimbang :"} <= set(lines.values())
+
+
+# benchmark metrics
+
+
+def distance(a, b):
+    """Levenshtein's, by the whole matrix."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b):
+            now.append(min(row[j + 1] + 1, now[j] + 1, row[j] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def test_distance_of_long_sequences():
+    rng = random.Random(5)
+    for n in (1, 31, 63, 64, 65, 200, 700):
+        a = "".join(rng.choice("aeo é国x") for _ in range(n))
+        b = "".join(rng.choice("aeo") if rng.random() < 0.3 else x for x in a if rng.random() > 0.1)
+        assert k.edits(a, b) == k.edits(b, a) == distance(a, b)
+        assert k.edits(a.split(), b.split()) == distance(a.split(), b.split())
+    assert (k.cer("", ""), k.cer("x", ""), k.cer("", "x"), k.cer(" AB\n", "abcd")) == (0, 1, 1, 0.5)
+
+
+@pytest.fixture(scope="module")
+def few(tmp_path_factory):
+    """Texts of over 300 characters, some not ASCII, one empty."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeéoß") for _ in range(rng.randint(1, 9)))
+    texts = ["", "short", "x" * 320 + " aeo" * 60, *(" ".join(word() for _ in range(n)) for n in (3, 70, 120))]
+    path = tmp_path_factory.mktemp("few")
+    duckdb.from_df(pd.DataFrame({"doc_id": range(len(texts)), "text": texts})).write_parquet(str(path / "documents.parquet"))
+    duckdb.sql("SELECT 1 AS page_id").write_parquet(str(path / "pages.parquet"))
+    return str(path), texts
+
+
+def readings(texts):
+    for i, t in enumerate(texts):
+        yield i, "paddle", t.translate(str.maketrans("aeo", "eoa")), t
+        yield i, "surya", t[:-10], t
+        yield i, "tesseract", t[2:].lower(), t
+
+
+def test_metrics_of_whole_texts(spark, few):
+    path, texts = few
+    q = k.queries()
+    want = {(i, e): (distance(h, r), 0 if not h + r else 1 if not h or not r else distance(h.lower().strip(), r.lower().strip()) / len(r.strip()), 0 if not h + r else distance(h.split(), r.split()) / max(len(r.split()), 1)) for i, e, h, r in readings(texts) if (h + r).isascii()}
+    for n, (name, column) in enumerate((("MET-03", "distance"), ("MET-01", "cer"), ("MET-02", "wer"))):
+        got = {(r.doc_id, r.engine): r[column] for r in q[name](spark, path).collect()}
+        assert {x: got[x] for x in want} == pytest.approx({x: w[n] for x, w in want.items()}, abs=1e-6), name
+        assert name == "MET-02" or len(got) == len(want)
+    mean = {e: [w[1] for (_, x), w in want.items() if x == e] for e in ("paddle", "surya", "tesseract")}
+    rows = {r.engine: r for r in q["MET-09"](spark, path).collect()}
+    for e, values in mean.items():
+        ids = [i for i, x in want if x == e]
+        assert (rows[e].n, rows[e].pages, rows[e].duration_ms) == (len(ids), sum(1 + i % 5 for i in ids), sum(1000 + i for i in ids))
+        assert rows[e].avg_cer == pytest.approx(sum(values) / len(values), abs=1e-5)
+    best = q["SNK-11"](spark, path).collect()
+    assert [r.best for r in best] == [min(mean, key=lambda e: (sum(mean[e]) / len(mean[e]), e))]
