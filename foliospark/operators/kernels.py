@@ -495,9 +495,6 @@ def _structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(docs, "doc_id long, value string", serialised, ["doc_id"], ["kinds", "texts"], "value")
 
 
-ASCII = r"(hyp || ref) rlike r'^[\x00-\x7F]*$'"
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypotheses and references, dealt out: a pair's work grows with the square of its length."""
     return _view(spark, sf_dir, "hyp_ref").repartition(8 * spark.sparkContext.defaultParallelism, "doc_id", "engine")
@@ -508,7 +505,7 @@ def _wer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).where(ASCII)
+    rows = _pairs(spark, sf_dir)
     return _mapped(rows, "doc_id long, engine string, pages long, duration_ms long, cer double", cer, ["doc_id", "engine", "pages", "duration_ms"], ["hyp", "ref"], "cer")
 
 
@@ -556,7 +553,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pairs(spark, sf_dir).where(ASCII)
+    rows = _pairs(spark, sf_dir)
     return _mapped(rows, "doc_id long, engine string, distance long", edits, ["doc_id", "engine"], ["hyp", "ref"], "distance")
 
 
