@@ -40,8 +40,8 @@ def _words(d: Dialect) -> str:
 
 
 def _blocks(d: Dialect) -> str:
-    """Two or three blocks a line, by position."""
-    return "SELECT doc_id, page, line_no * 1000 + tok_no AS ord, word AS text, confidence, CAST(tok_no * 60 AS DOUBLE) AS x, CAST(line_no % 40 * 20 + (tok_no * 7) % 5 AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS w, CAST(12 AS DOUBLE) AS h FROM words WHERE tok_no < 4"
+    """A block a word, by position."""
+    return "SELECT doc_id, page, line_no * 1000000 + tok_no AS ord, word AS text, confidence, CAST(tok_no * 60 AS DOUBLE) AS x, CAST(line_no % 40 * 20 + (tok_no * 7) % 5 AS DOUBLE) AS y, CAST(50 AS DOUBLE) AS w, CAST(12 AS DOUBLE) AS h FROM words"
 
 
 def _activities(d: Dialect) -> str:

@@ -1,6 +1,7 @@
 """What reaches the queries: whole texts, whole tables, every rule."""
 
 import random
+import re
 
 import duckdb
 import pandas as pd
@@ -97,3 +98,24 @@ def test_metrics_of_whole_texts(spark, few):
         assert rows[e].avg_cer == pytest.approx(sum(values) / len(values), abs=1e-5)
     best = q["SNK-11"](spark, path).collect()
     assert [r.best for r in best] == [min(mean, key=lambda e: (sum(mean[e]) / len(mean[e]), e))]
+
+
+# layout
+
+
+def test_blocks_hold_every_word(spark, duck, sf_dir):
+    for table in ("noisy", "blocks"):
+        select = f"SELECT doc_id, {'line_no' if table == 'noisy' else 'ord'} AS at, text FROM {table}"
+        here, there = rows(spark, duck, sf_dir, select, table)
+        assert sorted(here) == sorted(there)
+        if table == "noisy":
+            words = {(i, n * 1000000 + t): w for i, n, x in here for t, w in enumerate(re.findall(r"[^ \t\n\f\r\x0b]+", x))}
+    assert len(here) == len(words) and {(i, o): w for i, o, w in here} == words
+
+
+def test_overlaps_of_all_words(spark, sf_dir):
+    from foliospark import queries
+
+    got = queries.queries()["LAY-05"](spark, sf_dir).collect()
+    assert max(r.other % 1000000 for r in got) > 4
+    assert len({(r.doc_id, r.ord, r.other) for r in got}) == len(got)
