@@ -409,23 +409,25 @@ _simple("SRC-10", "documents_", "doc_id", pages=lambda d: f"greatest({d.count('t
 _simple("SRC-08", "documents_", "doc_id", kind=lambda d: f"CASE WHEN length({d.trim('text')}) >= 200 AND length({d.trim('text')}) >= 15 * (1 + doc_id % 40) AND {text.trustworthy(d, 'text')} THEN 'TEXT' ELSE 'SCAN' END")
 DECLARED["SRC-12"] = (("words",), lambda d: f"SELECT doc_id, count(*) AS words, count(DISTINCT page) AS pages, max(CASE WHEN {d.match('word', '^[0-9]+$')} THEN 1 ELSE 0 END) AS numeric FROM words GROUP BY doc_id")
 DECLARED["SRC-07"] = ((), lambda d: d.exploded("(SELECT doc_id, text FROM documents) _d", "doc_id", d.split("replace(text, '. ', chr(12))", r"\f"), "part", "page").replace("SELECT doc_id, page,", "SELECT doc_id, CAST(page AS BIGINT) AS page,", 1))
-DECLARED["SRC-15"] = (("hyp_ref",), lambda d: "SELECT a.doc_id, a.hyp, b.ref FROM (SELECT doc_id, hyp FROM hyp_ref WHERE engine = 'paddle' AND doc_id % 3 <> 0) a JOIN (SELECT doc_id, ref FROM hyp_ref WHERE engine = 'surya' AND doc_id % 5 <> 0) b ON a.doc_id = b.doc_id")
+DECLARED["SRC-15"] = (("hyp_ref",), lambda d: "SELECT a.doc_id, a.hyp, b.ref FROM (SELECT doc_id, hyp FROM hyp_ref WHERE engine = 'paddle') a JOIN (SELECT doc_id, ref FROM hyp_ref WHERE engine = 'surya') b ON a.doc_id = b.doc_id")
 
 # the ledger
 _OK = "status = 'BERHASIL'"
 _SUMS = f"count(*) AS total, sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS berhasil, sum(CASE WHEN status = 'GAGAL' THEN 1 ELSE 0 END) AS gagal, sum(CASE WHEN status = 'RUSAK' THEN 1 ELSE 0 END) AS rusak, sum(CASE WHEN status = 'KOSONG' THEN 1 ELSE 0 END) AS kosong, sum(CASE WHEN text_uploaded = 1 THEN 1 ELSE 0 END) AS uploaded, round(avg(CAST(duration_seconds AS DOUBLE)), 1) AS avg_duration"
+_FIRST = lambda key, ok: f"(SELECT {key}, min(id) AS first FROM activities WHERE {ok} GROUP BY {key})"
+_STORED = f"{_OK} AND output_text IS NOT NULL"
 _LEDGER = {
     "ACT-01": lambda d: "SELECT id, file_name, status, created_at FROM activities WHERE output_text IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 200",
     "ACT-02": lambda d: "SELECT id, file_name, status, file_hash FROM activities WHERE id = 17",
     "ACT-03": lambda d: "SELECT id, file_name, status FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY id DESC) AS n FROM activities) a WHERE n = 1",
     "ACT-04": lambda d: f"SELECT {_SUMS} FROM activities WHERE output_text IS NOT NULL",
     "ACT-05": lambda d: f"SELECT {d.date_text('created_at')} AS date, count(*) AS total FROM activities WHERE output_text IS NOT NULL AND created_at >= {d.day(chr(39) + '2024-01-23' + chr(39))} GROUP BY {d.date_text('created_at')}",
-    "ACT-06": lambda d: f"SELECT DISTINCT q.source_url FROM activities q WHERE q.id % 2 = 1 AND EXISTS (SELECT 1 FROM activities a WHERE a.source_url = q.source_url AND a.{_OK})",
-    "ACT-07": lambda d: f"SELECT q.id FROM activities q WHERE EXISTS (SELECT 1 FROM activities a WHERE a.file_hash = q.file_hash AND a.{_OK} AND a.output_text IS NOT NULL AND a.id < 100)",
+    "ACT-06": lambda d: f"SELECT DISTINCT q.source_url FROM activities q JOIN {_FIRST('source_url', _OK)} a ON a.source_url = q.source_url AND a.first < q.id",
+    "ACT-07": lambda d: f"SELECT q.id FROM activities q JOIN {_FIRST('file_hash', _STORED)} a ON a.file_hash = q.file_hash AND a.first < q.id",
     "ACT-08": lambda d: f"SELECT {_SUMS}, sum(CASE WHEN text_uploaded = 0 AND {_OK} THEN 1 ELSE 0 END) AS belum_uploaded FROM activities WHERE {d.day('created_at')} BETWEEN {d.day(chr(39) + '2024-01-05' + chr(39))} AND {d.day(chr(39) + '2024-01-20' + chr(39))}",
     "ACT-09": lambda d: f"SELECT {d.date_text('created_at')} AS date, count(*) AS total, sum(text_uploaded) AS uploaded FROM activities GROUP BY {d.date_text('created_at')}",
     "ACT-10": lambda d: "SELECT id, file_name, source_type, source_url, file_hash, status, error_message, page_count, file_size_bytes, CAST(duration_seconds AS DOUBLE) AS duration_seconds, text_uploaded, created_at FROM activities",
-    "ACT-12": lambda d: f"SELECT q.id, q.file_hash FROM activities q WHERE q.id >= 100 AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.file_hash = q.file_hash AND a.{_OK} AND a.output_text IS NOT NULL AND a.id < 100)",
+    "ACT-12": lambda d: f"SELECT q.id, q.file_hash FROM activities q LEFT JOIN {_FIRST('file_hash', _STORED)} a ON a.file_hash = q.file_hash WHERE q.id <= coalesce(a.first, q.id)",
     "ACT-14": lambda d: "SELECT status, source_type, count(*) AS n, max(id) AS last_id FROM activities GROUP BY status, source_type",
     "RPT-01": lambda d: "SELECT id, CASE status WHEN 'BERHASIL' THEN 'File berhasil dikonversi menjadi teks' WHEN 'GAGAL' THEN coalesce('Gagal: ' || error_message, 'Terjadi kesalahan saat pemrosesan') WHEN 'RUSAK' THEN coalesce('File rusak: ' || error_message, 'File PDF corrupt atau tidak bisa dibaca') WHEN 'KOSONG' THEN 'File 0 byte atau hasil konversi tidak menghasilkan teks' ELSE '-' END AS description FROM activities",
     "RPT-02": lambda d: f"SELECT id, CASE {'dayofweek(created_at) - 1' if d.spark else 'dayofweek(created_at)'} WHEN 0 THEN 'Minggu' WHEN 1 THEN 'Senin' WHEN 2 THEN 'Selasa' WHEN 3 THEN 'Rabu' WHEN 4 THEN 'Kamis' WHEN 5 THEN 'Jumat' ELSE 'Sabtu' END AS day FROM activities",
@@ -434,8 +436,8 @@ _LEDGER = {
     "SRC-06": lambda d: "SELECT id, file_name, status FROM activities WHERE output_text IS NOT NULL",
     "SNK-04": lambda d: f"SELECT count(*) AS total, sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS berhasil, sum(CASE WHEN {_OK} THEN 0 ELSE 1 END) AS gagal FROM activities",
     "SNK-05": lambda d: f"SELECT id, concat_ws(';', CAST(id AS {'STRING' if d.spark else 'VARCHAR'}), file_name, status, replace(CAST(duration_seconds AS {'STRING' if d.spark else 'VARCHAR'}), '.', ','), {'date_format(created_at, ' + chr(39) + 'dd-MM-yyyy' + chr(39) + ')' if d.spark else 'strftime(created_at, ' + chr(39) + '%d-%m-%Y' + chr(39) + ')'}) AS line FROM activities",
-    "SNK-09": lambda d: "SELECT q.id, coalesce(CASE WHEN q.id % 3 = 0 THEN 'file ' || q.file_name END, a.output_text) AS text FROM activities q LEFT JOIN (SELECT file_name, max(output_text) AS output_text FROM activities WHERE id % 2 = 0 GROUP BY file_name) a ON q.file_name = a.file_name",
-    "SNK-10": lambda d: "SELECT f.file_name, f.age_days > 30 OR l.file_name IS NOT NULL AS removed FROM (SELECT file_name, min(id) % 60 AS age_days FROM activities GROUP BY file_name) f LEFT JOIN (SELECT DISTINCT file_name FROM activities WHERE id < 50) l ON f.file_name = l.file_name",
+    "SNK-09": lambda d: "SELECT q.id, coalesce(CASE WHEN q.id % 3 = 0 THEN 'file ' || q.file_name END, a.output_text) AS text FROM activities q LEFT JOIN (SELECT file_name, max(output_text) AS output_text FROM activities GROUP BY file_name) a ON q.file_name = a.file_name",
+    "SNK-10": lambda d: "SELECT f.file_name, f.age_days > 30 OR l.file_name IS NOT NULL AS removed FROM (SELECT file_name, min(id) % 60 AS age_days FROM activities GROUP BY file_name) f LEFT JOIN (SELECT DISTINCT file_name FROM activities) l ON f.file_name = l.file_name",
     "SNK-02": lambda d: "SELECT id, file_name, coalesce(page_count, 0) AS page_count, nullif(error_message, '') AS error_message, 1 AS text_uploaded FROM activities WHERE output_text IS NOT NULL",
     "SNK-03": lambda d: "SELECT a.id, a.status FROM activities a WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM activities WHERE id % 10 = 3) d WHERE d.id = a.id)",
 }
@@ -495,7 +497,7 @@ def _(d: Dialect) -> str:
 @declared("TBL-14", "blocks")
 def _(d: Dialect) -> str:
     """Blocks outside a page's table region, then the table's own."""
-    table = "SELECT doc_id, page, min(x) AS tx, min(y) AS ty, 100.0 AS tw, 60.0 AS th, count(*) AS n FROM blocks WHERE page % 2 = 0 GROUP BY doc_id, page"
+    table = "SELECT doc_id, page, min(x) AS tx, min(y) AS ty, 100.0 AS tw, 60.0 AS th, count(*) AS n FROM blocks GROUP BY doc_id, page"
     kept = f"SELECT b.doc_id, b.page, b.ord FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM ({table}) t WHERE t.doc_id = b.doc_id AND t.page = b.page AND b.x + b.w / 2 BETWEEN tx AND tx + tw AND b.y + b.h / 2 BETWEEN ty AND ty + th)"
     return f"{kept} UNION ALL SELECT doc_id, page, -1 AS ord FROM ({table}) u"
 

@@ -119,3 +119,37 @@ def test_overlaps_of_all_words(spark, sf_dir):
     got = queries.queries()["LAY-05"](spark, sf_dir).collect()
     assert max(r.other % 1000000 for r in got) > 4
     assert len({(r.doc_id, r.ord, r.other) for r in got}) == len(got)
+
+
+# whole tables
+
+
+def test_duplicates_over_the_whole_ledger(spark, duck, sf_dir):
+    from foliospark import queries
+
+    ledger, _ = rows(spark, duck, sf_dir, "SELECT id, source_url, file_hash, status, output_text, file_name FROM activities", "activities")
+    urls, stored, twice, repeats, new = set(), set(), set(), [], []
+    for i, url, sha, status, text, _ in sorted(ledger):
+        twice |= {url} & urls
+        (repeats if sha in stored else new).append((i, sha))
+        urls |= {url} if status == "BERHASIL" else set()
+        stored |= {sha} if status == "BERHASIL" and text is not None else set()
+    q = queries.queries()
+    assert {r.source_url for r in q["ACT-06"](spark, sf_dir).collect()} == twice
+    assert sorted(r.id for r in q["ACT-07"](spark, sf_dir).collect()) == [i for i, _ in repeats] and repeats
+    assert sorted(map(tuple, q["ACT-12"](spark, sf_dir).collect())) == new
+
+    texts = {}
+    for _, _, _, _, text, name in ledger:
+        texts[name] = max(filter(None, (texts.get(name), text)), default=None)
+    assert {r.id: r.text for r in q["SNK-09"](spark, sf_dir).collect()} == {i: f"file {name}" if i % 3 == 0 else texts[name] for i, *_, name in ledger}
+    assert all(r.removed for r in q["SNK-10"](spark, sf_dir).collect())  # every file has a row in the ledger
+
+
+def test_pairs_and_tables_of_all_rows(spark, duck, sf_dir):
+    from foliospark import queries
+
+    q = queries.queries()
+    assert q["SRC-15"](spark, sf_dir).count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    pages, _ = rows(spark, duck, sf_dir, "SELECT DISTINCT doc_id, page FROM blocks", "blocks")
+    assert sorted((r.doc_id, r.page) for r in q["TBL-14"](spark, sf_dir).collect() if r.ord == -1) == sorted(pages)
