@@ -452,6 +452,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "noisy").groupBy("doc_id").agg(lines.alias("lines"))
 
 
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TBL-13: each page's cleaned lines, as its table's text, against all lines that were read."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    pages = _view(spark, sf_dir, "noisy").groupBy("doc_id", "page").agg(lines.alias("lines"))
+    return _mapped(pages, "doc_id long, page long, value boolean", lambda x: table_wins(" ".join(map(clean_line, x)), x), ["doc_id", "page"], ["lines"], "value")
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a document, with the kinds and texts of its lines."""
     from foliospark import queries as q
@@ -645,7 +652,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "LAY-11": _document(looks_tabular, "boolean"),
         "TBL-06": _grids,
         "TBL-09": _by_page(lambda b: ascii_grid([[x["text"] for x in r] for r in grid_rows(b)], 5), "string"),
-        "TBL-13": _document(lambda lines: table_wins(" ".join(lines[:3]), lines[1:4]), "boolean"),
+        "TBL-13": _verdicts,
         "TRE-07": _tree(parents, "array<long>", "kind"),
         "TRE-10": _tree(len, "long", "kind"),
         "STR-04": _tree(lambda kinds: hierarchy([_LEVEL.get(k, 9) for k in kinds]), "array<long>", "kind"),

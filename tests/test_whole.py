@@ -153,3 +153,16 @@ def test_pairs_and_tables_of_all_rows(spark, duck, sf_dir):
     assert q["SRC-15"](spark, sf_dir).count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     pages, _ = rows(spark, duck, sf_dir, "SELECT DISTINCT doc_id, page FROM blocks", "blocks")
     assert sorted((r.doc_id, r.page) for r in q["TBL-14"](spark, sf_dir).collect() if r.ord == -1) == sorted(pages)
+
+
+# tables
+
+
+def test_verdicts_see_late_lines(spark, tmp_path):
+    good = [f"satu dua tiga empat lima desa {n}" for n in range(25)]
+    lost = "bcdfg hjklm npqrs tvwxz bcdfg"  # cleaning empties it
+    texts = [good, [*good[:17], lost, *good[18:]], [*good[:22], lost, *good[23:]]]
+    duckdb.from_df(pd.DataFrame({"doc_id": range(3), "text": ["\n".join(t) for t in texts]})).write_parquet(str(tmp_path / "documents.parquet"))
+    duckdb.sql("SELECT 1 AS page_id").write_parquet(str(tmp_path / "pages.parquet"))
+    got = {(r.doc_id, r.page): r.value for r in k.queries()["TBL-13"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0): True, (0, 1): True, (1, 0): False, (1, 1): True, (2, 0): True, (2, 1): False}
