@@ -290,6 +290,32 @@ def ascii_grid(rows: list[list[str]], low: int = 3, pad: int = 2, widest: int =
     return "\n".join(text)
 
 
+def is_index_row(cells: list[str]) -> bool:
+    """TBL-03."""
+    full = [c for c in cells if c.strip()]
+    return bool(full) and all(re.fullmatch(r"[0-9]{1,3}|(?i:col)[0-9]+", c.strip()) for c in full)
+
+
+def grid_usable(rows: list[list[str]]) -> bool:
+    """TBL-04."""
+    full = [c for r in rows for c in r if c.strip()]
+    widths = [len(r) for r in rows]
+    if not full or max(widths) > 20 or len(set(widths)) >= 3 or (1 in widths and max(widths) >= 4):
+        return False
+    return sum(bool(re.search(r"[|]{2,}|[+]{2,}|[=-]{4,}", c)) for c in full) < 0.1 * len(full)
+
+
+def table_text(rows: list[dict], plain: str) -> str:
+    """TBL-06: a drawn grid; rows of cells joined by bars if the grid is unusable; the bare text if no row is left. rows: header, cells."""
+    rows = list(rows)
+    while rows and rows[0]["header"] and is_index_row(rows[0]["cells"]):
+        rows.pop(0)
+    cells = [r["cells"] for r in rows if any(r["cells"])]
+    if not cells:
+        return plain
+    return ascii_grid(cells) if grid_usable(cells) else "\n".join(" | ".join([*(c.strip() for c in r), *[""] * (max(map(len, cells)) - len(r))]) for r in cells)
+
+
 def table_wins(table: str, ocr: list[str]) -> bool:
     """TBL-13: whether a table's text replaces the recognised one."""
     words = table.split()
@@ -525,13 +551,24 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.orderBy("c", "engine").limit(1).select(F.col("engine").alias("best"), F.round("c", 5).alias("avg_cer"))
 
 
-def _grids(spark: SparkSession, sf_dir: str, low: int = 3) -> DataFrame:
+def _grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TBL-07: every grid drawn, without header logic."""
     from foliospark import queries as q
 
     rows = spark.sql(compiled(SPARK, q._grid(SPARK), ("html_tables",), sf_dir))
     each = F.sort_array(F.collect_list(F.struct("r", "cells")))
     tables = rows.groupBy("table_id").agg(F.transform(each, lambda x: x["cells"]).alias("rows"))
-    return _mapped(tables, "table_id long, value string", lambda rows: ascii_grid(rows, low), ["table_id"], ["rows"], "value")
+    return _mapped(tables, "table_id long, value string", lambda rows: ascii_grid(rows, 5), ["table_id"], ["rows"], "value")
+
+
+def _table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foliospark import queries as q
+
+    rows = spark.sql(compiled(SPARK, q._grid(SPARK), ("html_tables",), sf_dir)).where("size(cells) > 0")
+    grids = rows.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("r", "header", "cells"))).alias("rows"))
+    plain = spark.sql(compiled(SPARK, f"SELECT table_id, {q._cell(SPARK, 'html')} AS plain FROM html_tables", ("html_tables",), sf_dir))
+    tables = plain.join(grids, "table_id", "left").withColumn("rows", F.coalesce("rows", F.array().cast(grids.schema["rows"].dataType)))
+    return _mapped(tables, "table_id long, value string", table_text, ["table_id"], ["rows", "plain"], "value")
 
 
 def _pages(f: Callable[[np.ndarray], Any], kind: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -634,7 +671,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "LAY-06": _by_page(lambda b: [list(box({k: x[k] for k in "xywh"}, 150, 200)) for x in b], "array<array<long>>"),
         "LAY-09": _by_page(lambda b: [columns_match(p, q) for p, q in zip(grid_rows(b), grid_rows(b)[1:], strict=False)], "array<boolean>"),
         "REV-09": _tree(lambda n: [roman(x) if x else None for x in n], "array<long>", "number"),
-        "TBL-07": lambda spark, sf_dir: _grids(spark, sf_dir, 5),
+        "TBL-07": _grids,
         "TRE-09": _tree(lambda kinds: [[i, -1 if p is None else p] for i, p in enumerate(parents(kinds))], "array<array<long>>", "kind"),
         "WRD-01": _line(lambda x: [w for a, b in zip(x.split(), x.split()[1:], strict=False) if (w := merged_word(a, b))], "array<string>"),
         "TOK-12": _line(clean_line),
@@ -650,7 +687,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "LAY-08": _by_page(lambda b: [[x["ord"] for x in r] for r in grid_rows(b)], "array<array<long>>"),
         "LAY-10": _by_page(lambda b: geometric_tables(grid_rows(b)), "array<array<long>>"),
         "LAY-11": _document(looks_tabular, "boolean"),
-        "TBL-06": _grids,
+        "TBL-06": _table_texts,
         "TBL-09": _by_page(lambda b: ascii_grid([[x["text"] for x in r] for r in grid_rows(b)], 5), "string"),
         "TBL-13": _verdicts,
         "TRE-07": _tree(parents, "array<long>", "kind"),

@@ -258,15 +258,18 @@ def _(d: Dialect) -> str:
 
 
 # review
-def _roman(x: str) -> str:
-    """REV-09 for the numbers that the views hold."""
-    return f"CASE {x} WHEN 'I' THEN 1 WHEN 'II' THEN 2 WHEN 'III' THEN 3 WHEN 'IV' THEN 4 WHEN 'V' THEN 5 END"
+def _roman(d: Dialect, x: str) -> str:
+    """REV-09: a roman or plain number; a numeral before a larger one counts against."""
+    x, digits = f"upper({x})", "IVXLCDM"
+    value = dict(zip(digits, (1, 5, 10, 50, 100, 500, 1000), strict=True))
+    terms = [f"{v} * {d.count(x, c)}" for c, v in value.items()] + [f"-{2 * value[c]} * {d.count(x, f'{c}[{digits[i + 1 :]}]')}" for i, c in enumerate(digits[:-1])]
+    return f"CASE WHEN {d.match(x, '^[0-9]+$')} THEN CAST(nullif({d.extract(x, '^[0-9]+$')}, '') AS BIGINT) WHEN {d.match(x, f'^[{digits}]+$')} THEN {' + '.join(f'({t})' for t in terms)} END"
 
 
 @declared("REV-01", "noisy")
 def _(d: Dialect) -> str:
-    n = f"SELECT *, CASE WHEN kind = 'bab' THEN {_roman('number')} ELSE CAST(nullif({d.extract('number', '^[0-9]+$')}, '') AS INT) END AS num FROM ({_nodes(d)}) n WHERE kind IN ('bab', 'pasal')"
-    g = f"SELECT *, sum(CASE WHEN kind = 'bab' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS chapter FROM ({n}) m"
+    n = f"SELECT *, {_roman(d, 'number')} AS num FROM ({_nodes(d)}) n WHERE kind IN ('bab', 'lampiran', 'pasal')"
+    g = f"SELECT *, sum(CASE WHEN kind IN ('bab', 'lampiran') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS chapter FROM ({n}) m"
     p = f"SELECT *, CASE WHEN kind = 'bab' THEN lag(num) OVER (PARTITION BY doc_id, kind ORDER BY line_no) ELSE lag(num) OVER (PARTITION BY doc_id, kind, chapter ORDER BY line_no) END AS prev FROM ({g}) g"
     return f"SELECT doc_id, line_no, CASE WHEN num = prev THEN kind || '-duplicate' ELSE kind || '-order' END AS type, CASE WHEN kind = 'pasal' AND num < prev THEN 'error' ELSE 'warning' END AS severity FROM ({p}) p WHERE num <= prev"
 
@@ -353,7 +356,19 @@ _LINE_SCORE = lambda d: f"(10 * coalesce({text.common_ratio(d, 'text')}, 0) + {d
 _simple("QM-12", "noisy", "doc_id, line_no", readability=lambda d: f"round({_LINE_SCORE(d)}, 6)")
 _simple("QM-13", "noisy", "doc_id, line_no", readability=lambda d: f"round(10 * coalesce({text.common_ratio(d, 'text')}, 0) + 0.5 * least({d.count('text', '[A-Za-z]')} / CAST(80 AS DOUBLE), 1) + 0.3 * least({d.count('text', '[0-9]')} / CAST(150 AS DOUBLE), 1) - 1.5 * least({d.count('text', text.CJK)} / CAST(300 AS DOUBLE), 1), 6)")
 DECLARED["QM-14"] = (("noisy",), lambda d: f"SELECT doc_id, line_no, text FROM noisy WHERE NOT {d.match('text', text.CJK)} AND {_LINE_SCORE(d)} >= -0.5")
-_simple("MET-07", "documents_", "doc_id", score=lambda d: f"CASE WHEN {d.count('text', r'\+[-+]+\+')} = 0 THEN 0.0 ELSE 0.1 END + CAST(0 AS DOUBLE)")
+
+
+def _table_score(d: Dialect) -> str:
+    """MET-07: drawn rules, and whether all body lines have as many bars."""
+    rules = d.count("text", r"\+[-+]+\+")
+    body = d.keep(d.lines("text"), "l", "substr(l, 1, 1) = '|'")
+    bars = d.map(body, "l", d.count("l", "[|]"))
+    low, high = ("array_min", "array_max") if d.spark else ("list_min", "list_max")
+    base = f"least(1, {rules} / CAST(10 AS DOUBLE))"
+    return f"round(CASE WHEN {rules} = 0 THEN 0 WHEN {rules} < 2 OR {d.size(body)} < 2 THEN 0.1 WHEN {low}({bars}) = {high}({bars}) THEN least(1, {base} + 0.3) ELSE {base} END + CAST(0 AS DOUBLE), 6)"
+
+
+_simple("MET-07", "documents_", "doc_id", score=_table_score)
 _simple("MET-08", "rough", "doc_id", score=lambda d: f"round(CASE WHEN {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])BAB{S}+([IVXLCDM]+($|[^A-Za-z0-9_])|[0-9]+)')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])Pasal{S}+[0-9]+')} THEN 0.3 ELSE 0.0 END + CASE WHEN {d.match('text', r'\([0-9]+[a-z]?\)')} OR {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])Ayat{S}+')} THEN 0.2 ELSE 0.0 END + CASE WHEN {d.match('text', rf'(?i)(^|[^A-Za-z0-9_])Bagian{S}+(Kesatu|Kedua|Ketiga)')} THEN 0.2 ELSE 0.0 END + CAST(0 AS DOUBLE), 3)")
 
 

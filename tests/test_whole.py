@@ -166,3 +166,36 @@ def test_verdicts_see_late_lines(spark, tmp_path):
     duckdb.sql("SELECT 1 AS page_id").write_parquet(str(tmp_path / "pages.parquet"))
     got = {(r.doc_id, r.page): r.value for r in k.queries()["TBL-13"](spark, str(tmp_path)).collect()}
     assert got == {(0, 0): True, (0, 1): True, (1, 0): False, (1, 1): True, (2, 0): True, (2, 1): False}
+
+
+def test_table_texts():
+    row = lambda *c, header=False: {"header": header, "cells": list(c)}
+    assert k.table_text([row("0", "1", header=True), row("a", "b"), row("", "")], "p") == k.ascii_grid([["a", "b"]])
+    assert k.table_text([row("0", "1", header=True), row("")], "p") == k.table_text([], "p") == "p"
+    assert k.table_text([row("a", "b", "c", "d"), row("x")], "p") == "a | b | c | d\nx |  |  | "
+    assert [k.grid_usable(r) for r in ([["a"] * 21], [["a", "----"]], [["a"], ["a", "b"], ["a", "b", "c"]], [["a", "b"]])] == [False, False, False, True]
+
+
+RULE = "+--+--+"
+
+
+@pytest.mark.parametrize(("lines", "want"), [(["a"], 0), ([RULE, "| a |", "| b |"], 0.1), ([RULE, "| a |", RULE], 0.1), ([RULE, "| a |", RULE, "| b |", RULE], 0.6), ([RULE, "| a |", RULE, "| b | c |"], 0.2), ([RULE, "| a |"] * 12, 1)])
+def test_table_score(spark, duck, lines, want):
+    from foliospark import queries
+
+    for d, run in ((SPARK, lambda s: spark.sql(s).first()[1]), (DUCK, lambda s: duck.sql(s).fetchall()[0][1])):
+        nl = d.newline()
+        text = f" || {nl} || ".join(f"'{x}'" for x in lines)
+        select = queries.DECLARED["MET-07"][1](d).replace("documents_", "_t")
+        assert run(f"WITH _t AS (SELECT 1 AS doc_id, {text} AS text) {select}") == pytest.approx(want)
+
+
+def test_chapters_beyond_five(spark, duck):
+    from foliospark import queries
+
+    lines = ["BAB VI a", "Pasal 9", "Lampiran I", "Pasal 2", "BAB IX b", "BAB VIII c", "BAB XIV d", "BAB 14 e", "BAB XL f", "Pasal V", "Pasal IV"]
+    want = [(5, "bab-order", "warning"), (7, "bab-duplicate", "warning"), (10, "pasal-order", "error")]
+    for d, run in ((SPARK, lambda s: [tuple(r) for r in spark.sql(s).collect()]), (DUCK, lambda s: duck.sql(s).fetchall())):
+        noisy = " UNION ALL ".join(f"SELECT 1 AS doc_id, {i} AS line_no, 0 AS page, '{x}' AS text" for i, x in enumerate(lines))
+        got = run(f"WITH noisy AS ({noisy}) {queries.DECLARED['REV-01'][1](d)}")
+        assert sorted(r[1:] for r in got) == want
