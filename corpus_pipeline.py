@@ -6,14 +6,17 @@ their names, are as good as any. Empty tables pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import decontam, jaccard_join, packing, quality_rules, repeats
 from foliospark.llm.common import spill, table
 from foliospark.llm.queries import tokenizer
 
-ROW = "_folio_row"
+
+def _whole(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows as one struct beside what a stage needs of them, so that no column's name can clash with the stage's own."""
+    return docs.select(F.struct("*").alias("_doc"), "doc_id", "text", *more)
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +30,10 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents, the one with the least doc_id stays, of ties the first row; texts without words stay."""
     # written with their numbers, so that no later scan can number them otherwise
-    rows = spill(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    classes = jaccard_join.classes(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
-    first = rows.select(ROW, "doc_id").join(classes, ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("_f"))
-    return rows.join(first.select(F.col("_f")[ROW].alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    rows = spill(_whole(docs, F.monotonically_increasing_id().alias("_row")))
+    classes = jaccard_join.classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = rows.select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("_f"))
+    return rows.join(first.select(F.col("_f._row").alias("_row")), "_row", "left_semi").select("_doc.*")
 
 
 def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +45,14 @@ def _repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two or more benchmark items go; a verdict belongs to an id and a text, so to all rows that repeat them."""
-    bad = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_folio_id"), F.col("text_key").alias("_folio_key")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_folio_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_folio_key"))
-    return docs.join(spill(bad), same, "left_anti")
+    """Documents that hold a window of any benchmark item go, whole; a verdict belongs to an id and a text, so to all rows that repeat them.
+
+    The text judged is the one that this stage gets and that training would see: a passage that the stage before took
+    out of a document is no longer in it. One item is enough here, unlike in the operator's flag `contaminated`.
+    """
+    bad = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key"))
+    return _whole(docs).join(spill(bad), same, "left_anti").select("_doc.*")
 
 
 def _packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
