@@ -91,6 +91,33 @@ def test_packing(spark, sf_dir, empty):
     assert short <= 1
 
 
+@given(st.lists(st.integers(1, 6000), max_size=300), st.integers(0, 9))
+@settings(max_examples=40, deadline=None)
+def test_classes_bins(sizes, base):
+    """Every id once; a bin of class k begins with k whole documents of the class, and documents up to the capacity stay whole but for those that close a bin."""
+    packer = packing.Packer(base)
+    for d, n in enumerate(sizes):
+        packer.add(d, 0, np.arange(n, dtype="<u4").tobytes(), n)
+        assert len(packer.waiting) <= packing.WAITING and all(len(b.pieces) < k for k, b in packer.open.items())
+        assert all(b.pieces and packing.CAPACITY // (len(b.pieces[0][2]) // 4) <= len(b.pieces) for b in packer.waiting)
+    closed = list(packer.rows)
+    for seq in {r[5] for r in closed}:
+        pieces = [r for r in closed if r[5] == seq]
+        k = packing.CAPACITY // pieces[0][2]
+        assert sum(r[2] for r in pieces) == packing.CAPACITY and all(packing.CAPACITY // r[2] == k for r in pieces[:k])
+    packer.string_together()
+    length = defaultdict(int)
+    for r in sorted(packer.rows, key=lambda r: (r[0], r[1])):
+        assert r[1] == length[r[0]]
+        length[r[0]] += r[2]
+    assert dict(length) == dict(enumerate(sizes)) and packer.next - base == -(-sum(sizes) // packing.CAPACITY)
+
+
+def test_pieces_are_long(spark, sf_dir):
+    got = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert np.median([r.length for r in got]) > 256 and np.mean([r.length <= 16 for r in got]) < 0.06
+
+
 def test_repeated_rows_are_packed_twice(spark):
     got = packing.pack(frame(spark, [(1, "a b"), (1, "a b")]), public_tokenizers.path("word_bpe_49k.json")).collect()
     assert sum(r.length for r in got) == 2 * got[0].doc_tokens
