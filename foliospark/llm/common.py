@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from foliospark.tables import table
 
-__all__ = ["discard", "documents", "lower_ascii", "scratch", "spill", "table", "words_by_space", "words_alnum"]
+__all__ = ["discard", "documents", "lower_ascii", "release", "scratch", "spill", "table", "words_by_space", "words_alnum"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; a temp folder only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share. A session of one process may leave that unset; it has a temp folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/foliospark-{uuid.uuid4().hex}"
 
@@ -34,13 +36,16 @@ def spill(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def discard(*done: DataFrame) -> None:
-    """Deletes what spill wrote, once nothing reads it again, and lets Spark drop the shuffles behind it."""
+    """Deletes what spill wrote, once nothing reads it again."""
     for df in done:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffles that nothing refers to, between the steps of an operator that writes much."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,19 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the histories of the model (no word, or the word before); an arc of a state is a word that training saw
-after it, with the log-probability of that word there; where there is no arc, the failure arc leads to the empty
-history at the price of the backoff weight. One pass from left to right carries the state over the tokens of a text
-and sums the weights that it meets. The model is a bigram with a Dirichlet prior:
+States are histories of up to ORDER - 1 words that training saw; an arc of a state is a word that training saw after it,
+with the log-probability of that word there, and leads to the longest state that ends with that word. Where a state has
+no arc for a word, its failure arc leads to the history without its first word, at the price of the backoff weight. One
+pass from left to right carries the state over the tokens of a text and adds up the weights that it meets (`walk`). The
+n-grams are smoothed by Dirichlet priors: with h' for h without its first word,
 
-    P(w | v) = (c(v, w) + MU * P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
+    P(w | h) = (c(h, w) + MU * P(w | h')) / (c(h) + MU),   P(w) = (c(w) + 1) / (N + V + 1)
 
-so the failure weight of v is MU / (c(v) + MU), and all words, with one unknown, sum to 1 after every history.
+so the failure weight of h is MU / (c(h) + MU), and all words, with one unknown, sum to 1 after every history. MU falls
+with the order: long histories say more.
 
-Counts cover every training document and never stand in one place: shards of documents ask the buckets of
-``keyed`` for the sums of their own distinct words and pairs, and build the part of the automaton that their texts can
-reach. What is gathered grows with the input; a task holds a shard or a bucket, both bounded.
+Counts cover every training document and never stand in one place: shards of documents ask the buckets of ``keyed`` for
+the sums of their own distinct words, pairs and triples, and build the part of the automaton that their texts can reach.
+What is gathered grows with the input; a task holds a shard or a bucket, both bounded.
 
 Defined results: a null or empty text is the end token alone; a null doc_id counts as the id ''; repeated rows are
 scored, and learnt, as often as they occur; an empty table gives no rows. Other columns are not read.
@@ -29,13 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
-from .common import spill
+from .common import discard, release, spill
 from .textbytes import NOT_SPACE, chain, column_bytes, row_runs, word_hashes, words
 
-MU = 200.0
+ORDER = 3
+#: The priors of pairs and triples, chosen on held-out texts.
+MU = (0.0, 1000.0, 8.0)
 FOLDS, HELD_OUT = 7, 2
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 1_500_000
+BUCKET_BYTES = 8 << 20
+#: Tokens that one lane of the walk scores.
+LANE = 256
 START, END = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0x1B873593C3C3C3C3)
+#: The lowest bit of a key tells words from longer n-grams.
+_WORD = np.uint64(1)
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_backoffs long"
 
 
@@ -69,7 +78,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = np.cumsum(count + 1) - 1
             spot = np.ones(len(tokens), bool)
             spot[last] = False
-            tokens[spot] = word_hashes(text, begins, ends)
+            tokens[spot] = word_hashes(text, begins, ends) | _WORD
             ids += doc_ids[a:b]
             sizes.append(count + 1)
             hashes.append(tokens)
@@ -81,97 +90,166 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row()
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the number of each, and where each occurs."""
+    codes, unique = pd.factorize(keys)
+    order = np.argsort(unique)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    number = rank[codes]
+    place = np.empty(len(unique), np.int64)
+    place[number] = np.arange(len(number))
+    return unique[order], number, place
+
+
 class Shard:
-    """A shard's tokens, and the words and pairs that it asks for."""
+    """A shard's tokens, and the n-grams that it asks for."""
 
     def __init__(self, payload: bytes) -> None:
-        ids, known, self.sizes, self.word, self.words = keyed.unpack(payload)
+        ids, known, self.sizes, word, self.words = keyed.unpack(payload)
         self.ids = [int(i) if k else None for i, k in zip(ids, known, strict=True)]
         self.out = np.array([held_out(i) for i in self.ids], bool)
+        self.word = word.astype(np.int64)
         self.first = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
         self.train = np.repeat(~self.out, self.sizes)
         here = self.words[self.word]
         before = np.empty_like(here)
         before[1:] = here[:-1]
         before[self.first] = START
-        codes, pairs = pd.factorize(chain(before, here))
-        order = np.argsort(pairs)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.pairs, self.pair = pairs[order], rank[codes]
-
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """How often training tokens of this shard are each word, and each pair."""
-        return np.bincount(self.word[self.train], minlength=len(self.words)), np.bincount(self.pair[self.train], minlength=len(self.pairs))
-
-
-def _asked(n: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(payload.as_py())
-                one, two = shard.counts()
-                at, to = keyed.cuts(shard.words, n), keyed.cuts(shard.pairs, n)
-                rows = [{"bucket": i, "shard": name, "payload": keyed.pack(shard.words[at[i] : at[i + 1]], one[at[i] : at[i + 1]].astype(np.uint32), shard.pairs[to[i] : to[i + 1]], two[to[i] : to[i + 1]].astype(np.uint32))} for i in range(n) if at[i] < at[i + 1] or to[i] < to[i + 1]]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("shard", pa.string()), ("payload", pa.binary())]))
-
-    return ask
-
-
-_ANSWERS = "shard string, bucket int, payload binary, n_tokens long, n_types long"
-
-
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Sums of a bucket's words and pairs, for each shard in its own order; words' totals once a bucket."""
-    asked = [keyed.unpack(p.as_py()) for p in table.column("payload")]
-    words_, total = keyed.merged([a[0] for a in asked], [a[1] for a in asked])
-    pairs, both = keyed.merged([a[2] for a in asked], [a[3] for a in asked])
-    rows = [keyed.pack(total[np.searchsorted(words_, a[0])], both[np.searchsorted(pairs, a[2])]) for a in asked]
-    once = [1] + [0] * (len(rows) - 1)
-    return pa.table({"shard": table.column("shard"), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), "payload": pa.array(rows, pa.binary()), "n_tokens": [int(total.sum()) * x for x in once], "n_types": [int((total > 0).sum()) * x for x in once]})
+        both = chain(before, here)
+        self.pairs, self.pair, self.pair_at = _distinct(both & ~_WORD)
+        #: Places of triples: all but each text's first.
+        inner = np.ones(len(here), bool)
+        inner[self.first] = False
+        self.inner = np.flatnonzero(inner)
+        self.triples, self.triple, at = _distinct(chain(both[self.inner - 1], here[self.inner] ^ _WORD) & ~_WORD)
+        self.triple_at = self.inner[at]
+        self.keys = np.concatenate([self.words, self.pairs, self.triples])
+
+    def request(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys, sorted, and how often training tokens of this shard are each of them."""
+        counts = [np.bincount(n[t], minlength=len(k)) for n, t, k in ((self.word, self.train, self.words), (self.pair, self.train, self.pairs), (self.triple, self.train[self.inner], self.triples))]
+        order = np.argsort(self.keys, kind="stable")
+        return self.keys[order], np.concatenate(counts)[order].astype(np.uint32)
+
+    def counts(self, answers: list[list[np.ndarray]]) -> list[np.ndarray]:
+        """The corpus' counts of this shard's words, pairs and triples."""
+        out = np.empty(len(self.keys), np.int64)
+        out[np.argsort(self.keys, kind="stable")] = np.concatenate([a[0] for a in answers])
+        return np.split(out, [len(self.words), len(self.words) + len(self.pairs)])
+
+    def automaton(self, words_: np.ndarray, pairs: np.ndarray, triples: np.ndarray, starts: int, tokens: int, types: int) -> Automaton:
+        """Of the shard's n-grams with those counts."""
+        w = len(words_)
+        last = self.word[self.pair_at]
+        opens = np.zeros(len(self.word), bool)
+        opens[self.first] = True
+        # the pair's history: a word, or the start
+        ahead = np.where(opens[self.pair_at], w, self.word[self.pair_at - 1])
+        third = self.triple_at
+        return Automaton(words_, (ahead, last, pairs), (self.pair[third - 1], self.pair[third], self.word[third], triples), starts, tokens, types)
 
 
 class Automaton:
-    """The states and arcs that a shard's texts can reach."""
-
-    def __init__(self, words_: np.ndarray, pairs: np.ndarray, starts: int, tokens: int, types: int) -> None:
-        """words_, pairs: training counts by a shard's numbers; starts: training texts, the history before a first word."""
-        self.known = words_ > 0
-        chance = (words_ + 1.0) / (tokens + types + 1.0)
-        self.root = np.log10(chance)  # arcs of the empty history
-        self.chance, self.pairs = chance, pairs
-        self.history = np.append(words_, starts).astype(float)
-        self.fail = np.log10(MU / (self.history + MU))  # a state's failure arc
-
-    def walk(self, word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight of each step, and whether it took the failure arc; all texts at once, each from its start state."""
-        state = np.empty(len(word), np.int64)
-        state[1:] = word[:-1]
-        state[first] = len(self.history) - 1
-        arc = self.pairs[pair]
-        missing = arc == 0
-        weight = np.where(missing, self.fail[state] + self.root[word], np.log10((arc + MU * self.chance[word]) / (self.history[state] + MU)))
-        return weight, missing
+    """States: 0 has no history, then a word each, the start of a text, and a pair of words each."""
+
+    def __init__(self, words_: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...], starts: int, tokens: int, types: int) -> None:
+        """words_: counts by number; pairs: history's word (their number: the start), word, count; triples: history's pair, the pair that it ends with, word, count; starts: training texts."""
+        w, (ahead, last, two), (of, to, third, three) = len(words_), pairs, triples
+        self.start, first_pair = w + 1, w + 2
+        history = np.concatenate([[0], words_, [starts], two]).astype(float)
+        price = np.where(np.arange(len(history)) < first_pair, MU[1], MU[2])
+        self.backoff = np.log10(price / (history + price))
+        self.fail = np.concatenate([np.zeros(w + 2, np.int64), last + 1])
+        one = (words_ + 1.0) / (tokens + types + 1.0)
+        chance2 = (two + MU[1] * one[last]) / (history[ahead + 1] + MU[1])
+        chance3 = (three + MU[2] * chance2[to]) / (two[of] + MU[2])
+        self.root, self.after_root = np.log10(one), np.where(words_ > 0, np.arange(w) + 1, 0)
+        some2, some3 = two > 0, three > 0
+        key = np.concatenate([(ahead[some2] + 1) << 32 | last[some2], (of[some3] + first_pair) << 32 | third[some3]])
+        order = np.argsort(key)
+        self.arc = key[order]
+        self.weight = np.log10(np.concatenate([chance2[some2], chance3[some3]]))[order]
+        self.next = np.concatenate([np.flatnonzero(some2), to[some3]])[order] + first_pair
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The states after a word each, the weights on the way, and the failure arcs taken."""
+        state, weight, failed = state.copy(), np.zeros(len(word)), np.zeros(len(word), np.int64)
+        todo = np.flatnonzero(state)
+        done = np.zeros(len(word), bool)
+        while len(todo):
+            key = state[todo] << 32 | word[todo]
+            at = np.searchsorted(self.arc, key)
+            found = np.zeros(len(todo), bool)
+            inside = at < len(self.arc)
+            found[inside] = self.arc[at[inside]] == key[inside]
+            hit, at, miss = todo[found], at[found], todo[~found]
+            weight[hit] += self.weight[at]
+            state[hit], done[hit] = self.next[at], True
+            weight[miss] += self.backoff[state[miss]]
+            failed[miss] += 1
+            state[miss] = self.fail[state[miss]]
+            todo = miss[state[miss] > 0]
+        rest = np.flatnonzero(~done)
+        weight[rest] += self.root[word[rest]]
+        state[rest] = self.after_root[word[rest]]
+        return state, weight, failed
+
+    def walk(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of each token, and its failure arcs; first: where texts begin. Lanes of LANE tokens go side by side.
+
+        A lane within a text reads the ORDER - 1 words before it from the state without history, which leads to the
+        state that the words from the text's start would: a state is the longest known history.
+        """
+        size = np.diff(np.append(first, len(word)))
+        lanes = -(-size // LANE)
+        k = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = np.repeat(first, lanes) + k * LANE
+        end = np.minimum(begin + LANE, np.repeat(first + size, lanes))
+        state = np.where(k == 0, self.start, 0)
+        for back in range(ORDER - 1, 0, -1):
+            inner = np.flatnonzero(k)
+            state[inner] = self.step(state[inner], word[begin[inner] - back])[0]
+        weight, failed = np.zeros(len(word)), np.zeros(len(word), np.int64)
+        order = np.argsort(begin - end, kind="stable")  # longest first
+        begin, state, length = begin[order], state[order], (end - begin)[order]
+        for t in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -t, "left"))  # lanes that still have a token
+            here = begin[:n] + t
+            state[:n], weight[here], failed[here] = self.step(state[:n], word[here])
+        return weight, failed
+
+
+def _total(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """A bucket's counts; how many tokens its words are, and how many words training has."""
+    words_ = columns[1][(columns[0] & _WORD) > 0]
+    return [columns[1]], int(words_.sum()), int((words_ > 0).sum())
 
 
 def _scored(tokens: int, types: int, starts: int):
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         shard = Shard(left.column("payload")[0].as_py())
-        answers = keyed.in_order(right.to_pylist())
-        model = Automaton(np.concatenate([a[0] for a in answers]), np.concatenate([a[1] for a in answers]), starts, tokens, types)
-        weight, missing = model.walk(shard.word, shard.pair, shard.first)
+        words_, pairs, triples = shard.counts(keyed.in_order(right.to_pylist()))
+        model = shard.automaton(words_, pairs, triples, starts, tokens, types)
+        weight, failed = model.walk(shard.word, shard.first)
         each = lambda x: np.add.reduceat(x, shard.first)
-        return pa.table({"doc_id": pa.array(shard.ids, pa.int64()), "held_out": shard.out, "n_tokens": shard.sizes.astype(np.int64), "n_known": each(model.known[shard.word].astype(np.int64)), "train_tokens": np.full(len(shard.ids), tokens, np.int64), "base_score": each(model.root[shard.word]), "score": each(weight), "n_backoffs": each(missing.astype(np.int64))})
+        return pa.table({"doc_id": pa.array(shard.ids, pa.int64()), "held_out": shard.out, "n_tokens": shard.sizes.astype(np.int64), "n_known": each((words_ > 0)[shard.word].astype(np.int64)), "train_tokens": np.full(len(shard.ids), tokens, np.int64), "base_score": each(model.root[shard.word]), "score": each(weight), "n_backoffs": each(failed)})
 
     return score
 
 
 def score(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. A row for each document, as in SCORES."""
-    n = keyed.buckets(docs)
-    shards = spill(docs.select("doc_id", "text").mapInArrow(_shards, "shard string, payload binary"), "none")
-    asked = shards.mapInArrow(_asked(n), "bucket int, shard string, payload binary")
-    answers = spill(asked.groupBy("bucket").applyInArrow(_answer, _ANSWERS), "none")
-    tokens, types = answers.agg(F.sum("n_tokens"), F.sum("n_types")).first()
+    docs = docs.select("doc_id", "text")
+    shards = spill(docs.mapInArrow(_shards, "shard string, payload binary"), "none")
+    found = keyed.exchange(shards, lambda payload: Shard(payload).request(), _total, keyed.buckets(docs, limit=BUCKET_BYTES))
+    answers = spill(found.answers, "none")
+    tokens, types = (answers if len(found.spilled) == 0 else found.totals).agg(F.sum("a"), F.sum("b")).first()
+    discard(*found.spilled)
+    release(docs.sparkSession)
     starts = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT).count()
-    return shards.groupBy("shard").cogroup(answers.select("shard", "bucket", "payload").groupBy("shard")).applyInArrow(_scored(int(tokens or 0), int(types or 0), starts), SCORES)
+    n = shards.count()
+    out = keyed.dealt(shards, n, "shard").groupBy("shard").cogroup(keyed.dealt(answers.select("shard", "bucket", "payload"), n, "shard").groupBy("shard")).applyInArrow(_scored(int(tokens or 0), int(types or 0), starts), SCORES)
+    out = spill(out)
+    discard(shards, answers)
+    return out

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,21 +38,53 @@ def test_long_words():
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50), st.integers(1, 9))
 @settings(max_examples=50, deadline=None)
-def test_requests(keys, n):
+def test_parts(keys, n):
     keys = np.array(sorted(keys), np.uint64)
-    other = np.arange(len(keys), dtype=np.uint32)
-    back, kept = [], []
-    for r in keyed.requests("s", n, keys, other):
-        k, o = keyed.unpack(r["payload"])
-        back.append(k)
-        kept.append(o)
-    assert np.concatenate([np.empty(0, np.uint64), *back]).tolist() == keys.tolist()
-    assert np.concatenate([np.empty(0, np.uint32), *kept]).tolist() == other.tolist()
-
-
-def test_merged():
-    keys, sums = keyed.merged([np.array([1, 5], np.uint64), np.array([5, 7], np.uint64)], [np.array([1, 2]), np.array([3, 4])])
-    assert keys.tolist() == [1, 5, 7] and sums.tolist() == [1, 5, 4]
+    got = list(keyed.parts(keys, n))
+    assert np.concatenate([np.empty(0, np.uint64), *(keys[s] for _, s in got)]).tolist() == keys.tolist()
+    assert [b for b, _ in got] == sorted({int(k) * n >> 64 if n & (n - 1) == 0 else (int(k) >> 32) * n >> 32 for k in keys})
+
+
+def test_merge():
+    (keys, more, sums), entry, first = keyed.merge([[np.array([1, 5, 5], np.uint64), np.array([2, 1, 2], np.uint64), np.array([1, 2, 9])], [np.array([5, 7], np.uint64), np.array([1, 0], np.uint64), np.array([3, 4])]], 2)
+    assert (keys.tolist(), more.tolist(), sums.tolist()) == ([1, 5, 5, 7], [2, 1, 2, 0], [1, 5, 9, 4])
+    assert entry.tolist() == [0, 1, 2, 1, 3] and first.tolist() == [True, True, True, False, True]
+
+
+@pytest.mark.parametrize(("shards", "fan"), [(0, 4), (1, 4), (4, 4), (5, 4), (17, 4), (40, 3)])
+def test_exchange(spark, shards, fan):
+    """Sums of all keys reach every shard in its order; one holder an entry keeps the bit of `once`; rows grow with the shards."""
+    r = np.random.default_rng(shards)
+    held = {f"{i}-0": np.unique(r.choice(np.array([1, 5 << 40, 1 << 63, 2**64 - 1, *r.integers(0, 2**63, 60)], np.uint64), 30)) for i in range(shards)}
+    rows = spark.createDataFrame([(k, bytearray(keyed.pack(v))) for k, v in held.items()], "shard string, payload binary")
+
+    def ask(payload):
+        (keys,) = keyed.unpack(payload)
+        return keys, np.ones(len(keys), np.uint32)
+
+    found = keyed.exchange(rows, ask, lambda c: ([(c[1] % 100 * 2 + 1).astype(np.uint8)], int(c[1].sum()), len(c[0])), 7, once=1, fan=fan)
+    every = np.concatenate([np.empty(0, np.uint64), *held.values()])
+    keys, counts = np.unique(every, return_counts=True)
+    answers, marked = {}, []
+    for a in found.answers.collect():
+        answers.setdefault(a.shard, []).append({"bucket": a.bucket, "payload": bytes(a.payload)})
+    assert answers.keys() == {k for k, v in held.items() if len(v)}
+    for k, v in answers.items():
+        got = np.concatenate([x[0] for x in keyed.in_order(v)])
+        assert (got >> 1).tolist() == counts[np.searchsorted(keys, held[k])].tolist()
+        marked += held[k][got & 1 > 0].tolist()
+    assert sorted(marked) == keys.tolist()
+    totals = found.totals.collect()
+    assert (sum(t.a for t in totals), sum(t.b for t in totals)) == (len(every), len(keys))
+    levels = keyed.plan(shards, 7, fan)
+    assert levels[-1][0] == 1 and (len(levels) > 1) == (shards > fan)
+
+
+def test_rows_of_an_exchange_grow_with_the_shards():
+    for shards in (10**3, 10**5, 10**7):
+        levels = keyed.plan(shards, shards // 2)
+        sent = [shards * levels[0][1], *(g * n * (levels[k + 1][1] // n) for k, (g, n) in enumerate(levels[:-1]))]
+        assert sum(sent) <= len(levels) * keyed.FAN * shards * 1.1 and len(levels) <= 3
 
 
 def test_rows_run_over_all():

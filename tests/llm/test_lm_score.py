@@ -10,22 +10,29 @@ def brute(rows):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)) + [None]) for i, t in rows]
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    one, two, starts = Counter(), Counter(), 0
+    counts, starts = [Counter(), Counter(), Counter()], 0
+    grams = lambda w: [tuple((["<s>", *w])[max(k + 2 - n, 0) : k + 2]) for k in range(len(w)) for n in (1, 2, 3) if n < k + 3]
     for i, w in docs:
         if not out(i):
-            one.update(w)
-            two.update(zip(["<s>", *w[:-1]], w, strict=True))
+            for g in grams(w):
+                counts[len(g) - 1][g] += 1
             starts += 1
+    one, two, three = counts
     n, v = sum(one.values()), len(one)
+
+    def chance(g):
+        if len(g) == 1:
+            return (one[g] + 1) / (n + v + 1)
+        h = starts if g[:-1] == ("<s>",) else counts[len(g) - 2][g[:-1]]
+        mu = lm_score.MU[len(g) - 1]
+        return (counts[len(g) - 1][g] + mu * chance(g[1:])) / (h + mu)
+
     found = []
     for i, w in docs:
-        base = score = 0.0
-        for a, b in zip(["<s>", *w[:-1]], w, strict=True):
-            p = (one[b] + 1) / (n + v + 1)
-            base += math.log10(p)
-            c = starts if a == "<s>" else one[a]
-            score += math.log10((two[a, b] + lm_score.MU * p) / (c + lm_score.MU))
-        found.append((i, out(i), len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+        whole = ["<s>", *w]
+        base = sum(math.log10(chance((x,))) for x in w)
+        score = sum(math.log10(chance(tuple(whole[max(k - 1, 0) : k + 2]))) for k in range(len(w)))
+        found.append((i, out(i), len(w), sum(one[x,] > 0 for x in w), n, round(base, 6), round(score, 6)))
     return sorted(found, key=str)
 
 
@@ -55,14 +62,57 @@ def test_better_than_the_base_on_held_out_texts(spark, sf_dir):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def shard(texts):
+    """All of them, as one shard; even ids are held out of nothing."""
+    import pyarrow as pa
+
+    class Context:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+
+    import pyspark
+
+    real, pyspark.TaskContext.get = pyspark.TaskContext.get, staticmethod(lambda: Context)
+    try:
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+        return lm_score.Shard(next(iter(lm_score._shards(iter([batch])))).column("payload")[0].as_py())
+    finally:
+        pyspark.TaskContext.get = real
+
+
 def test_chances_sum_to_one():
     import numpy as np
 
-    words, tokens = np.array([3, 2, 1]), 6
-    pairs = np.array([2, 0, 1])  # after the first word, seen 3 times
-    model = lm_score.Automaton(words, pairs, 2, tokens, 3)
-    weight, _ = model.walk(np.array([0, 1, 2]), np.array([0, 1, 2]), np.array([0]))
-    model_of_first = [np.log10((p + lm_score.MU * c) / (3 + lm_score.MU)) for p, c in zip(pairs, model.chance, strict=True)]
-    unknown = lm_score.MU / (3 + lm_score.MU) / (tokens + 3 + 1)
-    assert abs(sum(10**x for x in model_of_first) + unknown - 1) < 1e-9
-    assert np.isfinite(weight).all()
+    s = shard(["a b a c", "a b b", "b a b a c a", "d"])
+    own = np.ones(len(s.train), bool)
+    s.train = own
+    _, counts = s.request()
+    order = np.argsort(s.keys, kind="stable")
+    every = np.empty(len(order), np.int64)
+    every[order] = counts
+    words, pairs, triples = np.split(every, [len(s.words), len(s.words) + len(s.pairs)])
+    model = s.automaton(words, pairs, triples, len(s.ids), int(words.sum()), len(words))
+    unknown = 1 / (words.sum() + len(words) + 1)
+    reached = set()
+    end = int(np.flatnonzero(s.words == lm_score.END)[0]) + 1  # no history ends with a text's end
+    for state in (i for i in range(len(model.backoff)) if end not in (i, model.fail[i])):
+        to, weight, failed = model.step(np.full(len(words), state), np.arange(len(words)))
+        lost, at = 1.0, state
+        while at:
+            lost, at = lost * 10 ** model.backoff[at], model.fail[at]
+        assert abs((10**weight).sum() + lost * unknown - 1) < 1e-9
+        reached |= set(to.tolist())
+        assert failed.max() <= lm_score.ORDER - 1
+    assert reached & set(range(model.start + 1, len(model.backoff)))  # histories of two words
+
+
+def test_lanes_carry_the_same_state(monkeypatch):
+    import numpy as np
+
+    text = " ".join(np.random.default_rng(3).choice(list("abcdefgh"), 700))
+    s = shard([text, "a", "", text[:99]])
+    args = np.bincount(s.word, minlength=len(s.words)) % 5, np.bincount(s.pair) % 3, np.bincount(s.triple) % 2
+    whole = s.automaton(*args, 2, 900, 9)
+    a = whole.walk(s.word, s.first)
+    monkeypatch.setattr(lm_score, "LANE", 10**9)
+    b = whole.walk(s.word, s.first)
+    assert np.allclose(a[0], b[0]) and (a[1] == b[1]).all() and a[1].max() == 2
