@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning, and the classes of documents that it links.
 
 A document's set has its distinct shingles of WORDS words. Sets are ordered by how often a shingle occurs in the corpus
-(rarest first), that global order is cut into fragments, each candidate pair's partial overlaps are counted by fragment
-and summed, and a pair links when 100 * overlap >= 80 * union.
+(rarest first), that global order is cut into fragments, and a node's set becomes a row a fragment. Candidate pairs meet
+these rows fragment by fragment; each meeting emits a partial overlap, partial overlaps are summed by pair, and a pair
+links when 100 * overlap >= 80 * union.
 
 Candidates share a shingle of their prefixes, the rarest ones, of which a linked pair must share one. Some things
 keep their number linear in groups of copies without losing a link between classes:
@@ -14,7 +15,9 @@ keep their number linear in groups of copies without losing a link between class
 * links only matter between classes: nodes of one prefix list are first compared with one leader a node, the classes
   so found join, and only pairs of different classes go on to the last, complete round.
 
-Shingles are 64-bit hashes, nodes 128-bit ones. Counts come from ``keyed``, so no shingle's list is ever one task's.
+Shingles are 64-bit hashes, nodes 128-bit ones. Counts come from ``keyed``, so no shingle's list is ever one task's: the
+count of a shingle, which each row of its list knows, says into how many salts the list is dealt (`SALT`), and what is
+found out about a list goes to all of its salts. In the last round a list meets itself in cells of two salts.
 
 Defined results: a null text, or one without words, has an empty set and is a class of its own; a text under WORDS
 words is one shingle of all; repeated rows share a node; a null doc_id joins its class and names it only if no other
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
-from .common import discard, spill
+from .common import discard, release, spill
 from .shards import open_shard, text_shards
 from .textbytes import NOT_SPACE, chain, mix, row_runs, word_hashes, words
 
@@ -41,7 +44,8 @@ WORDS, PERCENT = 5, 80
 #: The global order's fragments, by how many documents have a shingle: 2, 3-4, 5-16, 17 and more.
 CUTS = (3, 5, 17)
 STARS = 2
-_NONE = (1 << 63) - 1
+#: Rows of a list in one salt, and in one side of a cell of the last round.
+SALT, CELL = 512, 4096
 _SETS = "doc_id long, n_shingles long, node binary, common long, blob binary"
 
 
@@ -78,23 +82,14 @@ def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return unique[order], rank[codes]
 
 
-def _ask(n: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, data, offsets = open_shard(payload.as_py())
-                unique, number = _numbered(_sets(data, offsets))
-                times = np.bincount(number, minlength=len(unique)).astype(np.uint32)
-                yield pa.RecordBatch.from_pylist(list(keyed.requests(name, n, unique, times)), schema=pa.schema([("bucket", pa.int32()), ("shard", pa.string()), ("payload", pa.binary())]))
+def _ask(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    _, _, data, offsets = open_shard(payload)
+    unique, number = _numbered(_sets(data, offsets))
+    return unique, np.bincount(number, minlength=len(unique)).astype(np.uint32)
 
-    return ask
 
-
-def _count(_key: tuple, table: pa.Table) -> pa.Table:
-    asked = [keyed.unpack(p.as_py()) for p in table.column("payload")]
-    key, total = keyed.merged([a[0] for a in asked], [a[1] for a in asked])
-    rows = [keyed.pack(np.minimum(total[np.searchsorted(key, a[0])], 0xFFFFFFFF).astype(np.uint32)) for a in asked]
-    return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "payload": pa.array(rows, pa.binary())})
+def _told(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    return [np.minimum(columns[1], 0xFFFFFFFF).astype(np.uint32)], 0, 0
 
 
 def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -108,7 +103,7 @@ def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
     for doc, has_id, s in zip(ids.tolist(), known.tolist(), sets, strict=True):
         n, t = len(s), times[at : at + len(s)]
         at += n
-        row = {"doc_id": doc if has_id else _NONE, "n_shingles": n, "node": None, "common": None, "blob": None}
+        row = {"doc_id": doc if has_id else None, "n_shingles": n, "node": None, "common": None, "blob": None}
         shared = t > 1
         common = int(shared.sum())
         if n and 100 * common >= PERCENT * n:
@@ -118,23 +113,25 @@ def _kept(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("common", pa.int64()), ("blob", pa.binary())]))
 
 
-_PREFIX = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("common", pa.int64()), ("token", pa.int64()), ("rank", pa.int32())])
+_PREFIX = pa.schema([("node", pa.binary()), ("n", pa.int64()), ("common", pa.int64()), ("token", pa.int64()), ("rank", pa.int32()), ("times", pa.int64())])
 #: So many of a node's first prefix shingles tell apart the first list that a pair shares.
 HEAD = 32
 
 
-def _prefix(blob: bytes, n: int, common: int) -> np.ndarray:
-    order, _ = keyed.unpack(blob)
-    return order[: n - -(-PERCENT * n // 100) + 1 - (n - common)].view(np.int64)
+def _prefix(blob: bytes, n: int, common: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rarest shingles and how many documents have each."""
+    order, times = keyed.unpack(blob)
+    k = n - -(-PERCENT * n // 100) + 1 - (n - common)
+    return order[:k].view(np.int64), times[:k].astype(np.int64)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of a node's prefix, with its rank there."""
     for batch in batches:
         for node, n, common, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            prefix = _prefix(blob, n, common)
+            prefix, times = _prefix(blob, n, common)
             k = len(prefix)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * k, pa.binary()), np.full(k, n), np.full(k, common), prefix, np.arange(k, dtype=np.int32)], schema=_PREFIX)
+            yield pa.RecordBatch.from_arrays([pa.array([node] * k, pa.binary()), np.full(k, n), np.full(k, common), prefix, np.arange(k, dtype=np.int32), times], schema=_PREFIX)
 
 
 #: 64-bit words of a node's bitmap.
@@ -151,39 +148,24 @@ def _bitmap(shingles: np.ndarray) -> list[int]:
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         wide = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        heads = [_prefix(blob, n, common)[:HEAD].tolist() for _, n, common, blob in wide]
+        heads = [_prefix(blob, n, common)[0][:HEAD].tolist() for _, n, common, blob in wide]
         bits = [_bitmap(keyed.unpack(blob)[0]) for *_, blob in wide]
         yield pa.RecordBatch.from_pydict({"node": batch.column(0), "head": pa.array(heads, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
 
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A node's shingles, sorted, by fragment of the order."""
+    """A row for each fragment of the order in which a node has shingles."""
     for batch in batches:
-        rows = []
-        for blob in batch.column(1):
+        nodes, numbers, parts = [], [], []
+        for node, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             order, times = keyed.unpack(blob.as_py())
             at = [0, *np.searchsorted(times, CUTS).tolist(), len(order)]
-            rows.append([np.sort(order[at[i] : at[i + 1]]).tobytes() for i in range(len(at) - 1)])
-        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "parts": pa.array(rows, pa.list_(pa.binary()))})
-
-
-def overlap(x: list[bytes], y: list[bytes], need: int) -> int:
-    """Partial overlaps of the fragments, summed; less than need as soon as it can't be reached."""
-    most = sum(min(len(p), len(q)) for p, q in zip(x, y, strict=True)) // 8
-    for p, q in zip(x, y, strict=True):
-        if most < need:
-            break
-        both = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
-        most -= min(len(p), len(q)) // 8 - both
-    return most
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, n, m, x, y = batch.columns
-        need = [-(-PERCENT * (i + j) // (100 + PERCENT)) for i, j in zip(n.to_pylist(), m.to_pylist(), strict=True)]
-        keep = pa.array([overlap(p.as_py(), q.as_py(), k) >= k for p, q, k in zip(x, y, need, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_pydict({"a": a.filter(keep), "b": b.filter(keep)})
+            for i in range(len(at) - 1):
+                if at[i] < at[i + 1]:
+                    nodes.append(node)
+                    numbers.append(i)
+                    parts.append(order[at[i] : at[i + 1]].view(np.int64))
+        yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "fragment": pa.array(numbers, pa.int32()), "part": pa.array(parts, pa.list_(pa.int64()))})
 
 
 def _fits(n: str, m: str, common_n: str, common_m: str) -> Column:
@@ -193,10 +175,12 @@ def _fits(n: str, m: str, common_n: str, common_m: str) -> Column:
 
 
 def links(pairs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """a, b: the classes of those pairs (a, b, na, nb, ra, rb) that link."""
-    x = fragments.select(F.col("node").alias("a"), F.col("parts").alias("p"))
-    y = fragments.select(F.col("node").alias("b"), F.col("parts").alias("q"))
-    return pairs.join(x, "a").join(y, "b").select("ra", "rb", "na", "nb", "p", "q").mapInArrow(_linked, "a binary, b binary")
+    """a, b: the classes of those pairs (a, b, na, nb, ra, rb) that link, by the sum of each pair's partial overlaps."""
+    x = fragments.select(F.col("node").alias("a"), "fragment", F.col("part").alias("p"))
+    y = fragments.select(F.col("node").alias("b"), "fragment", F.col("part").alias("q"))
+    partial = pairs.join(x, "a").join(y, ["b", "fragment"]).select("a", "b", "na", "nb", "ra", "rb", "fragment", F.size(F.array_intersect("p", "q")).alias("both"))
+    summed = partial.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.sum("both").alias("overlap"))
+    return summed.where((100 + PERCENT) * F.col("overlap") >= PERCENT * (F.col("na") + F.col("nb"))).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -219,65 +203,85 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _counted(docs: DataFrame) -> DataFrame:
     """Rows as in _SETS."""
-    n = keyed.buckets(docs)
     shards = spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none")
-    asked = shards.mapInArrow(_ask(n), "bucket int, shard string, payload binary")
-    counts = asked.groupBy("bucket").applyInArrow(_count, "shard string, bucket int, payload binary")
-    rows = spill(shards.groupBy("shard").cogroup(counts.groupBy("shard")).applyInArrow(_kept, _SETS), "none")
-    del asked, counts
-    discard(shards)
+    counts, n = keyed.exchange(shards, _ask, _told, keyed.buckets(docs)), shards.count()
+    rows = spill(keyed.dealt(shards, n, "shard").groupBy("shard").cogroup(keyed.dealt(counts.answers.select("shard", "bucket", "payload"), n, "shard").groupBy("shard")).applyInArrow(_kept, _SETS), "none")
+    discard(shards, *counts.spilled)
+    del counts
+    release(docs.sparkSession)
     return rows
 
 
+def _salted(summary: DataFrame) -> DataFrame:
+    """What is known of a list, for each of its salts; salts: their number."""
+    return summary.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).drop("salts")
+
+
+def _lists(wide: DataFrame) -> DataFrame:
+    """Rows (token, salt, salts, cells, node, n, common, rank, root) of the prefix lists of two nodes and more."""
+    rows = wide.mapInArrow(_prefixes, "node binary, n long, common long, token long, rank int, times long")
+    rows = rows.select("*", F.expr(f"1 + times div {SALT}").alias("salts"), F.expr(f"1 + times div {CELL}").alias("cells"))
+    every = spill(rows.select("*", F.expr("pmod(xxhash64(node), salts)").alias("salt"), F.col("node").alias("root")).drop("times"))
+    some = every.groupBy("token").agg(F.count("*").alias("k"), F.max("salts").alias("salts")).where("k > 1").select("token", "salts")
+    lists = spill(every.join(_salted(some), ["token", "salt"], "left_semi"))
+    discard(every)
+    return lists
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. doc_id, n_shingles, component_id for each row."""
+    spark = docs.sparkSession
     rows = _counted(docs.select("doc_id", "text"))
     some = rows.where("node is not null")
     nodes = spill(some.select("node", F.col("n_shingles").alias("n"), "common", "blob").dropDuplicates(["node"]), "none")
     wide = nodes.select("node", "n", "common", "blob")
-    every = spill(wide.mapInArrow(_prefixes, "node binary, n long, common long, token long, rank int"))
-    lists = spill(every.join(every.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "token", "left_semi").withColumn("root", F.col("node")))
-    discard(every)
+    lists = _lists(wide)
     heads = wide.mapInArrow(_heads, "node binary, head array<long>, bits array<long>")
-    fragments = spill(nodes.select("node", "blob").mapInArrow(_fragments, "node binary, parts array<binary>"), "none")
+    fragments = spill(nodes.select("node", "blob").mapInArrow(_fragments, "node binary, fragment int, part array<long>"), "none")
     member = spill(some.groupBy("node").agg(F.min("doc_id").alias("first")).withColumn("root", F.col("node")))
+    release(spark)
 
     for turn in range(STARS + 1):
         if turn < STARS:
             # each node goes to the leader with which it shares most lists; leaders have most in common with others
-            leader = lists.groupBy("token").agg(F.max(F.struct((F.col("common") * 1000 / F.col("n")).cast("long").alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "common", "root")).alias("l"))
-            met = lists.join(leader.select("token", F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.common").alias("cb"), F.col("l.root").alias("rb")), "token")
-            met = met.where((F.col("root") != F.col("rb")) & _fits("n", "nb", "common", "cb"))
+            leader = lists.groupBy("token").agg(F.max("salts").alias("salts"), F.max(F.struct((F.col("common") * 1000 / F.col("n")).cast("long").alias("rank"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "common", "root")).alias("l"))
+            leader = _salted(leader.select("token", "salts", F.col("l.node").alias("b"), F.col("l.n").alias("nb"), F.col("l.common").alias("cb"), F.col("l.root").alias("rb")))
+            met = lists.join(leader, ["token", "salt"]).where((F.col("root") != F.col("rb")) & _fits("n", "nb", "common", "cb"))
             best = met.groupBy(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b", "nb", "rb").count().groupBy("a", "na", "ra").agg(F.max(F.struct("count", "b", "nb", "rb")).alias("x"))
             pairs = best.select("a", "na", "ra", "x.b", "x.nb", "x.rb")
         else:
-            left = spill(lists.join(heads, "node").withColumn("earlier", F.expr("slice(head, 1, rank)")).drop("head"))
-            right = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("earlier").alias("eb"), F.col("bits").alias("bb"))
+            left = spill(lists.join(heads, "node").withColumn("earlier", F.expr("slice(head, 1, rank)")).withColumn("cell", F.expr("pmod(xxhash64(node, 1), cells)")).drop("head"))
+            other = F.explode(F.expr("sequence(0L, cells - 1)"))
+            right = left.select("token", other.alias("cell_a"), F.col("cell").alias("cell_b"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("common").alias("cb"), F.col("root").alias("rb"), F.col("earlier").alias("eb"), F.col("bits").alias("bb"))
             # shingles in one of the two only: at least those that occur nowhere else, and the bits that differ
             apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITS)), F.col("n") - F.col("common") + F.col("nb") - F.col("cb"))
             near = apart * (100 + PERCENT) <= (F.col("n") + F.col("nb")) * (100 - PERCENT)
             # a pair of different classes' nodes is met in the first list that both are in
-            condition = (left["token"] == right["token"]) & (left["root"] < right["rb"]) & _fits("n", "nb", "common", "cb") & near & ~F.arrays_overlap(left["earlier"], right["eb"])
-            pairs = left.join(right, condition).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b", "nb", "rb").distinct()
+            met = left.select("*", F.col("cell").alias("cell_a"), other.alias("cell_b")).join(right, ["token", "cell_a", "cell_b"])
+            condition = (F.col("root") < F.col("rb")) & _fits("n", "nb", "common", "cb") & near & ~F.arrays_overlap("earlier", "eb")
+            pairs = met.where(condition).select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), "b", "nb", "rb").distinct()
         pairs = spill(pairs)
         new = spill(links(pairs, fragments))
         discard(pairs)
+        if turn == STARS:
+            discard(left)
         if new.isEmpty():
+            discard(new)
             continue
         moved = components(new).select(F.col("node").alias("root"), F.col("root").alias("_to"))
         was, member = member, spill(member.join(moved, "root", "left").select("node", "first", F.coalesce("_to", "root").alias("root")))
-        discard(was)
+        discard(was, new)
         if turn < STARS:  # only lists that still hold different classes go on
-            renamed = spill(lists.join(moved, "root", "left").select("token", "node", "n", "common", "rank", F.coalesce("_to", "root").alias("root")))
-            mixed = renamed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token")
-            was, lists = lists, spill(renamed.join(mixed, "token", "left_semi"))
+            renamed = spill(lists.join(moved, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to"))
+            mixed = renamed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("salts").alias("salts")).where("lo != hi").select("token", "salts")
+            was, lists = lists, spill(renamed.join(_salted(mixed), ["token", "salt"], "left_semi"))
             discard(was, renamed)
+        release(spark)
 
     root = member.groupBy("root").agg(F.min("first").alias("component_id"))
     named = member.select("node", "root").join(root, "root").select("node", "component_id")
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    null = lambda c: F.when(c != _NONE, c)
-    out = spill(out.select(null(F.col("doc_id")).alias("doc_id"), "n_shingles", null(F.coalesce("component_id", "doc_id")).alias("component_id")))
+    out = spill(out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
     discard(rows, nodes, lists, fragments, member)
     return out
 

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 
 from foliospark.llm import jaccard_join
 
@@ -46,7 +47,10 @@ def test_against_brute_force(spark, sf_dir):
     check(spark, [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()])
 
 
-def test_groups_of_near_copies(spark):
+@pytest.mark.parametrize(("salt", "cell"), [(512, 4096), (7, 5)])
+def test_groups_of_near_copies(spark, salt, cell, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SALT", salt)
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
     r = np.random.default_rng(5)
     base = [f"w{i}" for i in range(90)]
     rows = []
@@ -60,6 +64,10 @@ def test_groups_of_near_copies(spark):
     check(spark, rows)
 
 
+def test_greatest_ids(spark):
+    check(spark, [(2**63 - 1, "a b c d e f"), (2**63 - 1, "other words stand in here"), (None, "a b c d e f"), (-(2**63), "")])
+
+
 def test_nulls_short_long_and_repeated(spark):
     rows = [(1, None), (2, ""), (3, "a b c"), (4, "A b  c"), (5, "a b"), (None, "a b c"), (None, "only one"), (6, "x " * 30000), (7, "x y z " * 20000), (7, "x y z " * 20000), (8, "one two three four five"), (9, "one two three four five six"), (10, " \t ")]
     check(spark, rows)
