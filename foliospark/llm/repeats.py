@@ -22,15 +22,17 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import keyed
-from .common import discard, spill
+from .common import discard, release, spill
 from .shards import open_rest, open_shard, row_shards, text_shards
 from .textbytes import mix
 
@@ -94,18 +96,22 @@ def _again(grams: np.ndarray, key: np.ndarray, starts: np.ndarray, ends: np.ndar
     return out
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """start, windows, key, content hash of all stretches, and whether one may repeat a window in itself; with windows (starts, sorted), the hash of each of these windows instead."""
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A cryptographic hash of each string: unlike those of grams, nobody can write two texts that share one."""
+    raw, out = memoryview(np.ascontiguousarray(data)), np.empty(len(starts), np.uint64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        out[i] = int.from_bytes(blake2b(raw[a:b], digest_size=8).digest(), "little")
+    return out
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, windows, key, content hash of all stretches, and whether one may repeat a window in itself."""
     up, down = _up_down()
     found: list[list[np.ndarray]] = [[], [], [], [], []]
     for c in range(0, max(len(data) - LENGTH + 1, 0), CHUNK):
         piece = data[c : c + CHUNK + LENGTH - 1]
         sums = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(_VALUE[piece] * up[: len(piece)], out=sums[1:])
-        if windows is not None:
-            at = windows[np.searchsorted(windows, c) : np.searchsorted(windows, c + CHUNK)] - c
-            found[0].append(mix((sums[at + LENGTH] - sums[at]) * down[at]))
-            continue
         grams = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(piece) - GRAM + 1])
         key = least(grams, SPAN)
         n = len(key)
@@ -127,12 +133,11 @@ def stretches(data: np.ndarray, offsets: np.ndarray, windows: np.ndarray | None
             k = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
             starts, ends = np.repeat(starts, parts) + k * STRETCH, np.minimum(np.repeat(ends, parts), np.repeat(starts, parts) + (k + 1) * STRETCH)
         size = ends - starts
-        content = mix((sums[ends + LENGTH - 1] - sums[starts]) * down[starts] + size.astype(np.uint64))
+        content = digests(piece, starts, ends + LENGTH - 1)
         again = _again(grams, key, starts, ends)
         for f, x in zip(found, (starts + c, size, mix(key[starts] + np.uint64(1)), content, again), strict=True):
             f.append(x)
-    kinds: tuple = (np.uint64,) if windows is not None else (np.int64, np.int64, np.uint64, np.uint64, bool)
-    return tuple(np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, kinds, strict=False))
+    return tuple(np.concatenate(f) if f else np.empty(0, k) for f, k in zip(found, (np.int64, np.int64, np.uint64, np.uint64, bool), strict=True))
 
 
 class RunLengthIndex:
@@ -232,38 +237,22 @@ def _entries(key: np.ndarray, content: np.ndarray, again: np.ndarray) -> tuple[n
     return k[start], c[start], np.diff(np.append(start, len(k))).astype(np.uint32), again[order][start].astype(np.uint8), entry
 
 
-def _ask(n: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, data, offsets = open_shard(payload.as_py())
-                rows = list(keyed.requests(name, n, *_entries(*stretches(data, offsets)[2:])[:4]))
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), ("shard", pa.string()), ("payload", pa.binary())]))
-
-    return ask
+def _ask(payload: bytes) -> tuple[np.ndarray, ...]:
+    """A shard's entries and their figures."""
+    _, _, data, offsets = open_shard(payload)
+    return _entries(*stretches(data, offsets)[2:])[:4]
 
 
 #: Of an entry: the stretch occurs twice; one of its kind goes to the index; its key has too many kinds for that.
 TWICE, SUPPLY, WINDOWS = 1, 2, 4
 
 
-def _count(_key: tuple, table: pa.Table) -> pa.Table:
-    """Codes for a bucket's entries, in each shard's order."""
-    asked = [keyed.unpack(p.as_py()) for p in table.column("payload")]
-    key, content, times, again = (np.concatenate([a[i] for a in asked]) for i in range(4))
-    order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    new_key = np.append(True, k[1:] != k[:-1])
-    new = new_key | np.append(True, c[1:] != c[:-1])
-    kind = np.cumsum(new) - 1
-    total = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new))
-    of_key = np.cumsum(new_key) - 1
-    kinds = np.bincount(of_key, weights=new)[of_key]
-    code = np.where(total[kind] > 1, TWICE, 0) | np.where(((kinds > 1) | (again[order] > 0)) & new, SUPPLY, 0) | np.where(kinds > HOT, WINDOWS, 0)
-    back = np.empty(len(code), np.uint8)
-    back[order] = code
-    cut = np.cumsum([len(a[0]) for a in asked])[:-1]
-    return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "payload": pa.array([keyed.pack(x) for x in np.split(back, cut)], pa.binary())})
+def _count(columns: list[np.ndarray]) -> tuple[list[np.ndarray], int, int]:
+    """Codes for a bucket's entries."""
+    key, _, times, again = columns
+    of_key = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.empty(0, np.int64)
+    kinds = np.bincount(of_key)[of_key] if len(key) else of_key
+    return [(np.where(times > 1, TWICE, 0) | np.where((kinds > 1) | (again > 0), SUPPLY, 0) | np.where(kinds > HOT, WINDOWS, 0)).astype(np.uint8)], 0, 0
 
 
 def _supply(n: int):
@@ -286,19 +275,18 @@ def _supply(n: int):
             count = size[pick]
             if kind == 2:
                 at = np.sort(np.repeat(start[pick] - (np.cumsum(count) - count), count) + np.arange(int(count.sum())))
-                (hashes,) = stretches(data, offsets, at)
+                hashes = digests(data, at, at + LENGTH)
                 own = np.searchsorted(start, at, "right") - 1
                 order = np.argsort(hashes, kind="stable")
                 columns = [hashes[order], key[own][order], at[order]]
             else:
                 columns = [key[pick], start[pick], count, twice[pick].astype(np.uint8)]
-            cut = keyed.cuts(columns[0], n)
-            for i in np.flatnonzero(np.diff(cut)):
-                part = [c[cut[i] : cut[i + 1]] for c in columns]
+            for i, place in keyed.parts(columns[0], n):
+                part = [c[place] for c in columns]
                 if kind == 1:
                     length = part[2] + LENGTH - 1
                     part.append(data[np.arange(int(length.sum())) + np.repeat(part[1] - (np.cumsum(length) - length), length)])
-                rows.append({"kind": kind, "bucket": int(i), "shard": name, "payload": keyed.pack(*part)})
+                rows.append({"kind": kind, "bucket": i, "shard": name, "payload": keyed.pack(*part)})
         return pa.Table.from_pylist(rows, schema=_SENT)
 
     return supply
@@ -378,32 +366,44 @@ def _rows(place: int):
     return rows
 
 
-def _marked(shards: DataFrame, n: int) -> DataFrame:
-    """All marks of shards (shard, payload)."""
+def _by_shard(shards: DataFrame, other: DataFrame, n: int):
+    """Both sides dealt by shard, of which there are n."""
+    return keyed.dealt(shards, n, "shard").groupBy("shard").cogroup(keyed.dealt(other, n, "shard").groupBy("shard"))
+
+
+def _marked(shards: DataFrame, n: int, held: int) -> DataFrame:
+    """All marks of shards (shard, payload), of which there are `held`, by way of n buckets."""
     shards = shards.select("shard", "payload")
-    asked = shards.mapInArrow(_ask(n), "bucket int, shard string, payload binary")
-    codes = asked.groupBy("bucket").applyInArrow(_count, "shard string, bucket int, payload binary")
-    sent = spill(shards.groupBy("shard").cogroup(codes.groupBy("shard")).applyInArrow(_supply(n), "kind int, bucket int, shard string, payload binary"), "none")
+    codes = keyed.exchange(shards, _ask, _count, n, keys=2, once=SUPPLY)
+    sent = spill(_by_shard(shards, codes.answers.select("shard", "bucket", "payload"), held).applyInArrow(_supply(n), "kind int, bucket int, shard string, payload binary"), "none")
+    discard(*codes.spilled)
+    del codes
     marks = sent.where("kind = 0").select("shard", "payload")
     for kind, fn in ((1, _index), (2, _windows)):
-        marks = marks.unionByName(sent.where(F.col("kind") == kind).select("bucket", "shard", "payload").groupBy("bucket").applyInArrow(fn, _MARKS))
+        of_kind = sent.where(F.col("kind") == kind).select("bucket", "shard", "payload")
+        marks = marks.unionByName(keyed.dealt(of_kind, n, "bucket").groupBy("bucket").applyInArrow(fn, _MARKS))
     marks = spill(marks, "none")
-    del asked, codes
     discard(sent)
+    release(shards.sparkSession)
     return marks
 
 
+def _applied(docs: DataFrame, shards: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+    """What fn makes of each shard and its marks."""
+    held = shards.count()
+    marks = _marked(shards, keyed.buckets(docs), held)
+    out = spill(_by_shard(shards, marks, held).applyInArrow(fn, schema))
+    discard(shards, marks)
+    return out
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. A row for each document, as in REMOVED."""
     docs = docs.select("doc_id", "text")
-    shards = spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none")
-    marks = _marked(shards, keyed.buckets(docs))
-    return shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_digest, REMOVED)
+    return _applied(docs, spill(docs.mapInArrow(text_shards, "shard string, payload binary"), "none"), _digest, REMOVED)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs: any columns, text among them. The same rows with what is left of their texts."""
     place = docs.columns.index("text")
-    shards = spill(docs.mapInArrow(row_shards(place), "shard string, payload binary, rest binary"), "none")
-    marks = _marked(shards, keyed.buckets(docs))
-    return shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_rows(place), docs.schema)
+    return _applied(docs, spill(docs.mapInArrow(row_shards(place), "shard string, payload binary, rest binary"), "none"), _rows(place), docs.schema)

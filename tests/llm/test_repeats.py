@@ -78,9 +78,12 @@ def in_process(shards, n):
         return out
 
     names = [str(k) for k in range(len(shards))]
-    batch = pa.RecordBatch.from_pydict({"shard": names, "payload": pa.array(shards, pa.binary())})
-    asked = [r for b in repeats._ask(n)([batch]) for r in b.to_pylist()]
-    codes = [r for rows in grouped(asked, "bucket").values() for r in repeats._count((), pa.Table.from_pylist(rows)).to_pylist()]
+    columns = [repeats._ask(p) for p in shards]
+    merged, entry, first = repeats.keyed.merge(columns, 2)
+    (code,), _, _ = repeats._count(merged)
+    code = np.where(first, code[entry], code[entry] & ~np.uint8(repeats.SUPPLY))
+    cut = np.split(code, np.cumsum([len(c[0]) for c in columns])[:-1])
+    codes = [{"shard": s, "bucket": 0, "payload": repeats.keyed.pack(c)} for s, c in zip(names, cut, strict=True)]
     tables = {s: pa.table({"shard": [s], "payload": pa.array([p], pa.binary())}) for s, p in zip(names, shards, strict=True)}
     schema = pa.schema([("shard", pa.string()), ("bucket", pa.int32()), ("payload", pa.binary())])
     sent = [r for s in names for r in repeats._supply(n)(tables[s], pa.Table.from_pylist(grouped(codes, "shard")[s], schema=schema)).to_pylist()]
