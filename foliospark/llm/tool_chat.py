@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spill
+from .common import discard, spill
 
 LINES = "conv_id long, call_id string, turn long, step long, name string, linked boolean, valid boolean, errors string, json string"
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
@@ -121,16 +121,26 @@ def _lines(schemas: dict[str, dict]):
     return lines
 
 
-def _steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """conv_id, call_id, level of nodes; none for those in or after a cycle. edges: conv_id, call_id, dep."""
-    done, todo, level = None, spill(nodes), 0
+def _steps(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """conv_id, call_id, level of nodes, none for those in or after a cycle; and what to discard afterwards. edges: conv_id, call_id, dep.
+
+    A round a level, each over the calls and dependencies that are left. Levels are written apart and united at the end.
+    """
+    todo, level, levels = nodes, 0, []
     while True:
-        waits = edges if done is None else edges.join(done.select("conv_id", F.col("call_id").alias("dep")), ["conv_id", "dep"], "left_anti")
-        ready = spill(todo.join(waits.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")))
+        ready = spill(todo.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")))
+        levels.append(ready)
         if ready.isEmpty():
-            return ready if done is None else done
-        done = ready if done is None else spill(done.unionByName(ready))
-        todo = spill(todo.join(ready.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"))
+            discard(todo, edges)
+            done = levels[0]
+            for more in levels[1:]:
+                done = done.unionByName(more)
+            return done, levels
+        done_now = ready.select("conv_id", "call_id")
+        was = todo, edges
+        todo = spill(todo.join(done_now, ["conv_id", "call_id"], "left_anti"))
+        edges = spill(edges.join(done_now.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"], "left_anti"))
+        discard(*was)
         level += 1
 
 
@@ -145,15 +155,19 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     edges = edges.where("_t is not null and call_id is not null")
     late = spill(edges.where("_t >= turn or turn is null").select("conv_id").distinct())
     rows = calls.join(told, ["conv_id", "call_id"], "left").join(unknown, ["conv_id", "call_id"], "left")
+    used = [late]
     if late.isEmpty():
         rows = rows.withColumn("step", F.col("turn")).withColumn("cyclic", F.lit(False))
     else:
         some = edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "dep").distinct()
-        levels = _steps(spill(some), known.join(late, "conv_id", "left_semi").select("conv_id", "call_id"))
+        levels, written = _steps(spill(some), spill(known.join(late, "conv_id", "left_semi").select("conv_id", "call_id")))
+        used += written
         rows = rows.join(levels, ["conv_id", "call_id"], "left").join(late.withColumn("_late", F.lit(True)), "conv_id", "left")
         rows = rows.withColumn("cyclic", F.coalesce("_late", F.lit(False)) & F.col("level").isNull() & F.col("call_id").isNotNull()).withColumn("step", F.when(F.col("_late"), F.col("level")).otherwise(F.col("turn")))
     rows = rows.select("conv_id", "call_id", "turn", "step", "name", F.col("_r").isNotNull().alias("linked"), "arguments", F.col("_r.content").alias("result"), F.coalesce("_u", F.lit(0)).alias("unknown"), "cyclic")
-    return rows.mapInArrow(_lines(schemas), LINES)
+    out = spill(rows.mapInArrow(_lines(schemas), LINES))
+    discard(*used)
+    return out
 
 
 #: The tool of the turns below.
@@ -161,10 +175,23 @@ ANSWER = {"answer": {"type": "object", "required": ["text", "turn"], "additional
 
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Plain conversations as calls of `answer`: each user turn asks, after the user turn two before, and the next turn, if the assistant's, is its result."""
-    rows = conversations.select("conv_id", "turn", "role", "text")
+    """Plain conversations as calls of `answer`, in all the states that real logs have, as the CRC of a turn's text says.
+
+    Each user turn asks, and the next turn, if the assistant's, is its result. It depends on the user turn two before,
+    or on the one two after (out of order, or a cycle if that one depends on it), on itself, or on none. Its arguments
+    are right, or have a wrong type, lack a field, are cut off, or name another tool; it is logged once or twice; a
+    result may be logged again later, with other content, which doesn't count.
+    """
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("_h", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
-    text = F.to_json(F.struct(F.col("text"), F.col("turn")))
-    calls = rows.where("role = 'user'").select("conv_id", "turn", name(F.col("turn")).alias("call_id"), F.lit("answer").alias("name"), text.alias("arguments"), F.when(F.col("turn") >= 2, F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"))
-    results = rows.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.to_json(F.struct("text")).alias("content"))
-    return calls, results
+    after, kind, again = F.col("_h") % 6, F.expr("_h div 6 % 8"), F.expr("_h div 48 % 4")
+    turn = F.col("turn")
+    right = F.to_json(F.struct("text", "turn"))
+    arguments = F.when(kind == 0, F.to_json(F.struct("text", turn.cast("string").alias("turn")))).when(kind == 1, F.to_json(F.struct("turn"))).when(kind == 2, right.substr(F.lit(1), F.length(right) - 1)).otherwise(right)
+    before = F.when(after == 0, turn + 2).when(after == 1, turn).when((after > 2) & (turn >= 2), turn - 2)
+    deps = F.when(before.isNotNull(), F.array(name(before))).otherwise(F.array().cast("array<string>"))
+    calls = rows.where("role = 'user'").select("conv_id", "turn", name(turn).alias("call_id"), F.when(kind == 3, "search").otherwise("answer").alias("name"), arguments.alias("arguments"), deps.alias("after"), F.explode(F.when(again == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
+    told = rows.where("role = 'assistant'")
+    copies = F.explode(F.when(again == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")
+    results = told.select("conv_id", "turn", "text", name(turn - 1).alias("call_id"), copies)
+    return calls, results.select("conv_id", (turn + F.col("_copy")).alias("turn"), "call_id", F.when(F.col("_copy") == 0, F.to_json(F.struct("text"))).otherwise("late").alias("content"))

@@ -1,4 +1,5 @@
 import json
+import zlib
 
 import pytest
 
@@ -12,18 +13,51 @@ def link(spark, calls, results, schemas=t.ANSWER):
     return t.link(spark.createDataFrame([(*c, "x") for c in calls], CALLS), spark.createDataFrame([(*r, "x") for r in results], RESULTS), schemas).collect()
 
 
+def brute(rows):
+    """The calls that turns_as_calls should make of (conv_id, turn, role, text), and their lines."""
+    turns = {(c, n): (role, text) for c, n, role, text in rows}
+    h = lambda text: zlib.crc32(text.encode())
+    deps = {}
+    for (c, n), (role, text) in turns.items():
+        if role == "user":
+            kind = h(text) % 6
+            deps[c, n] = {0: n + 2, 1: n, 2: None}.get(kind, n - 2 if n >= 2 else None)
+    levels, out = {}, []
+    ordered = lambda c, n: [m for m in (deps[c, n],) if (c, m) in deps]
+    for level in range(99):
+        ready = [k for k in deps if k not in levels and all((k[0], m) in levels for m in ordered(*k))]
+        levels |= dict.fromkeys(ready, level)
+    late = {c for c, n in deps if any(m >= n for m in ordered(c, n))}
+    for (c, n), (role, text) in turns.items():
+        if role != "user":
+            continue
+        kind = h(text) // 6 % 8
+        right = {"text": text, "turn": n}
+        value, errors = {0: ({"text": text, "turn": str(n)}, ["$.turn: type"]), 1: ({"turn": n}, ["$.text: missing"]), 3: (right, ["unknown tool"])}.get(kind, (right, []))
+        if kind == 2:
+            value, errors = json.dumps(right, ensure_ascii=False, separators=(",", ":"))[:-1], ["broken arguments"]
+        told = turns.get((c, n + 1))
+        told = {"text": told[1]} if told and told[0] == "assistant" else None
+        cyclic = (c, n) not in levels
+        valid = not errors and not cyclic
+        errors += ["unknown dependency"] * (deps[c, n] is not None and not ordered(c, n)) + ["cyclic dependency"] * cyclic
+        step = levels.get((c, n)) if c in late else n
+        line = json.dumps({"arguments": value, "id": f"{c}-{n}", "name": "search" if kind == 3 else "answer", "result": told}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        out += [(f"{c}-{n}", step, told is not None, valid, "; ".join(errors), line)] * (1 + (h(text) // 48 % 4 == 0))
+    return sorted(out, key=str)
+
+
 def test_conversations_against_brute_force(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    rows = {(r.conv_id, r.turn): r for r in table.collect()}
-    want = {}
-    for (c, n), r in rows.items():
-        if r.role == "user":
-            told = rows.get((c, n + 1))
-            told = {"text": told.text} if told and told.role == "assistant" else None
-            early = n >= 2 and not ((c, n - 2) in rows and rows[c, n - 2].role == "user")
-            want[f"{c}-{n}"] = (n, told is not None, True, "unknown dependency" if early else "", json.dumps({"arguments": {"text": r.text, "turn": n}, "id": f"{c}-{n}", "name": "answer", "result": told}, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
-    got = {r.call_id: (r.step, r.linked, r.valid, r.errors, r.json) for r in t.link(*t.turns_as_calls(table), t.ANSWER).collect()}
-    assert got == want
+    made = [(10**6 + c, n, ("user", "assistant")[n % 2], f"text {c} {n}") for c in range(60) for n in range(10)]
+    rows = [tuple(r) for r in table.collect()] + made
+    got = t.link(*t.turns_as_calls(spark.createDataFrame(rows, table.schema)), t.ANSWER).collect()
+    want = brute(rows)
+    assert sorted(((r.call_id, r.step, r.linked, r.valid, r.errors, r.json) for r in got), key=str) == want
+    # every state comes up
+    errors = {e for w in want for e in w[4].split("; ")}
+    assert errors >= {"", "$.turn: type", "$.text: missing", "unknown tool", "broken arguments", "unknown dependency", "cyclic dependency"}
+    assert any(w[1] is not None and w[1] != int(w[0].split("-")[1]) for w in want) and len(set(want)) < len(want)
 
 
 def test_order_cycles_and_ties(spark):
