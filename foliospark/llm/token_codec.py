@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import keyed
@@ -33,6 +33,8 @@ END = 2
 MAGIC, LANES, LANE_IDS = b"FTB1", 8192, 192
 BLOCK_IDS = 1 << 21
 PART_BYTES = 32 << 20
+#: Parts whose sums are added up at once; parts whose offsets (16 bytes each) go to all tasks, beyond which they are joined by a shuffle.
+GROUP, BROADCAST_PARTS = 4096, 1 << 20
 FILE = "part int, block int, before long, n_ids long, docs binary, payload binary"
 _32, _16, _LOW = np.uint64(1 << 32), np.uint64(16), np.uint64((1 << 32) - 1)
 _ORDER2_BITS = 20
@@ -242,32 +244,38 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     """docs: doc_id, text. Writes the ids of all texts in ascending doc_id order."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-int(size) // PART_BYTES))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # a hash of the text splits an id, or a null, that many rows have
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").drop("_h")
     ordered.mapInArrow(_writer(tokenizer), FILE).write.option("compression", "none").parquet(path)
 
 
-def _reader(start: dict[int, int]):
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, before, docs, payload in zip(*(batch.column(c) for c in ("part", "before", "docs", "payload")), strict=True):
-                names, known, sizes = keyed.unpack(docs.as_py())
-                ids = decode(payload.as_py()).astype("<u4")
-                ends = np.cumsum(sizes, dtype=np.int64)
-                raw = memoryview(ids.tobytes())
-                begin = ends - sizes
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64(), mask=known == 0), "start": begin + (start[part.as_py()] + before.as_py()), "n_tokens": sizes.astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, docs, payload in zip(*(batch.column(c) for c in ("at", "docs", "payload")), strict=True):
+            names, known, sizes = keyed.unpack(docs.as_py())
+            ids = decode(payload.as_py()).astype("<u4")
+            ends = np.cumsum(sizes, dtype=np.int64)
+            raw = memoryview(ids.tobytes())
+            begin = ends - sizes
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names, pa.int64(), mask=known == 0), "start": begin + at.as_py(), "n_tokens": sizes.astype(np.int64), "ids_crc32": pa.array(crc, pa.int64())})
+
 
-    return read
+def offsets(blocks: DataFrame) -> DataFrame:
+    """part, first: the ids in all parts before; sums of GROUP parts are added up first, so that one task sees a row for GROUP parts only."""
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("g", F.expr(f"part div {GROUP}"))
+    groups = parts.groupBy("g").agg(F.sum("n").alias("n"))
+    before = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.select("part", "g", before("g", "part").alias("inner")).join(groups.select("g", before(F.lit(0), "g").alias("outer")), "g").select("part", (F.col("inner") + F.col("outer")).alias("first"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each document of the file: doc_id, start, n_tokens, ids_crc32, from the decoded ids."""
     blocks = spark.read.schema(FILE).parquet(path)
-    start, at = {}, 0
-    for part, n in sorted(blocks.groupBy("part").agg(F.sum("n_ids")).collect()):  # a row a part
-        start[part], at = at, at + n
-    return blocks.select("part", "before", "docs", "payload").mapInArrow(_reader(start), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # only the parts' sums meet their parts' numbers; a block's payload is read where it lies
+    first = F.broadcast(offsets(blocks)) if blocks.select("part").distinct().count() <= BROADCAST_PARTS else offsets(blocks)
+    at = blocks.join(first, "part").select((F.col("first") + F.col("before")).alias("at"), "docs", "payload")
+    return at.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:

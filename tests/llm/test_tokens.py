@@ -53,15 +53,15 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("empty", [False, True])
-def test_file(spark, sf_dir, empty):
-    rows = [] if empty else [*enumerate(ODD, 10**6), (None, "n"), (5, "b c"), (5, "a"), *map(tuple, spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 5").select("doc_id", "text").collect())]
-    want, at = [], 0
-    for i, ids in encoded(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), "byte_bpe_50k.json", 2):
-        want.append((i, at, len(ids), crc(ids)))
-        at += len(ids)
-    got = token_codec.digest(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json"))
-    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+@pytest.mark.parametrize(("empty", "group"), [(False, 4096), (False, 2), (True, 2)])
+def test_file(spark, sf_dir, empty, group, monkeypatch):
+    rows = [] if empty else [*((5, f"hot {k}") for k in range(300)), *((None, f"{k}") for k in range(99)), *enumerate(ODD, 10**6), (None, "n"), (5, "b c"), (5, "a"), *map(tuple, spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id > 5").select("doc_id", "text").collect())]
+    monkeypatch.setattr(token_codec, "GROUP", group)
+    got = sorted(map(tuple, token_codec.digest(frame(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()), key=lambda r: r[1])
+    ids = [(i, len(x), crc(x)) for i, x in encoded(rows, "byte_bpe_50k.json", 2)]
+    assert sorted(((r[0], *r[2:]) for r in got), key=str) == sorted(ids, key=str)
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
 
 
 @pytest.mark.parametrize("empty", [False, True])
