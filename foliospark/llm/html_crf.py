@@ -26,9 +26,15 @@ from pyspark.sql import DataFrame
 
 PAGES, SEED, STEPS, RATE, DECAY = 1200, 7, 280, 0.15, 5e-6
 MAIN = "page_id long, url string, text string, n_chars long"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "select", "button")}
+#: An attribute: a quote opens a value only after "=", and a value without quotes ends at white space or ">". A quote that
+#: nothing closes is part of a name, so its tag ends at the next ">".
+_NAME, _VALUE = r"[^\s/>][^\s/>=]*+", r"(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)"
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE})?)?")
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)"
+_TAG = re.compile(rf"{_COMMENT}|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE}?)?)*+)(?:>|\Z)", re.S)
+#: Elements whose content is skipped; that of the first ones is no markup, so they last to the page's end if nothing closes them.
+_RAW_TEXT = frozenset(("script", "style", "textarea", "title", "iframe"))
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in (*_RAW_TEXT, "noscript", "template", "svg", "select", "button")}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag of the first kind closes open ones of the second, up to the third.
@@ -51,6 +57,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, ...]] = []
     parts: list[str] = []
     linked, in_link, at = 0, 0, 0
+    endless: set[str] = set()  # skipped elements that nothing further on closes
 
     def flush() -> None:
         nonlocal linked
@@ -80,8 +87,13 @@ def blocks(page: str) -> list[Block]:
         if not name:
             continue
         if name in _RAW and not m[1]:
-            end = _RAW[name].search(page, at)
-            at = end.end() if end else len(page)
+            end = None if name in endless else _RAW[name].search(page, at)
+            if end:
+                at = end.end()
+            elif name in _RAW_TEXT:
+                at = len(page)
+            else:
+                endless.add(name)
             continue
         if name == "br":
             parts.append(" ")
@@ -111,7 +123,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in upto:
                     break
-        marks = sorted({f"{k[0].lower()}:{w}" for k, v in _ATTRIBUTE.findall(m[3]) for w in re.split(r"[^a-z]+", v.lower()) if w}) if m[3] else []
+        marks = sorted({f"{k[0].lower()}:{w}" for k, v in _ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role") for w in re.split(r"[^a-z]+", v.lower()) if w}) if m[3] else []
         if not m[3].rstrip().endswith("/"):
             stack.append((name, *marks))
             in_link += name == "a"

@@ -60,3 +60,62 @@ def test_odd_rows(spark):
     got = sorted(h.extract(spark.createDataFrame(rows, schema)).collect(), key=lambda r: r.n_chars)
     assert [r.n_chars for r in got] == [0, 0, 250004, 250004]
     assert h.extract(spark.createDataFrame([], schema)).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p title=don't>Hello world</p><p>second, it's here</p>", ["Hello world", "second, it's here"]),
+        ('<p class="x>Hello world</p>', ["Hello world"]),
+        ("<script>var a = 1</script x><p>Rest of it</p>", ["Rest of it"]),
+        ("<style>p > a</style/><p>a</p><title>t</title\n>b", ["a", "b"]),
+        ("<script>'</scripted>'</script>x", ["x"]),
+        ("<p a='>' b=\">\" c=d'e\"f>x</p>", ["x"]),
+        ("a <!--> b <!---> c <!-- > --!> d </> e </ 3> f <? g > h", ["a b c d e f h"]),
+        ("<button>open <svg>and on<p>more", ["open and on", "more"]),
+        ("1 < 2 & 3 > 2 &amp;lt; &#x41;", ["1 < 2 & 3 > 2 &lt; A"]),
+    ],
+)
+def test_markup(page, texts):
+    assert [b.text for b in h.blocks(page)] == texts
+
+
+def test_attributes():
+    (b,) = h.blocks("<div CLASS = 'a b' id=c-d role=\"main\" data-class=no title='class=no'>x")
+    assert b.path == (("div", "c:a", "c:b", "i:c", "i:d", "r:main"),)
+
+
+@pytest.mark.parametrize("piece", ['<p class="x>', "<p title='", "<svg>", "<a b=", "<p a a ", "<!--", "</script", "<", "<p a='\"", "&#"])
+def test_broken_markup_takes_linear_time(piece):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        begin = time.perf_counter()
+        h.blocks(piece * n)
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 9 * took[0] + 0.5
+
+
+#: Pages by hand, not by the generator; lines of the article begin with a plus, of all else with a minus.
+BY_HAND = [
+    '<body><div id=top><a href=/>-The Daily Post</a><a href=/n>-News</a></div><div class="story-body"><h1>+Town opens its new library</h1><p>+The town opened a library on Monday, after four years of work and two of delays.</p><div class="ad-slot"><p>-Buy shoes today</p></div><p>+Its three floors hold some forty thousand books, and a hall for concerts.</p></div><div class="related-links"><h3>-More news</h3><ul><li><a href=/1>-Bridge closed</a><li><a href=/2>-School prize</a></ul></div><div id=footer>-Copyright The Daily Post</div>',
+    '<body><nav><ul><li><a href=/a>-Docs</a></li><li><a href=/b>-Blog</a></li></ul></nav><main><h1>+Installing the tool</h1><p>+First get the archive and unpack it in a folder of your own.</p><pre>+tar xf tool.tar</pre><h2>+Next steps</h2><ol><li>+Read the guide about the settings.</li><li>+Write a first file and run it.</li></ol></main><aside class=toc><a href=#a>-Installing</a> <a href=#b>-Next</a></aside><footer><p>-Terms</p></footer>',
+    '<body><div class="cookie-banner"><p>-We use cookies on this site, to make it better.</p><button>-OK</button></div><header><a href=/>-Garden blog</a></header><article class="post"><h1>+Roses in winter</h1><p>+Cover the roots with leaves before the first frost comes, and leave them alone.</p><blockquote>+A rose forgives much, but not wet feet.</blockquote><p>+In March, cut back to three buds.</p></article><section id="comments"><h2>-2 comments</h2><div class="comment"><p>-Thanks, this helped me a lot with my old climbing roses.</p></div><div class="comment"><p>-What about potted ones?</p></div></section>',
+    '<table><tr><td class=menu><a href=/1>-Start</a><br><a href=/2>-Kontakt</a></td><td class=content><h2>+Der alte Bahnhof</h2><p>+Im Jahr 1872 fuhr hier der erste Zug, und viele Leute kamen, um ihn zu sehen.<p>+Heute ist im Haus ein Café.</td></tr></table><div class=footer>-Impressum</div>',
+]
+
+
+def test_pages_by_hand():
+    """Not one page must be perfect, but nearly all blocks must be right."""
+    chain, right, total = h.model(), 0, 0
+    for page in BY_HAND:
+        row = h.blocks(page)
+        want = [b.text.startswith("+") for b in row]
+        for b in row:
+            b.text = re.sub(r"(^| )[+-](?=\S)", r"\1", b.text)
+        got = chain.viterbi(h.features(row))
+        right += sum(a == b for a, b in zip(got, want, strict=True))
+        total += len(row)
+        print([(b.text, a) for a, b, c in zip(got, row, want, strict=True) if a != c])
+    assert right / total >= 0.9
