@@ -38,8 +38,8 @@ ORDER = 3
 #: The priors of pairs and triples, chosen on held-out texts.
 MU = (0.0, 1000.0, 8.0)
 FOLDS, HELD_OUT = 7, 2
-SHARD_TOKENS = 1_500_000
-BUCKET_BYTES = 8 << 20
+SHARD_TOKENS = 700_000
+BUCKET_BYTES = 4 << 20
 #: Tokens that one lane of the walk scores.
 LANE = 256
 START, END = np.uint64(0x5BD1E995A5A5A5A5), np.uint64(0x1B873593C3C3C3C3)
