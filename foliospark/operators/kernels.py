@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import cmp_to_key
@@ -357,6 +358,20 @@ def parents(kinds: list[str]) -> list[int | None]:
     return out
 
 
+def flattened(kinds: list[str]) -> list[int]:
+    """TRE-10: all nodes, each before its children, by walking down the tree; their number is the node count."""
+    below: dict[int | None, list[int]] = {}
+    for i, p in enumerate(parents(kinds)):
+        below.setdefault(p, []).append(i)
+    out: list[int] = []
+    todo = below.get(None, [])[::-1]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo += below.get(node, [])[::-1]
+    return out
+
+
 def hierarchy(levels: list[int]) -> list[int | None]:
     """STR-04: each line's nearest earlier line of a lower level."""
     stack: list[int] = []
@@ -571,28 +586,32 @@ def _table_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(tables, "table_id long, value string", table_text, ["table_id"], ["rows", "plain"], "value")
 
 
-def _pages(f: Callable[[np.ndarray], Any], kind: str) -> Callable[[SparkSession, str], DataFrame]:
-    """A pixel kernel over a drawn page a document."""
+def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page, with its lines in order."""
+    each = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
+    return _view(spark, sf_dir, "lines").groupBy("doc_id", "page").agg(each.alias("lines"))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.sql(compiled(SPARK, "SELECT doc_id FROM documents", (), sf_dir))
-        return _mapped(docs, f"doc_id long, value {kind}", lambda i: f(images.drawn(i % 5, (160 + i % 3 * 10, 200))), ["doc_id"], ["doc_id"], "value")
 
-    return run
+def _pages(f: Callable[[np.ndarray], Any], kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A pixel kernel over each page, its lines drawn as ink."""
+    return lambda spark, sf_dir: _mapped(_page_lines(spark, sf_dir), f"doc_id long, page long, value {kind}", lambda x: f(images.page(x)), ["doc_id", "page"], ["lines"], "value")
 
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JQ-01: the queue's table as a drained stream."""
     events = _view(spark, sf_dir, "queue").select("id", "seq", "op", "outcome", F.coalesce(F.when(F.trim("url") != "", F.trim("url")), F.trim("file_url")).alias("url"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
-    root = f"{root.rstrip('/')}/queue-{uuid.uuid4().hex}"
+    root = _folder(spark)
     events.write.parquet(f"{root}/in")
     queue.drain(spark, f"{root}/in", f"{root}/out", f"{root}/check", 1000)
     return spark.read.schema(queue.ACTIONS + ", batch int").parquet(f"{root}/out").select("id", "seq", "action", "state")
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/folio-{uuid.uuid4().hex}"
 
 
@@ -633,23 +652,21 @@ class _Ruler:
 
 
 def _recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.sql(compiled(SPARK, "SELECT doc_id FROM documents", (), sf_dir))
-
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "page": pa.array([0] * len(ids), pa.int32()), "image": [images.drawn(i % 5, (160, 200)).tobytes() for i in ids], "width": pa.array([200] * len(ids), pa.int32()), "height": pa.array([160] * len(ids), pa.int32())})
+            drawn = [images.page(x) for x in b.column("lines").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "page": b.column("page").cast(pa.int32()), "image": [p.tobytes() for p in drawn], "width": pa.array([p.shape[1] for p in drawn], pa.int32()), "height": pa.array([p.shape[0] for p in drawn], pa.int32())})
 
-    pages = docs.mapInArrow(draw, "doc_id long, page int, image binary, width int, height int")
+    pages = _page_lines(spark, sf_dir).mapInArrow(draw, "doc_id long, page int, image binary, width int, height int")
     return ocr.blocks(pages, [_Ruler], bool)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "IMG-01": _pages(lambda p: int(images.gray(np.repeat(p[..., None], 3, 2)).sum()), "long"),
+        "IMG-01": _pages(lambda p: images.gray(images.tinted(p)).tobytes(), "binary"),
         "IMG-02": _pages(images.otsu, "long"),
-        "IMG-04": _pages(lambda p: int(images.upscaled(p, 2).sum()), "long"),
-        "IMG-05": _pages(lambda p: int(images.prepared(p).sum()), "long"),
+        "IMG-04": _pages(lambda p: images.upscaled(p, 2).tobytes(), "binary"),
+        "IMG-05": _pages(lambda p: images.prepared(p).tobytes(), "binary"),
         "IMG-10": _pages(images.upright, "string"),
         "MET-01": lambda spark, sf_dir: _cer(spark, sf_dir).select("doc_id", "engine", F.round("cer", 6).alias("cer")),
         "MET-03": _edits,
@@ -660,10 +677,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "SRC-04": _payloads,
         "SRC-16": _pages(lambda p: 3.0 if images.regions(p) else 2.0, "double"),
         "UDF-01": _recognised,
-        "IMG-03": _pages(lambda p: int(images.median(p).sum()), "long"),
+        "IMG-03": _pages(lambda p: images.median(p).tobytes(), "binary"),
+        "IMG-08": _pages(lambda p: images.deskewed(p)[1], "string"),
         "IMG-06": _pages(images.projection_skew, "double"),
         "IMG-07": _pages(images.hough_skew, "double"),
-        "IMG-09": _pages(lambda p: int(images.rotated(images.mirrored(p), 2).sum()), "long"),
+        "IMG-09": _pages(lambda p: images.rotated(images.mirrored(p), 2).tobytes(), "binary"),
         "IMG-11": _pages(lambda p: images.lines(p, 1), "array<long>"),
         "IMG-12": _pages(lambda p: [list(map(int, r)) for r in images.regions(p)], "array<array<long>>"),
         "IMG-13": _pages(lambda p: [list(map(int, r)) for r in images.regions(p, True)], "array<array<long>>"),
@@ -691,7 +709,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "TBL-09": _by_page(lambda b: ascii_grid([[x["text"] for x in r] for r in grid_rows(b)], 5), "string"),
         "TBL-13": _verdicts,
         "TRE-07": _tree(parents, "array<long>", "kind"),
-        "TRE-10": _tree(len, "long", "kind"),
+        "TRE-10": _tree(flattened, "array<long>", "kind"),
         "STR-04": _tree(lambda kinds: hierarchy([_LEVEL.get(k, 9) for k in kinds]), "array<long>", "kind"),
         "STR-05": _structure,
         "OUT-04": _tree(lambda kinds, numbers, texts: nested(next((t for k, t in zip(kinds, texts, strict=True) if k == "title"), ""), kinds, numbers, texts), "string", "kind", "number", "t"),

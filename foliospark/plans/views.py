@@ -50,7 +50,7 @@ def _activities(d: Dialect) -> str:
   'https://host' || CAST(user_id % 7 AS {cast}) || '.example.com/f' || CAST(user_id AS {cast}) || '.pdf' AS source_url, {d.sha(f'CAST(user_id AS {cast})')} AS file_hash,
   CASE event_type WHEN 'click' THEN 'BERHASIL' WHEN 'view' THEN 'BERHASIL' WHEN 'error' THEN 'GAGAL' WHEN 'signup' THEN 'RUSAK' ELSE 'KOSONG' END AS status,
   CASE WHEN event_id % 4 = 0 THEN 'kode ' || CAST(event_id % 10 AS {cast}) END AS error_message, CAST(event_id % 40 AS BIGINT) AS page_count, CAST(event_id * 37 % 100000 AS BIGINT) AS file_size_bytes,
-  CAST(value AS DECIMAL(10,1)) AS duration_seconds, CAST(event_id % 2 AS BIGINT) AS text_uploaded, CASE WHEN event_id % 5 <> 0 THEN event_type || ' text' END AS output_text, ts AS created_at FROM events"""
+  CAST(value AS DECIMAL(10,1)) AS duration_seconds, CAST(event_id % 2 AS BIGINT) AS text_uploaded, CASE WHEN event_id % 5 <> 0 THEN event_type || ' text' END AS output_text, event_id % 10 = 3 AS delete_asked, ts AS created_at FROM events"""
 
 
 def _html_tables(d: Dialect) -> str:
@@ -68,7 +68,42 @@ def _queue(d: Dialect) -> str:
     return f"SELECT CAST(user_id AS BIGINT) AS id, CAST(event_id AS BIGINT) AS seq, CASE event_type WHEN 'signup' THEN 'reset' WHEN 'purchase' THEN 'save' ELSE 'new' END AS op, CASE event_type WHEN 'error' THEN 'RUSAK' ELSE 'BERHASIL' END AS outcome, CASE WHEN event_id % 4 = 0 THEN '  ' WHEN event_id % 4 = 1 THEN '/dok/' || CAST(event_id AS {cast}) || '.pdf' END AS url, CASE WHEN event_id % 3 = 0 THEN ' https://h.example.com/a b@' || CAST(event_id AS {cast}) || '.pdf ' END AS file_url FROM events"
 
 
-VIEWS = {"lines": ((), _lines), "noisy": (("lines",), _noisy), "rough": ((), _rough), "words": (("noisy",), _words), "blocks": (("words",), _blocks), "activities": ((), _activities), "html_tables": ((), _html_tables), "hyp_ref": ((), _hyp_ref), "queue": ((), _queue)}
+def _pdfs(d: Dialect) -> str:
+    """Documents as files: the text layer, the raw content with its operators, pages, and what went wrong. A quarter each are digital, scanned, both at once, and digital without page marks."""
+    cast = "STRING" if d.spark else "VARCHAR"
+    layer = "replace(text, ' the ', ' dan ')"
+    shown = "'(' || replace(text, ' ', ') TJ (') || ')'"
+    images = "repeat('/XObject /Subtype /Image ', CAST(1 + doc_id % 30 AS INT))"
+    return f"""SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN '' ELSE {layer} END AS layer, '%PDF-1.' || CAST(doc_id % 8 AS {cast}) || ' ' || CASE WHEN doc_id % 4 = 3 THEN CASE WHEN doc_id % 8 = 3 THEN '/Pages [' ELSE '' END ELSE repeat('/Type /Page ', CAST(1 + doc_id % 9 AS INT)) END
+  || CASE doc_id % 4 WHEN 0 THEN {shown} WHEN 1 THEN {images} WHEN 2 THEN {images} || substr({shown}, 1, CAST(doc_id % 150 AS INT)) ELSE {shown} END AS body,
+  CAST(CASE WHEN doc_id % 4 = 2 THEN 1 + doc_id * 7 % 400 ELSE 1 + doc_id % 9 END AS BIGINT) AS page_count, doc_id % 10 = 0 AS has_blocks, doc_id % 11 = 3 AS corrupt, doc_id % 13 = 5 AS unreachable, CASE WHEN doc_id % 17 = 4 THEN 0 ELSE length(text) END AS n_bytes FROM documents"""
+
+
+def _attempts(d: Dialect) -> str:
+    """Renderings of pages: up to five for each, with whether the page holds a table."""
+    source = "(SELECT doc_id, page, (doc_id * 3 + page) % 2 = 0 AS has_table, (doc_id + page) % 5 AS last FROM (SELECT DISTINCT doc_id, page FROM lines) _p) _a"
+    tries = "sequence(0, CAST(last AS INT))" if d.spark else "range(0, CAST(last AS BIGINT) + 1)"
+    return f"SELECT doc_id, page, has_table, CAST(retry AS BIGINT) AS retry FROM ({d.exploded(source, 'doc_id, page, has_table', tries, 'retry', 'place')}) _t"
+
+
+def _figures(d: Dialect) -> str:
+    """Lines as blocks, with rows of figures between them."""
+    cast = lambda x: f"CAST({x} AS {'STRING' if d.spark else 'VARCHAR'})"
+    return f"SELECT doc_id, page, line_no, CASE WHEN (doc_id * 5 + line_no) % 41 = 7 THEN {cast('line_no')} || ' ' || {cast('page + 1')} || ' 2020 ' || {cast('length(text)')} ELSE text END AS text FROM noisy"
+
+
+def _files(d: Dialect) -> str:
+    """What the output folder holds."""
+    cast = "STRING" if d.spark else "VARCHAR"
+    return f"SELECT CAST(event_id AS BIGINT) AS file_id, 'file_' || CAST(user_id + CASE WHEN event_id % 3 = 0 THEN 1000000 + event_id ELSE 0 END AS {cast}) AS base, CASE event_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' WHEN 2 THEN '.md' ELSE '.pdf' END AS extension, CAST(event_id * 17 % 60000 AS BIGINT) AS age_minutes FROM events"
+
+
+def _settings(d: Dialect) -> str:
+    """Configurations of the queue's service, some incomplete."""
+    return "SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey % 4 <> 1 AS flag, CASE WHEN n_nationkey % 3 <> 2 THEN 'https://h.example.com' END AS base_url, CASE WHEN n_nationkey % 5 <> 3 THEN n_name END AS user_name, CASE WHEN n_nationkey % 7 <> 6 THEN 'secret' ELSE '' END AS password FROM nation"
+
+
+VIEWS = {"lines": ((), _lines), "noisy": (("lines",), _noisy), "rough": ((), _rough), "words": (("noisy",), _words), "blocks": (("words",), _blocks), "activities": ((), _activities), "html_tables": ((), _html_tables), "hyp_ref": ((), _hyp_ref), "queue": ((), _queue), "pdfs": ((), _pdfs), "attempts": (("lines",), _attempts), "figures": (("noisy",), _figures), "files": ((), _files), "settings": ((), _settings)}
 
 
 def compiled(d: Dialect, select: str, views: tuple[str, ...], sf_dir: str = "") -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.functions import legal, text
 from foliospark.operators import kernels
-from foliospark.plans.dialect import DUCK, SPARK, Dialect, S
+from foliospark.plans.dialect import DUCK, EDGE_A, EDGE_B, SPARK, Dialect, S
 from foliospark.plans.views import compiled
 
 Select = Callable[[Dialect], str]
@@ -241,7 +241,8 @@ def _(d: Dialect) -> str:
 
 @declared("LEG-01", "noisy")
 def _(d: Dialect) -> str:
-    return f"SELECT doc_id, {legal.document_type(d, 'text')} AS types FROM noisy WHERE line_no IN (0, 6)"
+    """Each line as the start of a collected text."""
+    return f"SELECT doc_id, line_no, {legal.document_type(d, 'text')} AS types FROM noisy"
 
 
 @declared("LEG-03", "noisy")
@@ -317,10 +318,22 @@ _simple("QM-01", "words", "doc_id, line_no, tok_no, word", garbage=lambda d: tex
 _simple("QM-09", "documents_", "doc_id", ratio=lambda d: text.common_ratio(d, "replace(text, ' the ', ' dan ')"))
 _simple("QM-10", "documents_", "doc_id", trustworthy=lambda d: text.trustworthy(d, "replace(text, ' the ', ' dan ')"))
 _simple("QM-11", "noisy", "doc_id, line_no", mirror=lambda d: f"({d.match('text', text.CJK)} OR {d.match('text', text.SYMBOL)} OR coalesce({text.common_ratio(d, 'text')} = 0, false))")
-_simple("QM-08", "documents_", "doc_id", dpi=lambda d: "CASE least(doc_id % 5, 2) WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 2.5 END + CAST(0 AS DOUBLE)", steps=lambda d: "CASE least(doc_id % 5, 2) WHEN 0 THEN 'enhanced' WHEN 1 THEN 'light' ELSE 'aggressive' END")
-_simple("SRC-14", "documents_", "doc_id", scale=lambda d: "2.0 * CASE WHEN doc_id % 2 = 0 THEN CASE least(doc_id % 7, 2) WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 2.5 END ELSE CASE least(doc_id % 7, 2) WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 2.0 END END + CAST(0 AS DOUBLE)")
+_simple("QM-08", "attempts", "doc_id, page, retry", dpi=lambda d: "CASE least(retry, 2) WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 2.5 END + CAST(0 AS DOUBLE)", steps=lambda d: "CASE least(retry, 2) WHEN 0 THEN 'enhanced' WHEN 1 THEN 'light' ELSE 'aggressive' END")
+_SCALE = "2.0 * CASE WHEN has_table THEN CASE least(retry, 2) WHEN 0 THEN 1.5 WHEN 1 THEN 2.0 ELSE 2.5 END ELSE CASE least(retry, 2) WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 ELSE 2.0 END END + CAST(0 AS DOUBLE)"
+DECLARED["SRC-14"] = (("attempts",), lambda d: f"SELECT doc_id, page, retry, scale, row_number() OVER (PARTITION BY doc_id, page, scale ORDER BY retry) > 1 AS cached FROM (SELECT doc_id, page, retry, {_SCALE} AS scale FROM attempts) s")
 _simple("SRC-17", "documents_", "doc_id", file_hash=lambda d: d.sha("text"))
-_simple("QM-15", "documents_", "doc_id", chars=lambda d: "CAST(length(text) AS BIGINT)", cjk=lambda d: d.count("text", text.CJK), symbols=lambda d: d.count("text", text.SYMBOL), glued=lambda d: d.count("text", "[A-Za-z]{3,}[0-9]{2,4}"), dots=lambda d: d.count("text", r"[A-Za-z]{2,}\.[A-Za-z]{2,}"))
+
+
+def _verified(d: Dialect) -> str:
+    """QM-15. Engines differ in word edges, so edges are written twice and each match takes its own."""
+    edges = d.sub("text", "[^A-Za-z0-9_]", "  ")
+    dotted = d.sub(d.sub("text", "[^A-Za-z0-9_.]", "  "), "[.]", "..")
+    apart = d.sub("text", "[^A-Za-z0-9_ ]", " - ")
+    counts = {"chars": "CAST(length(text) AS BIGINT)", "cjk": d.count("text", text.CJK), "symbols": d.count("text", text.SYMBOL), "glued": d.count(edges, EDGE_A + "[A-Za-z]{3,}[0-9]{2,4}" + EDGE_B), "dots": d.count(dotted, EDGE_A + "[A-Za-z]{2,}[.][.][A-Za-z]{2,}" + EDGE_B), "mirror_runs": d.count(apart, EDGE_A + "[A-Za-z]( [A-Za-z0-9]{1,2})+" + EDGE_B)}
+    return f"SELECT *, cjk + symbols + mirror_runs AS anomalies FROM (SELECT doc_id, line_no, {', '.join(f'{e} AS {c}' for c, e in counts.items())} FROM noisy) v"
+
+
+DECLARED["QM-15"] = (("noisy",), _verified)
 
 
 def _pages(d: Dialect) -> str:
@@ -418,11 +431,25 @@ _simple("SRC-05", "queue", "seq", url=lambda d: "CASE WHEN substr(coalesce(nulli
 _simple("SRC-02", "queue", "seq", url=lambda d: d.sub("trim(file_url)", r"\s", "%20"))
 _simple("JQ-08", "queue", "seq", same_host=lambda d: f"coalesce({d.extract('trim(file_url)', '^https?://([^/]+)', 1)} = 'h.example.com', false)")
 _simple("JQ-09", "queue", "seq", file_name=lambda d: f"substr({d.subs(d.extract('trim(file_url)', '([^/]*)$', 1), (r'(?i)\.pdf$', ''), ('[^a-zA-Z0-9 _-]', '_'))}, 1, 200)")
-_simple("SRC-09", "documents_", "doc_id", score=lambda d: f"greatest({d.count('text', '/XObject')}, {d.count('text', '/Subtype /Image')}) - ({d.count('text', r'\([^)]{4,}\)')} + 5 * {d.count('text', 'TJ')})")
-_simple("SRC-11", "documents_", "doc_id", digital=lambda d: f"length(text) >= 100 AND ({d.count('text', r'\([^)]{3,}\)')} + 5 * {d.count('text', 'TJ')} > 20)")
-_simple("SRC-10", "documents_", "doc_id", pages=lambda d: f"greatest({d.count('text', '/Type /Page[^s]')}, 1)")
-_simple("SRC-08", "documents_", "doc_id", kind=lambda d: f"CASE WHEN length({d.trim('text')}) >= 200 AND length({d.trim('text')}) >= 15 * (1 + doc_id % 40) AND {text.trustworthy(d, 'text')} THEN 'TEXT' ELSE 'SCAN' END")
-DECLARED["SRC-12"] = (("words",), lambda d: f"SELECT doc_id, count(*) AS words, count(DISTINCT page) AS pages, max(CASE WHEN {d.match('word', '^[0-9]+$')} THEN 1 ELSE 0 END) AS numeric FROM words GROUP BY doc_id")
+_IMAGE_SCORE = lambda d: f"greatest({d.count('body', '/XObject')}, {d.count('body', '/Subtype /Image')}) - ({d.count('body', r'\([^)]{4,}\)')} + 5 * {d.count('body', 'TJ')})"
+_simple("SRC-09", "pdfs", "doc_id", score=_IMAGE_SCORE)
+_simple("SRC-10", "pdfs", "doc_id", version=lambda d: d.extract("body", "%PDF-([0-9]+[.][0-9]+)", 1), pages=lambda d: f"CASE WHEN {d.count('body', '/Type */Page[^s]')} > 0 THEN {d.count('body', '/Type */Page[^s]')} ELSE greatest({d.count('body', r'/Pages \[')}, 1) END")
+
+
+def _digital(d: Dialect) -> str:
+    score = f"({d.count('body', r'\([^)]{3,}\)')} + 5 * {d.count('body', 'TJ')})"
+    pages = d.count("body", "/Type */Page[^s]")
+    return f"CASE WHEN has_blocks THEN true WHEN length(body) < 100 THEN false WHEN {pages} > 0 AND {score} > 3 * {pages} THEN true ELSE {score} > 20 END"
+
+
+def _pdf_kind(d: Dialect) -> str:
+    size, good = f"length({d.trim('layer')})", text.trustworthy(d, "layer")
+    return f"CASE WHEN corrupt THEN 'SCAN' WHEN {size} >= 200 AND {size} >= 15 * page_count AND {good} THEN 'TEXT' WHEN {_IMAGE_SCORE(d)} > 10 THEN 'SCAN' WHEN {size} >= 200 AND {good} THEN 'TEXT' ELSE 'SCAN' END"
+
+
+_simple("SRC-11", "pdfs", "doc_id", digital=_digital)
+_simple("SRC-08", "pdfs", "doc_id", kind=_pdf_kind, pages=lambda d: "CASE WHEN corrupt THEN 0 ELSE page_count END")
+DECLARED["SRC-12"] = (("figures",), lambda d: f"SELECT doc_id, page, sum({d.size('ws')}) AS words, count(*) AS blocks, max(CASE WHEN {d.size('ws')} > 3 AND {d.size(d.keep('ws', 'u', d.match('u', '^[0-9]+$')))} = {d.size('ws')} THEN 1 ELSE 0 END) AS has_tables FROM (SELECT doc_id, page, {d.words('text')} AS ws FROM figures) w GROUP BY doc_id, page")
 DECLARED["SRC-07"] = ((), lambda d: d.exploded("(SELECT doc_id, text FROM documents) _d", "doc_id", d.split("replace(text, '. ', chr(12))", r"\f"), "part", "page").replace("SELECT doc_id, page,", "SELECT doc_id, CAST(page AS BIGINT) AS page,", 1))
 DECLARED["SRC-15"] = (("hyp_ref",), lambda d: "SELECT a.doc_id, a.hyp, b.ref FROM (SELECT doc_id, hyp FROM hyp_ref WHERE engine = 'paddle') a JOIN (SELECT doc_id, ref FROM hyp_ref WHERE engine = 'surya') b ON a.doc_id = b.doc_id")
 
@@ -451,13 +478,13 @@ _LEDGER = {
     "SRC-06": lambda d: "SELECT id, file_name, status FROM activities WHERE output_text IS NOT NULL",
     "SNK-04": lambda d: f"SELECT count(*) AS total, sum(CASE WHEN {_OK} THEN 1 ELSE 0 END) AS berhasil, sum(CASE WHEN {_OK} THEN 0 ELSE 1 END) AS gagal FROM activities",
     "SNK-05": lambda d: f"SELECT id, concat_ws(';', CAST(id AS {'STRING' if d.spark else 'VARCHAR'}), file_name, status, replace(CAST(duration_seconds AS {'STRING' if d.spark else 'VARCHAR'}), '.', ','), {'date_format(created_at, ' + chr(39) + 'dd-MM-yyyy' + chr(39) + ')' if d.spark else 'strftime(created_at, ' + chr(39) + '%d-%m-%Y' + chr(39) + ')'}) AS line FROM activities",
-    "SNK-09": lambda d: "SELECT q.id, coalesce(CASE WHEN q.id % 3 = 0 THEN 'file ' || q.file_name END, a.output_text) AS text FROM activities q LEFT JOIN (SELECT file_name, max(output_text) AS output_text FROM activities GROUP BY file_name) a ON q.file_name = a.file_name",
-    "SNK-10": lambda d: "SELECT f.file_name, f.age_days > 30 OR l.file_name IS NOT NULL AS removed FROM (SELECT file_name, min(id) % 60 AS age_days FROM activities GROUP BY file_name) f LEFT JOIN (SELECT DISTINCT file_name FROM activities) l ON f.file_name = l.file_name",
+    "SNK-09": lambda d: "SELECT name, text, CASE WHEN text IS NULL THEN 404 ELSE 200 END AS status FROM (SELECT q.name, coalesce('file ' || f.base, a.output_text) AS text FROM (SELECT base AS name FROM files UNION SELECT file_name FROM activities) q LEFT JOIN (SELECT DISTINCT base FROM files WHERE extension = '.txt') f ON q.name = f.base LEFT JOIN (SELECT file_name, max(output_text) AS output_text FROM activities GROUP BY file_name) a ON q.name = a.file_name) d",
+    "SNK-10": lambda d: f"SELECT f.file_id, f.base || f.extension AS name, {d.match('f.extension', '(?i)^[.](txt|md)$')} AND f.age_minutes >= 10 AND (l.file_name IS NOT NULL OR f.age_minutes > 43200) AS removed FROM files f LEFT JOIN (SELECT DISTINCT file_name FROM activities) l ON f.base = l.file_name",
     "SNK-02": lambda d: "SELECT id, file_name, coalesce(page_count, 0) AS page_count, nullif(error_message, '') AS error_message, 1 AS text_uploaded FROM activities WHERE output_text IS NOT NULL",
-    "SNK-03": lambda d: "SELECT a.id, a.status FROM activities a WHERE NOT EXISTS (SELECT 1 FROM (SELECT id FROM activities WHERE id % 10 = 3) d WHERE d.id = a.id)",
+    "SNK-03": lambda d: "SELECT id, status, NOT delete_asked AS kept, CASE WHEN delete_asked THEN file_name || '.txt' END AS removed_file, CASE WHEN delete_asked AND source_type = 'url' THEN source_url END AS queued_again FROM activities",
 }
 for _name, _f in _LEDGER.items():
-    DECLARED[_name] = (("activities",), _f)
+    DECLARED[_name] = (("activities", "files") if _name in ("SNK-09", "SNK-10") else ("activities",), _f)
 
 
 @declared("JQ-04", "queue")
@@ -486,8 +513,8 @@ DECLARED["TBL-15"] = (("html_tables",), lambda d: f"SELECT table_id, sum({d.size
 DECLARED["REV-04"] = (("html_tables",), lambda d: f"SELECT table_id FROM ({_grid(d)}) g GROUP BY table_id HAVING sum(CASE WHEN NOT header AND {d.size(d.keep('cells', 'c', 'c <> ' + chr(39) * 2))} >= 2 THEN 1 ELSE 0 END) < 2")
 DECLARED["TRE-04"] = (("noisy",), lambda d: f"SELECT doc_id, line_no FROM noisy WHERE {d.match('text', legal.TABLE_ROW)} OR {d.match('text', legal.TABLE_SEPARATOR)} OR (length(text) > 20 AND {d.match('text', '[|+]')})")
 DECLARED["TRE-11"] = (("noisy",), lambda d: f"SELECT doc_id, line_no, kind, number, level, page, t AS title, {d.sub(d.trim(legal.body(d, 'kind', 't')), f'{S}+', ' ')} AS text FROM ({_nodes(d)}) n")
-DECLARED["SRC-18"] = ((), lambda d: f"SELECT doc_id, CASE WHEN n_chars = 0 THEN 'KOSONG' WHEN {d.trim('text')} = '' THEN 'KOSONG' WHEN doc_id % 11 = 3 THEN 'RUSAK' WHEN doc_id % 13 = 5 THEN 'GAGAL' ELSE 'BERHASIL' END AS status FROM documents")
-DECLARED["ACT-11"] = (("activities",), lambda d: "SELECT id, coalesce(nullif(file_name, ''), 'doc') AS file_name, CASE WHEN id % 7 = 2 THEN 1 ELSE text_uploaded END AS text_uploaded FROM activities WHERE id % 10 <> 3")
+DECLARED["SRC-18"] = (("pdfs",), lambda d: f"SELECT doc_id, CASE WHEN unreachable THEN 'GAGAL' WHEN n_bytes = 0 THEN 'KOSONG' WHEN corrupt THEN 'RUSAK' WHEN {d.trim('layer')} = '' THEN 'KOSONG' ELSE 'BERHASIL' END AS status FROM pdfs")
+DECLARED["ACT-11"] = (("activities",), lambda d: "SELECT id, coalesce(nullif(file_name, ''), 'doc') AS file_name, CASE WHEN output_text IS NOT NULL THEN 1 ELSE text_uploaded END AS text_uploaded FROM activities WHERE NOT delete_asked")
 DECLARED["ACT-13"] = (("activities",), lambda d: "SELECT id, file_name, source_type IN ('url', 'upload') AS source_ok, status IN ('BERHASIL', 'GAGAL', 'RUSAK', 'KOSONG') AS status_ok FROM activities")
 DECLARED["SNK-12"] = (("blocks",), lambda d: "SELECT doc_id, ord, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM blocks) b WHERE n <= 500")
 DECLARED["JQ-05"] = (("queue",), lambda d: "SELECT id, max(seq) AS last_reset FROM queue WHERE op = 'reset' GROUP BY id")
@@ -519,7 +546,7 @@ def _(d: Dialect) -> str:
 
 DECLARED["SNK-07"] = (("queue",), lambda d: f"SELECT seq, id, CASE action WHEN 'reset' THEN 0 ELSE 1 END AS converted FROM ({DECLARED['JQ-04'][1](d)}) a WHERE action IN ('reset', 'ACKED', 'save')")
 DECLARED["SNK-08"] = (("queue",), lambda d: f"SELECT seq, CASE action WHEN 'SKIPPED' THEN 'skip' WHEN 'ACKED' THEN 'error' ELSE 'result' END AS event, id FROM ({DECLARED['JQ-04'][1](d)}) a WHERE action IN ('SKIPPED', 'ACKED', 'PENDING')")
-DECLARED["JQ-11"] = ((), lambda d: "SELECT count(*) > 0 AS configured, 3 AS sample FROM events")
+DECLARED["JQ-11"] = (("settings", "queue"), lambda d: f"SELECT s.id, s.flag AND s.base_url IS NOT NULL AS enabled, coalesce(s.base_url <> '' AND s.user_name <> '' AND s.password <> '', false) AS configured, CASE WHEN coalesce(s.base_url <> '' AND s.user_name <> '' AND s.password <> '', false) THEN q.ids ELSE 'not configured' END AS sample FROM settings s CROSS JOIN (SELECT {d.listed('CAST(seq AS STRING)' if d.spark else 'CAST(seq AS VARCHAR)', 'seq', ',')} AS ids FROM (SELECT seq FROM queue ORDER BY seq LIMIT 3) t) q")
 
 
 def _spark(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -104,3 +104,59 @@ def test_images():
     assert images.otsu(page) >= 0 and (images.mirrored(page) == page).all() and (images.rotated(page, 0) == page).all()
     page[10, 10] = 0
     assert images.median(page)[10, 10] == 255 and images.gray(np.full((2, 2, 3), 255))[0, 0] == 255
+
+
+@pytest.fixture(scope="module")
+def drawn_pages():
+    r = np.random.default_rng(2)
+    texts = [["".join(r.choice(list("abc xyzé. "), int(n))) for n in r.integers(0, 200, 9)] for _ in range(12)]
+    return [images.page(t) for t in [*texts, [], [""]]]
+
+
+def test_pages_show_every_character():
+    a, b = images.page(["x" * 300 + "a"]), images.page(["x" * 300 + "b"])
+    assert a.shape == b.shape and (a != b).any()
+    assert images.page([]).min() == 255 or images.page([]).shape == (80, 160)
+
+
+def test_kernels_against_brute_force(drawn_pages):
+    for p in drawn_pages:
+        h, w = p.shape
+        t = images.tinted(p)
+        assert images.gray(t)[3, 5] == round(0.299 * t[3, 5, 0] + 0.587 * t[3, 5, 1] + 0.114 * t[3, 5, 2])
+        best, at = -1.0, 128
+        flat = p.ravel().astype(float)
+        for k in range(256):
+            low, high = flat[flat <= k], flat[flat > k]
+            if len(low) and len(high):
+                v = len(low) * len(high) * (low.mean() - high.mean()) ** 2
+                best, at = (v, k) if v > best * (1 + 1e-12) or abs(v - best) <= 1e-9 * max(v, 1) else (best, at)
+        assert images.otsu(p) == at
+        m, up = images.median(p), images.upscaled(p, 2)
+        for y, x in np.random.default_rng(1).integers(1, [h - 1, w - 1], (40, 2)):
+            assert m[y, x] == sorted(p[y - 1 : y + 2, x - 1 : x + 2].ravel())[4]
+            near = lambda v, n: (int(np.floor(max((v + 0.5) / 2 - 0.5, 0))), min(int(np.floor(max((v + 0.5) / 2 - 0.5, 0))) + 1, n - 1), max((v + 0.5) / 2 - 0.5, 0) % 1)
+            (a, b, f), (c, d, g) = near(y, h), near(x, w)
+            want = (p[a, c] * (1.0 - g) + p[a, d] * g) * (1 - f) + (p[b, c] * (1.0 - g) + p[b, d] * g) * f
+            assert abs(float(up[y, x]) - want) <= 0.5 + 1e-9
+        assert (images.mirrored(p) == np.array([row[::-1] for row in p])).all()
+        assert (images.rotated(p, 180) == p[::-1, ::-1]).mean() > 0.99
+        dark = [y for y in range(h) if (p[y] < min(images.otsu(p) + 1, 255)).mean() > 0.6]
+        assert all(y in dark for y in images.lines(p, 1))
+        assert len(images.lines(p, 1)) == sum(y - 1 not in dark for y in dark)
+
+
+def test_deskew_router():
+    ruled = np.full((300, 300), 255, np.uint8)
+    for y in range(20, 290, 30):
+        ruled[y : y + 4, 10:290] = 0
+    tilted = images.rotated(ruled, 4.0)
+    assert abs(images.hough_skew(tilted) - 4) < 1 and abs(images.projection_skew(tilted) - 4) < 1
+    assert images.deskewed(tilted, osd=lambda p: (90, 0.9))[1] == "osd"
+    straight, by = images.deskewed(tilted, osd=lambda p: (90, 0.1))
+    assert by == "hough" and abs(images.hough_skew(straight) or 0) < 1
+    assert images.deskewed(tilted, "tesseract", osd=lambda p: None)[1] == "none"
+    assert images.deskewed(images.drawn(0), "hough", sidecar=lambda p: (12.0, 0.5))[1] == "sidecar"
+    assert images.deskewed(images.drawn(0))[1] == "none"
+    assert images.deskewed(images.rotated(ruled, -3.0), "projection")[1] == "projection"
+    assert images.hough(images.drawn(4))[1] > 0

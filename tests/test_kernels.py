@@ -93,3 +93,17 @@ def test_edits(a, b):
 def test_queries_run(spark, sf_dir):
     for name, q in k.queries().items():
         assert q(spark, sf_dir).limit(3).collect(), name
+
+
+def test_flattened_walks_the_tree():
+    import random
+
+    r = random.Random(4)
+    for _ in range(60):
+        kinds = [r.choice(["title", "bab", "bagian", "pasal", "ayat", "huruf", "angka", "table", "paragraph"]) for _ in range(r.randrange(14))]
+        up = k.parents(kinds)
+
+        def walk(node):
+            return [n for i, p in enumerate(up) if p == node for n in [i, *walk(i)]]  # noqa: B023
+
+        assert k.flattened(kinds) == walk(None)

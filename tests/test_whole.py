@@ -142,8 +142,61 @@ def test_duplicates_over_the_whole_ledger(spark, duck, sf_dir):
     texts = {}
     for _, _, _, _, text, name in ledger:
         texts[name] = max(filter(None, (texts.get(name), text)), default=None)
-    assert {r.id: r.text for r in q["SNK-09"](spark, sf_dir).collect()} == {i: f"file {name}" if i % 3 == 0 else texts[name] for i, *_, name in ledger}
-    assert all(r.removed for r in q["SNK-10"](spark, sf_dir).collect())  # every file has a row in the ledger
+    files, _ = rows(spark, duck, sf_dir, "SELECT file_id, base, extension, age_minutes FROM files", "files")
+    there = {b for _, b, e, _ in files if e == ".txt"}
+    want = {name: f"file {name}" if name in there else texts.get(name) for name in {b for _, b, _, _ in files} | texts.keys()}
+    got = {r.name: (r.text, r.status) for r in q["SNK-09"](spark, sf_dir).collect()}
+    assert got == {i: (t, 404 if t is None else 200) for i, t in want.items()} and {s for _, s in got.values()} == {200, 404}
+    gone = {i: e.lower() in (".txt", ".md") and age >= 10 and (b in texts or age > 30 * 24 * 60) for i, b, e, age in files}
+    assert {r.file_id: r.removed for r in q["SNK-10"](spark, sf_dir).collect()} == gone and len(set(gone.values())) == 2
+
+
+def js_counts(text):
+    import re
+
+    flag = re.ASCII
+    return [len(re.findall(p, text, flag)) for p in (r"\b[A-Za-z]{3,}\d{2,4}\b", r"\b[A-Za-z]{2,}\.[A-Za-z]{2,}\b", r"\b[A-Za-z]\b(?: [A-Za-z0-9]{1,2}\b){1,}")]
+
+
+def test_verified_counts(spark, duck, sf_dir):
+    from foliospark import queries
+
+    made = ["T E SALINAN A b-C d", "ab.cd.ef.gh ab..cd x.yz", "TAHUN2020 abc12,abc345 abc12345 a1 b2", "L R 3 1 E 5. E BUPATI", "a b c,d e", "", "abc.def,ghi.jkl"]
+    select = queries.DECLARED["QM-15"][1](queries.SPARK)
+    values = ", ".join(f"(1, {i}, '{t}')" for i, t in enumerate(made))
+    got = spark.sql(f"WITH noisy AS (SELECT * FROM VALUES {values} AS v(doc_id, line_no, text)) {select} ORDER BY line_no").collect()
+    assert [[r.glued, r.dots, r.mirror_runs] for r in got] == [js_counts(t) for t in made]
+    seen = queries.queries()["QM-15"](spark, sf_dir).collect()
+    assert {r.anomalies > 0 for r in seen} == {True, False} and all(r.anomalies == r.cjk + r.symbols + r.mirror_runs for r in seen)
+
+
+def test_files_of_every_kind(spark, duck, sf_dir):
+    """Both outcomes of each rule come up, and agree with the rules written out."""
+    from foliospark import queries
+    from foliospark.functions import text as t
+
+    q = queries.queries()
+    pdfs, _ = rows(spark, duck, sf_dir, "SELECT doc_id, layer, body, page_count, has_blocks, corrupt FROM pdfs", "pdfs")
+    good = {r.doc_id: r.good for r in spark.createDataFrame([(r[0], r[1]) for r in pdfs], "doc_id long, text string").selectExpr("doc_id", f"{t.trustworthy(queries.SPARK, 'text')} AS good").collect()}
+    import re
+
+    kinds, digital, score, heads = {}, {}, {}, {}
+    for i, layer, body, pages, blocks, corrupt in pdfs:
+        score[i] = max(body.count("/XObject"), body.count("/Subtype /Image")) - len(re.findall(r"\([^)]{4,}\)", body)) - 5 * body.count("TJ")
+        size = len(layer.strip(" \t\n\f\r\x0b"))
+        first, third = size >= 200 and size / pages >= 15 and good[i], size >= 200 and good[i]
+        kinds[i] = "SCAN" if corrupt else "TEXT" if first else "SCAN" if score[i] > 10 else "TEXT" if third else "SCAN"
+        ops, marked = len(re.findall(r"\([^)]{3,}\)", body)) + 5 * body.count("TJ"), len(re.findall(r"/Type\s*/Page[^s]", body))
+        digital[i] = blocks or len(body) >= 100 and (marked > 0 and ops / marked > 3 or ops > 20)
+        heads[i] = marked or max(body.count("/Pages ["), 1)
+    for name, want, column in (("SRC-08", kinds, "kind"), ("SRC-09", score, "score"), ("SRC-10", heads, "pages"), ("SRC-11", digital, "digital")):
+        got = {r.doc_id: r[column] for r in q[name](spark, sf_dir).collect()}
+        assert got == want and len(set(want.values())) > 1, name
+    assert {r.has_tables for r in q["SRC-12"](spark, sf_dir).collect()} == {0, 1}
+    assert len({r.status for r in q["SRC-18"](spark, sf_dir).collect()}) == 4
+    assert {r.cached for r in q["SRC-14"](spark, sf_dir).collect()} == {True, False}
+    assert len({(r.enabled, r.configured) for r in q["JQ-11"](spark, sf_dir).collect()}) == 4
+    assert {r.kept for r in q["SNK-03"](spark, sf_dir).collect()} == {True, False}
 
 
 def test_pairs_and_tables_of_all_rows(spark, duck, sf_dir):
