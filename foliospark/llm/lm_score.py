@@ -246,6 +246,7 @@ def score(docs: DataFrame) -> DataFrame:
     answers = spill(found.answers, "none")
     tokens, types = (answers if len(found.spilled) == 0 else found.totals).agg(F.sum("a"), F.sum("b")).first()
     discard(*found.spilled)
+    del found  # with it, what was asked goes before the next shuffle
     release(docs.sparkSession)
     starts = docs.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT).count()
     n = shards.count()
