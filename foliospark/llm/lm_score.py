@@ -38,7 +38,7 @@ ORDER = 3
 #: The priors of pairs and triples, chosen on held-out texts.
 MU = (0.0, 1000.0, 8.0)
 FOLDS, HELD_OUT = 7, 2
-SHARD_TOKENS = 700_000
+SHARD_TOKENS = 1_000_000
 BUCKET_BYTES = 4 << 20
 #: Tokens that one lane of the walk scores.
 LANE = 256
