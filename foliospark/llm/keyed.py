@@ -25,23 +25,32 @@ BUCKET_BYTES = 16 << 20
 #: Rows that a shard or a task sends at most.
 FAN = 256
 MOST_PARTITIONS = 20_000
+#: Bytes of a plane from which the planes of a payload are frames of their own.
+APART = 2048
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; sorted 64-bit keys as gaps, all others as they are, by planes of bytes."""
-    out = []
+    """Arrays as bytes; sorted 64-bit keys as gaps, all others as they are, by planes of bytes.
+
+    A long plane is a frame of its own, with a code that fits its bytes: most planes of keys are noise and the upper ones
+    few values, which one code for both would store as noise too.
+    """
+    pieces = []
     for x in arrays:
         x = np.ascontiguousarray(x)
         gaps = x.dtype == np.uint64 and len(x) > 1 and bool((x[1:] >= x[:-1]).all())
         y = np.diff(x, prepend=np.uint64(0)) if gaps else x
-        raw = y.view(np.uint8).reshape(len(y), y.dtype.itemsize).T.tobytes()
-        out.append(np.array([len(x), gaps], np.int64).tobytes() + y.dtype.str.encode().ljust(8) + raw)
-    body = b"".join(len(o).to_bytes(8, "little") + o for o in out)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+        planes = [p.tobytes() for p in y.view(np.uint8).reshape(len(y), y.dtype.itemsize).T]
+        head = np.array([len(x), gaps], np.int64).tobytes() + y.dtype.str.encode().ljust(8)
+        pieces += [(len(head) + y.nbytes).to_bytes(8, "little") + head, *planes]
+    code = zstandard.ZstdCompressor(level=1).compress
+    if max(map(len, pieces), default=0) < APART:
+        return code(b"".join(pieces))
+    return b"".join(map(code, pieces))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    body, out, at = zstandard.ZstdDecompressor().decompress(blob), [], 0
+    body, out, at = zstandard.ZstdDecompressor().stream_reader(blob, read_across_frames=True).readall(), [], 0
     while at < len(body):
         size = int.from_bytes(body[at : at + 8], "little")
         head = np.frombuffer(body, np.int64, 2, at + 8)

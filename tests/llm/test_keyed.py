@@ -45,6 +45,16 @@ def test_parts(keys, n):
     assert [b for b, _ in got] == sorted({int(k) * n >> 64 if n & (n - 1) == 0 else (int(k) >> 32) * n >> 32 for k in keys})
 
 
+@pytest.mark.parametrize("n", [0, 1, keyed.APART - 1, keyed.APART, 3 * keyed.APART])
+def test_packed_arrays_come_back(n):
+    some = np.random.default_rng(n)
+    keys = some.integers(0, 2**64, n, np.uint64)
+    arrays = [np.sort(keys), keys, some.integers(0, 9, n).astype(np.uint32), np.empty(0, np.uint8), some.integers(0, 256, 4 * n).astype(np.uint8), np.array([-1])]
+    back = keyed.unpack(keyed.pack(*arrays))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, back, strict=True))
+    assert keyed.unpack(keyed.pack()) == []
+
+
 def test_merge():
     (keys, more, sums), entry, first = keyed.merge([[np.array([1, 5, 5], np.uint64), np.array([2, 1, 2], np.uint64), np.array([1, 2, 9])], [np.array([5, 7], np.uint64), np.array([1, 0], np.uint64), np.array([3, 4])]], 2)
     assert (keys.tolist(), more.tolist(), sums.tolist()) == ([1, 5, 5, 7], [2, 1, 2, 0], [1, 5, 9, 4])
