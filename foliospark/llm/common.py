@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliospark.tables import table
 
-__all__ = ["discard", "documents", "lower_ascii", "release", "scratch", "spill", "table", "words_by_space", "words_alnum"]
+__all__ = ["discard", "documents", "lower_ascii", "scratch", "spill", "table", "words_by_space", "words_alnum"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -26,10 +25,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/foliospark-{uuid.uuid4().hex}"
 
 
+#: Spark then removes an execution's shuffles when the execution ends, instead of at some collection of the driver's heap.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def spill(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
+    """Cut the lineage: write the rows to the shared folder and read them back. The shuffles of the write go with it."""
+    path, conf = scratch(df.sparkSession), df.sparkSession.conf
+    was = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(_CLEAN) if was is None else conf.set(_CLEAN, was)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -42,12 +50,6 @@ def discard(*done: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffles that nothing refers to, between the steps of an operator that writes much."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and text; other columns, whatever their names, stay out of the operators."""
     return table(spark, sf_dir, "documents").select("doc_id", "text")
