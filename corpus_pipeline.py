@@ -29,10 +29,11 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents, the one with the least doc_id stays, of ties the first row; texts without words stay."""
-    # written with their numbers, so that no later scan can number them otherwise
-    rows = spill(_whole(docs, F.monotonically_increasing_id().alias("_row")))
-    classes = jaccard_join.classes(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    first = rows.select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("_f"))
+    # written with their numbers, so that no later scan can number them otherwise, and with each text once, inside its row
+    rows = spill(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))
+    classes = jaccard_join.classes(rows.select(F.col("_row").alias("doc_id"), F.col("_doc.text").alias("text"))).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.col("_doc.doc_id").alias("doc_id"))
+    first = ids.join(classes, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("_f"))
     return rows.join(first.select(F.col("_f._row").alias("_row")), "_row", "left_semi").select("_doc.*")
 
 
