@@ -37,10 +37,14 @@ PART_BYTES = 32 << 20
 GROUP, BROADCAST_PARTS = 4096, 1 << 20
 FILE = "part int, block int, before long, n_ids long, docs binary, payload binary"
 _32, _16, _LOW = np.uint64(1 << 32), np.uint64(16), np.uint64((1 << 32) - 1)
+_LOW48 = np.uint64((1 << 48) - 1)
 _ORDER2_BITS = 20
 _STEP, _REFRESH, _LIMIT = 24, 8, 1 << 22
+_TABLE_BITS = 16
 #: The next confidence, in place above an id: after a wrong prediction (first four) and a right one.
 _SURE = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.uint64) << np.uint64(32)
+#: Whether the id stays in place, in the same order.
+_STAYS = np.array([0, 0, 1, 1, 1, 1, 1, 1], bool)
 
 
 class Model:
@@ -61,6 +65,27 @@ class Model:
         if self.single.sum() > _LIMIT:
             self.single = (self.single >> 1) | 1
         self.upto = np.concatenate([[0], np.cumsum(self.single)]).astype(np.uint64)
+        self.table = None
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals of single ids v lie: a table by v's upper bits, then halving."""
+        if self.table is None:
+            self.shift = np.uint64(max(0, int(self.upto[-1]).bit_length() - _TABLE_BITS))
+            begun = np.bincount((self.upto >> self.shift).view(np.int64))
+            self.table = np.concatenate([[0], np.cumsum(begun)])
+        at = (v >> self.shift).view(np.int64)
+        first, last = self.table[at], self.table[at + 1]  # how many intervals begin by v lies between
+        todo = np.flatnonzero(first < last)
+        a, b, v = first[todo], last[todo], v[todo]
+        while len(todo):
+            half = (a + b) >> 1
+            over = self.upto[half] <= v
+            a, b = np.where(over, half + 1, a), np.where(over, b, half)
+            left = a < b
+            if not left.all():
+                first[todo[~left]] = a[~left]
+                todo, a, b, v = todo[left], a[left], b[left], v[left]
+        return first - 1
 
     def _mix(self) -> None:
         """By kind and outcome: where its interval begins, and its size; by kind: all of it."""
@@ -80,8 +105,8 @@ class Model:
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         for table, at, id_, sure in ((self.two, self.at2, self.id2, self.sure2), (self.one, self.at1, self.id1, self.sure1)):
-            right = ids == id_
-            table[at] = np.where(right | (sure > 1), id_, ids) | _SURE[(right << 2) + sure]
+            case = ((ids == id_).view(np.int8) << 2) + sure
+            table[at] = np.where(_STAYS[case], id_, ids) | _SURE[case]
         self.outcomes += np.bincount(self.kind * 3 + outcome, minlength=96).reshape(32, 3)
         full = self.outcomes.sum(1) > 1 << 16
         if full.any():
@@ -99,12 +124,19 @@ def _layout(n: int) -> tuple[int, int]:
     return -(-n // steps), steps
 
 
+def _by_step(ids: np.ndarray, lanes: int, steps: int) -> np.ndarray:
+    """A row a step, with an id for each lane; lanes without that step have 0."""
+    whole = np.zeros(lanes * steps, np.uint32)
+    whole[: len(ids)] = ids
+    return np.ascontiguousarray(whole.reshape(lanes, steps).T).astype(np.uint64)
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A block."""
     n = len(ids)
-    ids64 = ids.astype(np.uint64)
     top = int(ids.max()) + 1 if n else 1
     lanes, steps = _layout(n) if n else (0, 0)
+    by_step, every = _by_step(ids, lanes, steps), np.arange(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
     out, used = np.zeros((lanes, steps + 16), np.uint16), np.zeros(lanes, np.int64)
     model, last, before = Model(top), np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
@@ -119,33 +151,37 @@ def encode(ids: np.ndarray) -> bytes:
     def narrow(k: np.ndarray | slice, upto: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
         nonlocal out
         r = span[k] // total
-        low[k] += r * upto
-        span[k] = r * size
-        over = np.flatnonzero(low >> np.uint64(48))
+        at, wide = low[k] + r * upto, r * size
+        over = np.flatnonzero(at > _LOW48)
         if len(over):
-            low[over] &= np.uint64((1 << 48) - 1)
-            carry(over)
-        short = np.flatnonzero(span < _32)
+            at[over] &= _LOW48
+            carry(every[k][over])
+        low[k], span[k] = at, wide
+        few = np.flatnonzero(wide < _32)
+        short, at, wide = every[k][few], at[few], wide[few]
         while len(short):
-            if used[short].max() >= out.shape[1]:
+            end = used[short]
+            if end.max() >= out.shape[1]:
                 out = np.concatenate([out, np.zeros_like(out)], 1)
-            out[short, used[short]] = (low[short] >> np.uint64(32)).astype(np.uint16)
-            used[short] += 1
-            low[short] = (low[short] & _LOW) << _16
-            span[short] <<= _16
-            short = short[span[short] < _32]
+            out[short, end] = (at >> np.uint64(32)).astype(np.uint16)
+            used[short] = end + 1
+            at, wide = (at & _LOW) << _16, wide << _16
+            low[short], span[short] = at, wide
+            few = np.flatnonzero(wide < _32)
+            short, at, wide = short[few], at[few], wide[few]
 
     for t in range(steps):
-        here = ids64[t::steps]
-        k = len(here)  # lanes that have a step t
+        k = -(-(n - t) // steps)  # lanes that have a step t
+        here = by_step[t, :k]
         model.predict(last[:k], before[:k])
         outcome = np.where(here == model.id2, 0, 2 - (here == model.id1))
         cell = model.kind * 3 + outcome
         narrow(slice(0, k), model.begin[cell], model.size[cell], model.total)
         miss = np.flatnonzero(outcome == 2)
         if len(miss):
-            x = here[miss].astype(np.int64)
-            narrow(miss, model.upto[x], model.upto[x + 1] - model.upto[x], model.upto[-1])
+            x = here[miss].view(np.int64)
+            begin = model.upto[x]
+            narrow(miss, begin, model.upto[x + 1] - begin, model.upto[-1])
         model.learn(here, outcome)
         before[:k], last[:k] = last[:k], here
     for _ in range(3):
@@ -168,26 +204,30 @@ def decode(block: bytes) -> np.ndarray:
         return np.empty(0, np.uint32)
     lanes, steps = _layout(n)
     used = np.frombuffer(block, "<u4", lanes, 20).astype(np.int64)
-    words = np.concatenate([np.frombuffer(block, "<u2", -1, 20 + 4 * lanes), np.zeros(4, "<u2")]).astype(np.uint64)
+    words = np.concatenate([np.frombuffer(block, "<u2", -1, 20 + 4 * lanes), np.zeros(4, "<u2")])
     at = np.cumsum(used) - used
-    code = (words[at] << np.uint64(32)) | (words[at + 1] << _16) | words[at + 2]
+    first = words[at[:, None] + np.arange(3)].astype(np.uint64)
+    code = (first[:, 0] << np.uint64(32)) | (first[:, 1] << _16) | first[:, 2]
     at += 3
     span = np.full(lanes, 1 << 48, np.uint64)
     model, last, before = Model(top), np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
-    out = np.empty(n, np.uint64)
+    out, every = np.zeros((steps, lanes), np.uint32), np.arange(lanes)
 
     def take(k: np.ndarray | slice, r: np.ndarray, upto: np.ndarray, size: np.ndarray) -> None:
-        code[k] -= r * upto
-        span[k] = r * size
-        short = np.flatnonzero(span < _32)
+        left, wide = code[k] - r * upto, r * size
+        code[k], span[k] = left, wide
+        few = np.flatnonzero(wide < _32)
+        short, left, wide = every[k][few], left[few], wide[few]
         while len(short):
-            code[short] = (code[short] << _16) | words[np.minimum(at[short], len(words) - 1)]
-            at[short] += 1
-            span[short] <<= _16
-            short = short[span[short] < _32]
+            next_ = at[short]
+            left, wide = (left << _16) | words[np.minimum(next_, len(words) - 1)], wide << _16
+            at[short] = next_ + 1
+            code[short], span[short] = left, wide
+            few = np.flatnonzero(wide < _32)
+            short, left, wide = short[few], left[few], wide[few]
 
     for t in range(steps):
-        k = len(out[t::steps])
+        k = -(-(n - t) // steps)
         model.predict(last[:k], before[:k])
         r = span[:k] // model.total
         v = np.minimum(code[:k] // r, model.total - np.uint64(1))
@@ -200,13 +240,14 @@ def decode(block: bytes) -> np.ndarray:
         if len(miss):
             r = span[miss] // model.upto[-1]
             v = np.minimum(code[miss] // r, model.upto[-1] - np.uint64(1))
-            x = np.searchsorted(model.upto, v, "right") - 1
-            take(miss, r, model.upto[x], model.upto[x + 1] - model.upto[x])
+            x = model.find(v)
+            begin = model.upto[x]
+            take(miss, r, begin, model.upto[x + 1] - begin)
             here[miss] = x
         model.learn(here, outcome)
         before[:k], last[:k] = last[:k], here
-        out[t::steps] = here
-    ids = out.astype(np.uint32)
+        out[t, :k] = here
+    ids = out.T.reshape(-1)[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != check:
         raise ValueError("damaged ids")
     return ids

@@ -4,11 +4,16 @@ A word with the white space before it has the same ids alone as in its text: no
 from another character into white space. The library encodes new stretches in batches; their ids are remembered by a
 64-bit hash, up to MEMO of them. Texts with white space beyond ASCII's, or with separators that only some regular
 expressions call white space, go to the library whole.
+
+For the same reason new stretches that begin with white space can be strung together: JOINED of them go to the library as
+one text, whose ids are cut where the bytes of their tokens reach a stretch's end. That takes a vocabulary whose tokens
+are bytes of the text; where one token's end doesn't meet a stretch's, the stretches go to the library one by one.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,6 +22,7 @@ import pyarrow as pa
 from .textbytes import NOT_SPACE, column_bytes, word_hashes, words
 
 MEMO = 4_000_000
+JOINED = 1024
 
 _STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _STOP[[44, 46]] = _LETTER[65:91] = _LETTER[97:123] = True
@@ -37,6 +43,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces = Tokenizer.from_file(path), spaces
+        vocabulary = self.tokenizer.get_vocab()
+        # a character of a token is a byte of the text
+        self.bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes[list(vocabulary.values())] = list(map(len, vocabulary))
         self.reset()
 
     def reset(self) -> None:
@@ -44,21 +54,38 @@ class Encoder:
         self.ids, self.used, self.n = np.empty(1 << 16, np.uint32), 0, 0
         self.start, self.count = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        first = self.n
-        for encoded in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids, n = encoded.ids, self.n
-            if n >= len(self.start):
-                self.start, self.count = (np.concatenate([x, np.empty(len(x), np.int64)]) for x in (self.start, self.count))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.start[n], self.count[n] = self.used, len(ids)
-            self.used += len(ids)
-            self.n += 1
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts, and each text's number of them."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _encode_joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for stretches that begin with white space and end with a word."""
+        ids, _ = self._encode([b"".join(pieces[i : i + JOINED]).decode() for i in range(0, len(pieces), JOINED)])
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        reached = np.cumsum(self.bytes[ids])
+        upto = np.searchsorted(reached, ends)
+        if len(ids) and reached[-1] == ends[-1] and (reached[upto] == ends).all():
+            return ids, np.diff(upto + 1, prepend=0)
+        return self._encode([p.decode() for p in pieces])
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], joined: np.ndarray) -> None:
+        """joined: whether a stretch begins with white space and ends with a word."""
+        some, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
+        (ids, count), (more, number) = self._encode_joined([pieces[i] for i in some]), self._encode([pieces[i].decode() for i in rest])
+        ids, count = np.concatenate([ids, more]), np.concatenate([count, number])
+        n, used = self.n + len(count), self.used + len(ids)
+        while n > len(self.start):
+            self.start, self.count = (np.concatenate([x, np.empty(len(x), np.int64)]) for x in (self.start, self.count))
+        while used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        self.ids[self.used : used] = ids
+        self.start[self.n : n], self.count[self.n : n] = self.used + np.cumsum(count) - count, count
+        hashes = hashes[np.concatenate([some, rest])]
         order = np.argsort(hashes)
         at = np.searchsorted(self.hashes, hashes[order])
-        self.hashes, self.index = np.insert(self.hashes, at, hashes[order]), np.insert(self.index, at, first + order)
+        self.hashes, self.index = np.insert(self.hashes, at, hashes[order]), np.insert(self.index, at, self.n + order)
+        self.n, self.used = n, used
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begins and ends of the stretches, and each row's number of them."""
@@ -100,7 +127,9 @@ class Encoder:
             place = np.empty(len(unique), np.int64)
             place[codes] = np.arange(len(codes))
             raw, spot = data.tobytes(), place[new]
-            self._learn(unique[new], [raw[a:b].decode() for a, b in zip(begins[spot].tolist(), ends[spot].tolist(), strict=True)])
+            begin, end_ = begins[spot], ends[spot]
+            joined = ~NOT_SPACE[data[begin]] & NOT_SPACE[data[end_ - 1]]
+            self._learn(unique[new], [raw[a:b] for a, b in zip(begin.tolist(), end_.tolist(), strict=True)], joined)
             at = np.searchsorted(self.hashes, unique)
         which = self.index[at][codes]
         count = self.count[which]

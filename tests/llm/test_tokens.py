@@ -29,6 +29,43 @@ def test_ids_are_the_librarys(name, spaces, texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+class Counted:
+    """A tokenizer that knows how many texts it was given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **how)
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_new_stretches_go_to_the_library_together(known):
+    """One by one they cost most of op4's time. A vocabulary whose bytes don't add up has them go one by one, with the same ids."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(f"{gap}{w:x}{stop}" for gap, w, stop in zip(rng.choice([" ", "  ", "\n\n", "\t ", "\r\x0b"], 3000), rng.integers(0, 1 << 40, 3000), rng.choice(["", ",", ".", "é", "'s", "<|endoftext|>"], 3000), strict=True)) + " " for _ in range(2)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = Encoder(path, True)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    if not known:
+        encoder.bytes[::2] += 1
+    ids, n = encoder(pa.array(texts), 7)
+    want = [e.ids + [7] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert (encoder.tokenizer.texts < 50) == known and encoder.n > 5000
+
+
+@given(st.lists(st.integers(1, 5000), min_size=1, max_size=300), st.integers(1, 1000))
+@settings(max_examples=40, deadline=None)
+def test_ids_are_found_by_their_intervals(sizes, times):
+    model = token_codec.Model(len(sizes))
+    model.single = np.array(sizes, np.int64) * times
+    model._sum()
+    v = np.unique(np.concatenate([model.upto[:-1], model.upto[1:] - np.uint64(1), np.random.default_rng(0).integers(0, int(model.upto[-1]), 99).astype(np.uint64)]))
+    assert (model.find(v) == np.searchsorted(model.upto, v, "right") - 1).all()
+
+
 @given(st.integers(0, 3000), st.integers(1, 60000), st.integers(0, 9))
 @settings(max_examples=25, deadline=None)
 def test_round_trip(n, top, seed):
