@@ -21,9 +21,9 @@ def batch(n):
     return pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "text": ["x" * 10] * n})
 
 
-@pytest.mark.parametrize(("n", "f"), [(300, lambda x: b"p" * 200_000), (3000, lambda x: "y" * 30_000), (3000, lambda x: [list(range(40))] * 100), (5000, lambda x: None), (0, len)])
-def test_results_leave_as_they_come(n, f):
-    run = k._mapped(Taken(), "", f, ["doc_id"], ["text"], "value")
+@pytest.mark.parametrize(("n", "kind", "f"), [(300, "binary", lambda x: b"p" * 200_000), (3000, "string", lambda x: "y" * 30_000), (3000, "array<array<long>>", lambda x: [list(range(40))] * 100), (5000, "double", lambda x: None), (0, "long", len)])
+def test_results_leave_as_they_come(n, kind, f):
+    run = k._mapped(Taken(), f"doc_id long, value {kind}", f, ["doc_id"], ["text"], "value")
     got = list(run(iter([batch(n), batch(n)])))
     assert [i for b in got for i in b.column("doc_id").to_pylist()] == [*range(n)] * 2
     assert all(b.num_rows <= 512 and b.column("value").nbytes < 6e6 for b in got)
@@ -33,11 +33,18 @@ def test_results_leave_as_they_come(n, f):
 def test_one_row_at_a_time():
     """A row is made into an object when its turn comes, and its result leaves before the batch is through."""
     seen = []
-    out = k._mapped(Taken(), "", lambda x: seen.append(x) or b"p" * 5_000_000, ["doc_id"], ["text"], "value")(iter([batch(50)]))
+    out = k._mapped(Taken(), "doc_id long, value binary", lambda x: seen.append(x) or b"p" * 5_000_000, ["doc_id"], ["text"], "value")(iter([batch(50)]))
     next(out)
     assert len(seen) == 1
 
 
+def test_batches_are_of_one_kind():
+    """A batch of empty lists or nulls alone has the column's type all the same."""
+    values = [[]] * 600 + [[[1, 2]]] * 10 + [None] * 600
+    out = k._mapped(Taken(), "doc_id long, value array<array<long>>", lambda x, it=iter(values): next(it), ["doc_id"], ["text"], "value")(iter([batch(1210)]))
+    assert {str(b.schema.field("value").type) for b in out} == {str(pa.list_(pa.list_(pa.int64())))}
+
+
 def test_pages_are_drawn_and_read_one_by_one():
     drawn = []
 
